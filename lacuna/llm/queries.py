@@ -1,8 +1,12 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
 from lacuna.llm.ngram_join import op7_ngram_jaccard
+from lacuna.llm.subword import op4_subword_quality
+from lacuna.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op4_subword_quality": op4_subword_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
 }
 

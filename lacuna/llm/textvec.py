@@ -116,16 +116,27 @@ def span_hashes(folded: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     return mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(U64))
 
 
-def words(texts: pa.Array, keep: np.ndarray = SOLID, fold=LOWER.__getitem__) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and for each document the index of its first word (one more at the end)."""
+def spans(texts: pa.Array, keep: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of documents: which documents, their bytes, where each starts (and the end), word begins, word ends, first word of each document (and the end)."""
     data, off = utf8(texts)
-    hashes, counts = [np.empty(0, U64)], np.zeros(len(off) - 1, np.int64)
     for lo, hi, i, j in segments(data, off, keep):
-        if lo == hi:
-            continue
+        starts = np.append(np.maximum(off[i:j] - lo, 0), hi - lo)
         raw = data[lo:hi]
-        begin, end = word_spans(raw, off[i:j] - lo, keep)
-        hashes.append(span_hashes(fold(raw), begin, end))
-        edges = np.searchsorted(begin, np.append(np.maximum(off[i:j] - lo, 0), hi - lo))
-        counts[i:j] += np.diff(edges)
+        begin, end = word_spans(raw, starts[:-1], keep) if hi > lo else (np.empty(0, np.int64),) * 2
+        yield slice(i, j), raw, starts, begin, end, np.searchsorted(begin, starts)
+
+
+def words(texts: pa.Array, keep: np.ndarray = SOLID, fold=LOWER.__getitem__) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and for each document the index of its first word (one more at the end)."""
+    hashes, counts = [np.empty(0, U64)], np.zeros(len(texts), np.int64)
+    for docs, raw, _, begin, end, edges in spans(texts, keep):
+        if len(begin):
+            hashes.append(span_hashes(fold(raw), begin, end))
+            counts[docs] += np.diff(edges)
     return np.concatenate(hashes), np.concatenate([[0], np.cumsum(counts)])
+
+
+def sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of values between consecutive edges; an empty run is 0."""
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
+    return np.diff(total[edges])
