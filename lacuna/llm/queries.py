@@ -1,13 +1,25 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
+from lacuna.llm import line_spread, url_model
+from lacuna.llm.line_spread import op10_line_spread
 from lacuna.llm.ngram_join import op7_ngram_jaccard
+from lacuna.llm.packing import op3_genetic_packing
+from lacuna.llm.pii import op1_boosted_pii
 from lacuna.llm.subword import op4_subword_quality
 from lacuna.llm.toxicity import op6_toxicity
+from lacuna.llm.url_model import op8_url_ratio
 
 QUERIES = {
+    "op1_boosted_pii": op1_boosted_pii,
+    "op3_genetic_packing": op3_genetic_packing,
     "op4_subword_quality": op4_subword_quality,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_url_ratio": op8_url_ratio,
+    "op10_line_spread": op10_line_spread,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_url_ratio": url_model.ORACLE,
+    "op10_line_spread": line_spread.ORACLE,
+}
