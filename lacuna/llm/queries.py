@@ -1,6 +1,7 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
 from lacuna.llm import line_spread, url_model
+from lacuna.llm.lattice import op9_lattice_neighbours
 from lacuna.llm.line_spread import op10_line_spread
 from lacuna.llm.ngram_join import op7_ngram_jaccard
 from lacuna.llm.packing import op3_genetic_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_url_ratio": op8_url_ratio,
+    "op9_lattice_neighbours": op9_lattice_neighbours,
     "op10_line_spread": op10_line_spread,
 }
 
