@@ -12,8 +12,8 @@ Which pairs are counted:
   in the global order (prefix filter), have sizes in proportion ``t``, and
   parity sketches that differ in no more bits than the sets may differ in
   members. All three filters are exact.
-* First every class is compared with one hub of each prefix n-gram it shares.
-  Then only classes whose components still differ are compared, in bounded
+* First every class is compared with one hub, the best of those of the prefix
+  n-grams it shares. Then only classes whose components still differ are compared, in bounded
   blocks. So a group of near copies costs a star and not all its pairs.
 """
 
@@ -60,8 +60,9 @@ def grams(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def _batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        yield batch, *grams(*textvec.words(batch.column("text")), n)
+    for whole in batches:
+        for batch in textvec.slices(whole, "text"):
+            yield batch, *grams(*textvec.words(batch.column("text")), n)
 
 
 class Order:
@@ -242,12 +243,13 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Stars: the hub of an n-gram has the most in common with others.
     hubs = shared.groupBy("gram").agg(F.min("x").alias("hub"))
     stars = shared.join(hubs, "gram").where(F.col("x.sig") != F.col("hub.sig"))
-    tried = materialize(stars.where(_may_link("x", "hub", percent)).select(*_pair("x", "hub")).distinct())
+    nearest = stars.where(_may_link("x", "hub", percent)).groupBy("x.sig").agg(F.first("x").alias("x"), F.min("hub").alias("hub"))
+    tried = materialize(nearest.select(*_pair("x", "hub")).distinct())
     links = materialize(_links(tried, docs, reps, order, n, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
     label = materialize(components(links))
 
-    # What is left: members of one n-gram, but for its hub, that are still apart.
-    rest = stars.select("gram", "x.*").join(label.select(F.col("node").alias("sig"), "component"), "sig", "left")
+    # What is left: members of one n-gram that are still apart.
+    rest = shared.select("gram", "x.*").join(label.select(F.col("node").alias("sig"), "component"), "sig", "left")
     rest = rest.select("gram", "sig", "n", "bits", F.coalesce("component", "sig").alias("label"))
     rest = rest.select("*", F.min("label").over(by_gram).alias("lo"), F.max("label").over(by_gram).alias("hi"), F.count("*").over(by_gram).alias("many")).where("lo < hi").drop("lo", "hi")
     rest = materialize(rest)

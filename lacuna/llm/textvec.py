@@ -71,6 +71,16 @@ def utf8(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)), off
 
 
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 * LIMIT) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch whose texts come to about ``limit`` bytes."""
+    _, off = utf8(batch.column(column))
+    i = 0
+    while i < len(batch):
+        j = max(int(np.searchsorted(off, off[i] + limit, "right")) - 1, i + 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def fold_latin(raw: np.ndarray) -> np.ndarray:
     """Lower case of ASCII and of the letters that UTF-8 writes as C3 80 to C3 9E."""
     out = LOWER[raw]
