@@ -72,7 +72,7 @@ WITH l AS (SELECT source, trim(unnest(string_split(text, chr(10)))) AS line FROM
 f AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= {SITES}),
 k AS (SELECT coalesce(list(line), []) AS keys FROM f),
 d AS (SELECT doc_id, text, string_split(text, chr(10)) AS own FROM documents),
-s AS (SELECT doc_id, text, own, list_filter(own, lambda x: trim(x) = '' OR NOT list_contains((SELECT keys FROM k), trim(x))) AS stays FROM d),
+s AS (SELECT doc_id, text, own, list_filter(own, lambda x: trim(x) = '' OR NOT list_contains(keys, trim(x))) AS stays FROM d, k),
 e AS (SELECT doc_id, text, own, CASE WHEN len(list_filter(stays, lambda x: trim(x) <> '')) = 0 THEN own ELSE stays END AS kept FROM s)
 SELECT doc_id, coalesce(len(own), 0)::BIGINT AS n_lines, coalesce(len(own) - len(kept), 0)::BIGINT AS n_removed,
        md5(array_to_string(kept, chr(10))) AS text_md5

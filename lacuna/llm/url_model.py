@@ -134,7 +134,7 @@ p{k} AS (SELECT p.gram,
 WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, coalesce(rest, '') AS rest, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), '{UPPER}', '{LOWERED}') AS host,
   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM r),
-d AS (SELECT row_number() OVER () AS row, page_id, host, path, host || substr(rest, length(host) + 1) AS chars,
+d AS MATERIALIZED (SELECT row_number() OVER () AS row, page_id, host, path, host || substr(rest, length(host) + 1) AS chars,
   {pick(lambda what, rule: rule)} AS rule, {pick(lambda what, rule: what)} AS decided, coalesce(page_id % 5 = 0, FALSE) AS held FROM h),
 g AS (SELECT row, held, decided, substr(repeat(chr(2), {ORDER}) || chars || chr(3), unnest(range(1, length(chars) + 2)), {ORDER + 1}) AS gram FROM d),
 counts AS (SELECT gram, count_if(NOT held AND decided = 'allow')::DOUBLE AS a, count_if(NOT held AND decided = 'block')::DOUBLE AS b FROM g GROUP BY 1),
