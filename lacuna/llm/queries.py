@@ -1,7 +1,9 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
 from lacuna.llm import line_spread, url_model
+from lacuna.llm.latent import op2_latent_leaks
 from lacuna.llm.lattice import op9_lattice_neighbours
+from lacuna.llm.licenses import op5_license_cosine
 from lacuna.llm.line_spread import op10_line_spread
 from lacuna.llm.ngram_join import op7_ngram_jaccard
 from lacuna.llm.packing import op3_genetic_packing
@@ -12,8 +14,10 @@ from lacuna.llm.url_model import op8_url_ratio
 
 QUERIES = {
     "op1_boosted_pii": op1_boosted_pii,
+    "op2_latent_leaks": op2_latent_leaks,
     "op3_genetic_packing": op3_genetic_packing,
     "op4_subword_quality": op4_subword_quality,
+    "op5_license_cosine": op5_license_cosine,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_url_ratio": op8_url_ratio,
