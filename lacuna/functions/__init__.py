@@ -1 +1 @@
-
+"""Column functions: canonical digests, binary numbers and times, names."""

@@ -1 +1 @@
-
+"""Relational operators over many cases at once."""

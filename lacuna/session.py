@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -47,3 +49,13 @@ def session(name: str = "lacuna", master: str | None = None, **conf: str) -> Spa
     for key, value in {**CONF, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a private one only where none is configured (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="lacuna-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder

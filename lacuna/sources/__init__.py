@@ -1 +1 @@
-
+"""Readers of case files, timelines and binary artifacts."""

@@ -1 +1 @@
-
+"""Streams with the semantics of the batch operators."""
