@@ -124,9 +124,9 @@ def _oracle() -> str:
         f""",
 s{k} AS (SELECT right(gram, {k + 1}) AS tail, left(right(gram, {k + 1}), {k}) AS context, sum(a) AS a, sum(b) AS b FROM counts GROUP BY 1, 2),
 c{k} AS (SELECT context, sum(a) AS na, sum(b) AS nb, count_if(a > 0) AS ta, count_if(b > 0) AS tb FROM s{k} GROUP BY 1),
-p{k} AS (SELECT p.gram,
-  CASE WHEN na + ta > 0 THEN (a + ta * pa) / (na + ta) ELSE pa END AS pa,
-  CASE WHEN nb + tb > 0 THEN (b + tb * pb) / (nb + tb) ELSE pb END AS pb
+p{k} AS MATERIALIZED (SELECT p.gram,
+  CASE WHEN c.na + c.ta > 0 THEN (s.a + c.ta * p.pa) / (c.na + c.ta) ELSE p.pa END AS pa,
+  CASE WHEN c.nb + c.tb > 0 THEN (s.b + c.tb * p.pb) / (c.nb + c.tb) ELSE p.pb END AS pb
   FROM p{k - 1} p JOIN s{k} s ON right(p.gram, {k + 1}) = s.tail JOIN c{k} c USING (context))""".replace("p-1 p", "p_ p")
         for k in range(ORDER + 1)
     )
@@ -136,8 +136,8 @@ h AS (SELECT page_id, coalesce(rest, '') AS rest, translate(regexp_extract(coale
   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 d AS MATERIALIZED (SELECT row_number() OVER () AS row, page_id, host, path, host || substr(rest, length(host) + 1) AS chars,
   {pick(lambda what, rule: rule)} AS rule, {pick(lambda what, rule: what)} AS decided, coalesce(page_id % 5 = 0, FALSE) AS held FROM h),
-g AS (SELECT row, held, decided, substr(repeat(chr(2), {ORDER}) || chars || chr(3), unnest(range(1, length(chars) + 2)), {ORDER + 1}) AS gram FROM d),
-counts AS (SELECT gram, count_if(NOT held AND decided = 'allow')::DOUBLE AS a, count_if(NOT held AND decided = 'block')::DOUBLE AS b FROM g GROUP BY 1),
+g AS MATERIALIZED (SELECT row, held, decided, substr(repeat(chr(2), {ORDER}) || chars || chr(3), unnest(range(1, length(chars) + 2)), {ORDER + 1}) AS gram FROM d),
+counts AS MATERIALIZED (SELECT gram, (count(*) FILTER (WHERE NOT held AND decided = 'allow'))::DOUBLE AS a, (count(*) FILTER (WHERE NOT held AND decided = 'block'))::DOUBLE AS b FROM g GROUP BY 1),
 p_ AS (SELECT gram, {UNIFORM}::DOUBLE AS pa, {UNIFORM}::DOUBLE AS pb FROM counts){levels},
 t AS (SELECT row, floor(sum(round((ln(pa) - ln(pb)) * 1e6)::BIGINT)::DOUBLE / count(*))::BIGINT AS score FROM g JOIN p{ORDER} USING (gram) GROUP BY 1),
 x AS (SELECT d.*, score, floor(score / {BIN})::BIGINT AS bin FROM d JOIN t USING (row)),
