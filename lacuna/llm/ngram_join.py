@@ -169,11 +169,15 @@ def _segments(docs: DataFrame, order, n: int) -> DataFrame:
     return docs.mapInArrow(cut, "sig long, fragment int, members array<long>")
 
 
-def _may_link(a: str, b: str, percent: int):
-    """The size filter and the parity filter as one condition on structs with n and bits."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = F.aggregate(F.zip_with(f"{a}.bits", f"{b}.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
+def _sizes_fit(x: str, y: str, percent: int):
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _sketched(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that pass the parity filter. Sketches join pairs only, never postings."""
+    both = pairs.join(bits.select(F.col("sig").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("sig").alias("b"), F.col("bits").alias("y")), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b", "na", "nb")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, n: int, percent: int) -> DataFrame:
@@ -187,10 +191,11 @@ def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, n: int, pe
     return summed.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common")))
 
 
-def _pair(x: str, y: str):
-    first = F.col(f"{x}.sig") < F.col(f"{y}.sig")
-    pick = lambda field, yes, no: F.when(first, F.col(f"{yes}.{field}")).otherwise(F.col(f"{no}.{field}"))
-    return [pick("sig", x, y).alias("a"), pick("sig", y, x).alias("b"), pick("n", x, y).alias("na"), pick("n", y, x).alias("nb")]
+def _pair(sig: str, n: str, other: str, m: str):
+    """A pair in order of class: a, b, na, nb."""
+    first = F.col(sig) < F.col(other)
+    pick = lambda yes, no: F.when(first, F.col(yes)).otherwise(F.col(no))
+    return [pick(sig, other).alias("a"), pick(other, sig).alias("b"), pick(n, m).alias("na"), pick(m, n).alias("nb")]
 
 
 def _compare(percent: int):
@@ -235,34 +240,34 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = postings.select("*", F.min("sig").over(by_gram).alias("lo"), F.max("sig").over(by_gram).alias("hi")).where("lo < hi").select("gram", "sig").distinct()
     shared = materialize(shared)
     found = shared.groupBy("sig").agg(F.count("*").alias("met"))
-    one = sets.where("prefix is not null").join(found, "sig").groupBy("sig").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first(F.size("prefix") - F.col("met")).alias("alone"))
-    member = F.struct("alone", "sig", "n", "bits").alias("x")
-    shared = materialize(shared.join(one, "sig").select("gram", member))
+    one = materialize(sets.where("prefix is not null").join(found, "sig").groupBy("sig").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first(F.size("prefix") - F.col("met")).alias("alone")))
+    shared = materialize(shared.join(one.select("sig", "n", "alone"), "sig"))
     reps = materialize(sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(found.select("sig"), "sig", "left_semi"))
 
-    # Stars: the hub of an n-gram has the most in common with others.
-    hubs = shared.groupBy("gram").agg(F.min("x").alias("hub"))
-    stars = shared.join(hubs, "gram").where(F.col("x.sig") != F.col("hub.sig"))
-    nearest = stars.where(_may_link("x", "hub", percent)).groupBy("x.sig").agg(F.first("x").alias("x"), F.min("hub").alias("hub"))
-    tried = materialize(nearest.select(*_pair("x", "hub")).distinct())
-    links = materialize(_links(tried, docs, reps, order, n, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # Stars: the hub of an n-gram has the most in common with others; a class is compared with the hub that it meets most.
+    hubs = shared.groupBy("gram").agg(F.min(F.struct("alone", "sig", "n")).alias("hub"))
+    stars = shared.join(hubs, "gram").select("sig", "n", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.alone").alias("alone")).where((F.col("sig") != F.col("hub")) & _sizes_fit("n", "m", percent))
+    stars = stars.groupBy("sig", "n", "hub", "m", "alone").agg(F.count("*").alias("times"))
+    nearest = stars.groupBy("sig", "n").agg(F.max(F.struct("times", -F.col("alone"), "hub", "m")).alias("best")).select("sig", "n", F.col("best.hub").alias("hub"), F.col("best.m").alias("m"))
+    tried = materialize(nearest.select(*_pair("sig", "n", "hub", "m")).distinct())
+    links = materialize(_links(materialize(_sketched(tried, one, percent)), docs, reps, order, n, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
     label = materialize(components(links))
 
     # What is left: members of one n-gram that are still apart.
-    rest = shared.select("gram", "x.*").join(label.select(F.col("node").alias("sig"), "component"), "sig", "left")
-    rest = rest.select("gram", "sig", "n", "bits", F.coalesce("component", "sig").alias("label"))
+    rest = shared.select("gram", "sig", "n").join(label.select(F.col("node").alias("sig"), "component"), "sig", "left")
+    rest = rest.select("gram", "sig", "n", F.coalesce("component", "sig").alias("label"))
     rest = rest.select("*", F.min("label").over(by_gram).alias("lo"), F.max("label").over(by_gram).alias("hi"), F.count("*").over(by_gram).alias("many")).where("lo < hi").drop("lo", "hi")
     rest = materialize(rest)
-    few = rest.where("many <= 16").select("gram", F.struct("sig", "n", "bits", "label").alias("x"))
-    near = few.join(few.select("gram", F.col("x").alias("y")), "gram").where((F.col("x.sig") < F.col("y.sig")) & (F.col("x.label") != F.col("y.label")))
-    near = near.where(_may_link("x", "y", percent)).select(*_pair("x", "y"))
+    few = rest.where("many <= 16").drop("many")
+    near = few.join(few.toDF("gram", "other", "m", "label_m"), "gram").where((F.col("sig") < F.col("other")) & (F.col("label") != F.col("label_m")) & _sizes_fit("n", "m", percent))
+    near = near.select(*_pair("sig", "n", "other", "m"))
     blocks = F.ceil(F.col("many") / BLOCK)
     own = F.pmod(F.xxhash64("sig"), blocks)
     many = rest.where("many > 16").select("*", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    many = many.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "n", "bits", "label", F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).alias("side"))
-    far = many.groupBy("gram", "i", "j").applyInPandas(_compare(percent), "a long, b long, na long, nb long")
+    many = many.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "n", "label", F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).alias("side"))
+    far = many.join(one.select("sig", "bits"), "sig").groupBy("gram", "i", "j").applyInPandas(_compare(percent), "a long, b long, na long, nb long")
     left = near.unionAll(far.where("a < b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _links(materialize(left), docs, reps, order, n, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    more = _links(materialize(_sketched(left.select("a", "b", "na", "nb"), one, percent)), docs, reps, order, n, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = materialize(components(links.unionAll(more)))
 
     # From classes to documents.
