@@ -73,15 +73,16 @@ class SubwordModel:
 
 
 def _bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each document's buckets and their share among its features."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
-    for docs, bucket, edges in features(texts):
-        for d, own in zip(range(docs.start, docs.stop), np.split(bucket, edges[1:-1]), strict=True):
-            parts[d].append(own)
+    """Each document's buckets and their share among its features; only a few texts' features are held at a time."""
     out = []
-    for own in parts:
-        ids, n = np.unique(np.concatenate(own), return_counts=True)
-        out.append((ids, (n / max(n.sum(), 1)).astype(np.float32)))
+    for part in textvec.slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", textvec.LIMIT):
+        parts: list[list[np.ndarray]] = [[] for _ in range(len(part))]
+        for docs, bucket, edges in features(part.column(0)):
+            for d, own in zip(range(docs.start, docs.stop), np.split(bucket, edges[1:-1]), strict=True):
+                parts[d].append(own)
+        for own in parts:
+            ids, n = np.unique(np.concatenate(own), return_counts=True)
+            out.append((ids.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32)))
     return out
 
 
