@@ -33,8 +33,8 @@ from lacuna.llm.session import join_keys, materialize, read
 
 #: Counters of the sketch that orders n-grams, and fragments of the order.
 COUNTERS, FRAGMENTS = 1 << 20, 8
-#: Bits of a parity sketch; members of a block that are compared in one task.
-BITS, BLOCK = 1024, 1024
+#: Bits of the short sketch that blocks compare and of the longest one; members of a block that are compared in one task.
+BITS, MOST_BITS, BLOCK = 1024, 1 << 17, 1024
 U64 = np.uint64
 
 
@@ -121,6 +121,16 @@ def _need(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (n * percent + 99) // 100 + 1
 
 
+def _bits(n: int) -> int:
+    """Bits of a set's sketch: a power of two, at least four for each member."""
+    return min(MOST_BITS, max(BITS, 1 << (4 * n - 1).bit_length()))
+
+
+def _fold(bits, words):
+    """A sketch folded to so many words: a place modulo a smaller power of two is the parity of those that fall together."""
+    return F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.aggregate(F.sequence(i, F.size(bits) - 1, words), F.lit(0).cast("long"), lambda s, j: s.bitwiseXOR(F.get(bits, j))))
+
+
 def _sets(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
     """Per document: size, 64-bit class of its set, parity sketch and prefix. A task sends a class's sketch and prefix once."""
 
@@ -142,7 +152,8 @@ def _sets(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
                     bits.append(None), prefix.append(None)
                     continue
                 seen.add(key)
-                odd = np.bincount((textvec.mix(own) & U64(BITS - 1)).astype(int), minlength=BITS).astype(np.uint8) & 1
+                places = _bits(len(own))
+                odd = np.bincount((textvec.mix(own) & U64(places - 1)).astype(int), minlength=places).astype(np.uint8) & 1
                 bits.append(np.packbits(odd).view(np.int64))
                 prefix.append(own[: _need(len(own), percent)].view(np.int64))
             lists = pa.list_(pa.int64())
@@ -176,7 +187,9 @@ def _sizes_fit(x: str, y: str, percent: int):
 def _sketched(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that pass the parity filter. Sketches join pairs only, never postings."""
     both = pairs.join(bits.select(F.col("sig").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("sig").alias("b"), F.col("bits").alias("y")), "b")
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    words = F.least(F.size("x"), F.size("y"))
+    short = lambda c: F.when(F.size(c) == words, F.col(c)).otherwise(_fold(F.col(c), words))
+    apart = F.aggregate(F.zip_with(short("x"), short("y"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return both.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b", "na", "nb")
 
 
@@ -265,7 +278,8 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = F.pmod(F.xxhash64("sig"), blocks)
     many = rest.where("many > 16").select("*", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
     many = many.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "n", "label", F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).alias("side"))
-    far = many.join(one.select("sig", "bits"), "sig").groupBy("gram", "i", "j").applyInPandas(_compare(percent), "a long, b long, na long, nb long")
+    brief = materialize(one.select("sig", _fold(F.col("bits"), F.lit(BITS // 64)).alias("bits")))
+    far = many.join(brief, "sig").groupBy("gram", "i", "j").applyInPandas(_compare(percent), "a long, b long, na long, nb long")
     left = near.unionAll(far.where("a < b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = _links(materialize(_sketched(left.select("a", "b", "na", "nb"), one, percent)), docs, reps, order, n, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = materialize(components(links.unionAll(more)))
