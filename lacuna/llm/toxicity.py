@@ -50,8 +50,11 @@ def _tokens(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 def learn_lexicon(texts: pa.Array, y: np.ndarray, *, least: int = 4, z: float = 3.5, size: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and log-odds of the words and beginnings that mark toxic documents most surely, ``size`` at most."""
-    found = []
+    found, cut, last = [], [], -1
     for docs, raw, _, begin, end, edges in textvec.spans(texts, textvec.LETTER):
+        if docs.start == last:
+            cut.append(last)
+        last = docs.start
         if not len(begin):
             continue
         doc = np.repeat(np.arange(docs.start, docs.stop), np.diff(edges))
@@ -62,6 +65,11 @@ def learn_lexicon(texts: pa.Array, y: np.ndarray, *, least: int = 4, z: float =
     if not found or not 0 < y.sum() < len(y):
         return np.empty(0, U64), np.empty(0)
     h, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    if cut:
+        # A document of several runs counts once for a word that is in more than one of them.
+        long = np.isin(d, cut)
+        pair = np.unique(np.rec.fromarrays([h[long], d[long]], names="h,d"))
+        h, d = np.concatenate([h[~long], pair.h]), np.concatenate([d[~long], pair.d])
     keys, at = np.unique(h, return_inverse=True)
     bad = np.bincount(at, y[d] == 1, len(keys))
     good = np.bincount(at, y[d] != 1, len(keys))
@@ -87,40 +95,51 @@ class ToxicModel:
         self.any = textvec.Lookup(np.unique(np.concatenate([self.insults, lexicon[0]])))
 
     def features(self, texts: pa.Array) -> np.ndarray:
+        """One row per text. Counts are summed over all runs of a document, then divided by its words or bytes."""
         out = np.zeros((len(texts), len(NAMES)))
         col = {name: k for k, name in enumerate(NAMES)}
+        size, odd_words = np.zeros(len(texts)), np.zeros(len(texts))
+        none, last = np.empty(0, np.int64), -1
         for docs, raw, starts, begin, end, edges in textvec.spans(texts, textvec.LETTER):
+            if docs.start != last:
+                # Of the document that goes on in the next run: keys met, places near the end (from 0 down), last word.
+                met, you_left, bad_left, before_word = {}, none, none, None
+            last = docs.start
             x = out[docs]
             many = len(x)
-            n, size = np.maximum(np.diff(edges), 1), np.maximum(np.diff(starts), 1)
             words = np.diff(edges)
+            size[docs] += np.diff(starts)
             x[:, col["length"]] += words
             if not len(raw):
                 continue
             upper = (raw >= 65) & (raw <= 90)
             for name, mask in (("capitals", upper), ("marks", raw == 33), ("questions", raw == 63), ("symbols", np.isin(raw, np.frombuffer(b"*#$%&@^~|", np.uint8))), ("digits", (raw >= 48) & (raw <= 57))):
-                x[:, col[name]] = textvec.sums(mask, starts) / size
+                x[:, col[name]] += textvec.sums(mask, starts)
             same = np.zeros(len(raw), bool)
             same[2:] = (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & textvec.LETTER[raw[2:]]
-            x[:, col["stretched"]] = textvec.sums(same, starts) / size
+            x[:, col["stretched"]] += textvec.sums(same, starts)
             if not len(begin):
                 continue
             doc = np.repeat(np.arange(many), words)
             word, heads = _tokens(raw, begin, end)
             tally = lambda at, w=None: np.bincount(doc[at], w, many)
 
-            def kinds(doc_of: np.ndarray, key: np.ndarray, n_keys: int) -> np.ndarray:
-                return np.bincount(np.unique(doc_of.astype(np.int64) * max(n_keys, 1) + key) // max(n_keys, 1), minlength=many)
+            def kinds(name: str, doc_of: np.ndarray, key: np.ndarray, n_keys: int) -> None:
+                pair = np.unique(doc_of.astype(np.int64) * max(n_keys, 1) + key)
+                if many == 1:
+                    pair = np.setdiff1d(pair, met.get(name, none), assume_unique=True)
+                    met[name] = np.concatenate([met.get(name, none), pair])
+                x[:, col[name]] += np.bincount(pair // max(n_keys, 1), minlength=many)
 
             seed_at, seed_key = self.seed.find(word)
-            x[:, col["insults"]] = tally(seed_at) / n
-            x[:, col["insult_kinds"]] = kinds(doc[seed_at], seed_key, len(self.seed.keys))
+            x[:, col["insults"]] += tally(seed_at)
+            kinds("insult_kinds", doc[seed_at], seed_key, len(self.seed.keys))
             at, key = self.learned.find(word)
             odds = self.learned.values[key] if len(key) else np.empty(0)
-            x[:, col["learned"]] = tally(at) / n
-            x[:, col["learned_kinds"]] = kinds(doc[at], key, len(self.learned.keys))
+            x[:, col["learned"]] += tally(at)
+            kinds("learned_kinds", doc[at], key, len(self.learned.keys))
             np.maximum.at(x[:, col["learned_most"]], doc[at], odds)
-            x[:, col["learned_mass"]] = tally(at, odds)
+            x[:, col["learned_mass"]] += tally(at, odds)
             hits = [(doc[at], key)]
             begins, mass = np.zeros(many), np.zeros(many)
             for head in heads:
@@ -129,30 +148,45 @@ class ToxicModel:
                 mass += tally(a, self.learned.values[k] if len(k) else np.empty(0))
                 hits.append((doc[a], k))
             hit_doc, hit_key = (np.concatenate(v) for v in zip(*hits, strict=True))
-            x[:, col["beginnings"]], x[:, col["begin_mass"]] = begins / n, mass / n
-            x[:, col["begin_kinds"]] = kinds(np.concatenate([h[0] for h in hits[1:]]), np.concatenate([h[1] for h in hits[1:]]), len(self.learned.keys))
-            x[:, col["kinds_all"]] = kinds(hit_doc, hit_key, len(self.learned.keys))
-            x[:, col["hits_all"]] = np.bincount(hit_doc, minlength=many)
+            x[:, col["beginnings"]] += begins
+            x[:, col["begin_mass"]] += mass
+            kinds("begin_kinds", np.concatenate([h[0] for h in hits[1:]]), np.concatenate([h[1] for h in hits[1:]]), len(self.learned.keys))
+            kinds("kinds_all", hit_doc, hit_key, len(self.learned.keys))
+            x[:, col["hits_all"]] += np.bincount(hit_doc, minlength=many)
             you_at, _ = self.you.find(word)
-            x[:, col["you"]] = tally(you_at) / n
-            bad = np.unique(np.concatenate([seed_at, at]))
+            x[:, col["you"]] += tally(you_at)
+            you_at = np.concatenate([you_left, you_at])
+            bad = np.concatenate([bad_left, np.unique(np.concatenate([seed_at, at]))])
+            near = np.zeros(len(bad), bool)
             if len(you_at) and len(bad):
                 k = np.searchsorted(you_at, bad)
                 before, after = you_at[np.maximum(k - 1, 0)], you_at[np.minimum(k, len(you_at) - 1)]
-                near = np.minimum(np.where((before <= bad) & (doc[before] == doc[bad]), bad - before, 99), np.where((after >= bad) & (doc[after] == doc[bad]), after - bad, 99)) <= 3
-                x[:, col["near_you"]] = tally(bad[near]) / n
+                # Places below 0 are in the run before, thus in the first document.
+                of = lambda place: doc[np.maximum(place, 0)]
+                near = np.minimum(np.where((before <= bad) & (of(before) == of(bad)), bad - before, 99), np.where((after >= bad) & (of(after) == of(bad)), after - bad, 99)) <= 3
+                x[:, col["near_you"]] += np.bincount(of(bad[near]), minlength=many)
             loud = np.concatenate([[0], np.cumsum(upper)])
-            x[:, col["shouted"]] = tally(np.flatnonzero((loud[end] - loud[begin] == end - begin) & (end - begin > 2))) / n
-            x[:, col["spaced"]] = tally(np.flatnonzero((end - begin == 1)[1:] & (end - begin == 1)[:-1])) / n
-            twice = np.flatnonzero(word[1:] == word[:-1])
-            x[:, col["repeats"]] = tally(twice) / n
+            x[:, col["shouted"]] += tally(np.flatnonzero((loud[end] - loud[begin] == end - begin) & (end - begin > 2)))
+            together, single = doc[1:] == doc[:-1], end - begin == 1
+            x[:, col["spaced"]] += tally(np.flatnonzero(single[1:] & single[:-1] & together))
+            x[:, col["repeats"]] += tally(np.flatnonzero((word[1:] == word[:-1]) & together))
+            if many == 1:
+                if before_word is not None:
+                    x[0, col["spaced"]] += single[0] & before_word[1]
+                    x[0, col["repeats"]] += word[0] == before_word[0]
+                before_word = word[-1], single[-1]
+                you_left, bad_left = (v[v >= len(word) - 3] - len(word) for v in (you_at, bad[~near]))
         for docs, raw, starts, begin, end, edges in textvec.spans(texts, LEET):
+            odd_words[docs] += np.diff(edges)
             odd = np.concatenate([[0], np.cumsum(~textvec.LETTER[raw])]) if len(raw) else np.zeros(1, int)
             hidden = np.flatnonzero((odd[end] > odd[begin]) & (end - begin > 3) & (end - begin < 40) & (10 * (odd[end] - odd[begin]) <= 7 * (end - begin)))
             if len(hidden):
                 at, _ = self.any.find(textvec.span_hashes(_PLAIN[raw], begin[hidden], end[hidden]))
                 doc = np.searchsorted(edges, hidden[at], "right") - 1
-                out[docs][:, col["leet"]] += np.bincount(doc, minlength=len(edges) - 1) / np.maximum(np.diff(edges), 1)
+                out[docs][:, col["leet"]] += np.bincount(doc, minlength=len(edges) - 1)
+        per = {"leet": odd_words} | dict.fromkeys("capitals marks questions symbols digits stretched".split(), size) | dict.fromkeys("insults learned beginnings begin_mass you near_you shouted spaced repeats".split(), out[:, col["length"]].copy())
+        for name, total in per.items():
+            out[:, col[name]] /= np.maximum(total, 1)
         return out
 
     def score(self, texts: pa.Array) -> np.ndarray:

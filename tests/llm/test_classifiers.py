@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from data import corpus, edge, empty, prose
 
-from lacuna.llm import subword, toxicity
+from lacuna.llm import subword, textvec, toxicity
 from lacuna.llm.boosting import Isotonic, Trees
 
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -90,6 +90,19 @@ def test_features_follow_whole_texts():
     assert np.allclose(tox.features(pa.array(texts)), np.vstack([tox.features(pa.array([t])) for t in texts]))
 
 
+def test_toxicity_of_texts_longer_than_a_run(monkeypatch):
+    rng = random.Random(4)
+    words = "idiot you scum 1d10t IDIOT a b b sooo !!! ??? you're #%& trashy worthless nothing Ärger 12".split()
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (0, 1, 5, 40, 300, 2, 7, 80)] + ["you idiot scum " + prose(rng, 90), " ".join(["a"] * 99)]
+    y = np.arange(len(texts)) % 2
+    lexicon = toxicity.learn_lexicon(pa.array(texts), y, least=1, z=0)
+    whole = toxicity.ToxicModel(lexicon).features(pa.array(texts))
+    assert np.all(whole.any(0))
+    monkeypatch.setattr(textvec, "LIMIT", 64)
+    assert np.allclose(toxicity.ToxicModel(lexicon).features(pa.array(texts)), whole)
+    assert all(map(np.array_equal, toxicity.learn_lexicon(pa.array(texts), y, least=1, z=0), lexicon))
+
+
 def test_obfuscated_and_near_second_person():
     model = toxicity.ToxicModel((np.empty(0, np.uint64), np.empty(0)))
     col = {n: k for k, n in enumerate(toxicity.NAMES)}
