@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lacuna.llm.components import components
 from lacuna.llm.session import materialize, read
 
-#: Tables, E8 blocks of a table, size of a cell, cells visited besides the own one.
+#: Tables, E8 blocks of a table, size of a cell for 64 dimensions and more, cells visited besides the own one.
 TABLES, BLOCKS, SCALE, PROBES = 12, 3, 0.25, 6
 #: Least cosine of a link; vectors of a block that are compared in one task.
 COSINE, BLOCK = 0.9, 1024
@@ -77,7 +77,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Lattice:
     def __init__(self, dim: int, tables: int = TABLES, blocks: int = BLOCKS, scale: float = SCALE, probes: int = PROBES, seed: int = 5):
         rng = np.random.default_rng([seed, dim])
-        self.tables, self.blocks, self.scale, self.probes = tables, blocks, scale, probes
+        # Projections grow as vectors get shorter, and cells with them; those of longer vectors don't shrink, which would lose links.
+        self.tables, self.blocks, self.scale, self.probes = tables, blocks, scale * max(1.0, np.sqrt(64 / dim)), probes
         self.project = rng.normal(0, 1 / np.sqrt(dim), (tables, dim, 8 * blocks))
         self.offset = rng.random((tables, 8 * blocks))
         self.roots = roots()

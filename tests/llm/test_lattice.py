@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lacuna.llm import lattice
 from lacuna.llm.lattice import decode, near_duplicates, roots
@@ -52,6 +53,16 @@ def test_recall_and_no_false_links(spark):
         assert got[2000 + k]["component_id"] == 0
 
 
+@pytest.mark.parametrize("dim", [8, 16, 32, 64, 128])
+def test_recall_does_not_depend_on_length(dim):
+    rng = np.random.default_rng(dim)
+    a = unit(rng.normal(size=(600, dim)))
+    b = np.array([near(rng, v, 0.9) for v in a])
+    known = lattice.Lattice(dim)
+    met = (known.cells(a)[:, :, :, None] == known.cells(b)[:, :, None, :]).any((1, 2, 3))
+    assert met.mean() >= 0.93
+
+
 def test_blocks_count_each_pair_once(spark, monkeypatch):
     monkeypatch.setattr(lattice, "BLOCK", 16)
     rng = np.random.default_rng(5)
