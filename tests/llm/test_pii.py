@@ -55,6 +55,14 @@ def test_query_columns(spark):
     assert got[3]["n_phone"] == 0 and got[3]["spans"] == "phone:5:19"
 
 
+def test_every_proposal_is_scored(spark):
+    texts = [f"write to {name} please" for name in ("lomi at keba.com", "lomi AT keba.com", "lomi at keba dot org", "lomi(at)keba.de", "lomi [at] keba.fr", "lomi {at} keba DOT io", "lomi @ keba.net")] + ["home ", "at at keba.com", "nothing here"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(rows).collect()}
+    want = {k: pii._line(pii.spans_of(t, pii.trained())[1]) for k, t in enumerate(texts)}
+    assert got == want and want[0] and want[1]
+
+
 def test_edges(spark):
     rows = pii.find_pii(edge(spark)).collect()
     assert len(rows) == 14 and {r["spans"] for r in rows} == {""} and {r["base_sha256"] for r in rows} == {hashlib.sha256(b"").hexdigest()}
