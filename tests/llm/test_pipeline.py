@@ -1,6 +1,8 @@
+import random
+
 import corpus_pipeline as p
 import pytest
-from data import edge
+from data import corpus, edge, prose
 
 from lacuna.llm.queries import ORACLES, QUERIES
 
@@ -35,3 +37,12 @@ def test_stages_take_odd_rows(spark, stage):
     out = dict(p.STAGES)[stage](spark, docs, SF)
     assert (out.count() > 0) if stage == "packing" else (out.count() <= 14 and out.columns == docs.columns)
     assert dict(p.STAGES)[stage](spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    rows = [(3, a), (3, a), (5, a), (None, a), (3, b), (7, c), (None, c), (None, d), (None, d), (2, e), (1, e + " more"), (1, e + " more"), (4, ""), (4, ""), (None, None), (None, None)]
+    docs = corpus(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    got = sorted(((r["doc_id"], r["text"]) for r in p.near_dedup(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(3, a), (3, b), (7, c), (None, d), (1, e + " more"), (4, ""), (4, ""), (None, None), (None, None)], key=str)
