@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample and the longest text that is learned from; longer ones are scored like all others.
-SAMPLE, LONGEST = 4000, 200_000
+from lacuna.llm.session import materialize
+
+#: Labelled documents that are learned from, at most.
+SAMPLE = 4000
+#: Tasks that make features of the sample.
+TASKS = 16
 
 
 def fold(column: str, parts: int) -> Column:
@@ -15,15 +18,17 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int = SAMPLE) -> pa.Table:
-    """(doc_id, text, y) of at most ``rows`` labelled documents, those with the least hash of doc_id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int = SAMPLE) -> DataFrame:
+    """(doc_id, key, text, y) of at most ``rows`` labelled documents, those with the least hash (``key``) of doc_id, texts whole.
 
     ``allowed`` says which doc_ids may be learned from. Repeated label rows
     count once, with the least label; rows without a label or id don't count.
+    Of several texts under one id that with the least hash counts, once.
+    Materialized, in ``TASKS`` parts.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & allowed)
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = F.broadcast(known.orderBy(*order).limit(rows))
-    found = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(chosen, "doc_id")
-    return found.orderBy(*order, F.xxhash64("text")).limit(rows).toArrow()
+    chosen = F.broadcast(known.withColumn("key", F.xxhash64("doc_id")).orderBy("key", "doc_id").limit(rows))
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id")
+    one = found.groupBy("doc_id").agg(F.first("key").alias("key"), F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.first("y").alias("y"))
+    return materialize(one.repartition(TASKS, "doc_id"))

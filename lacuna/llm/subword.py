@@ -34,27 +34,42 @@ def _bucket(x: np.ndarray) -> np.ndarray:
 
 
 def features(texts: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """For runs of documents and each kind: documents, buckets in text order, edges of documents. Case and punctuation count."""
+    """For runs of documents and each kind: documents, buckets in text order, edges of documents. Case and punctuation count.
+
+    A document that goes on in the next run takes its last word and last bytes
+    along, so that no pair or n-gram is lost between runs.
+    """
+    last = -1
     for docs, raw, starts, begin, end, edges in textvec.spans(texts, textvec.SOLID):
+        if docs.start != last:
+            word_left, left = np.empty(0, U64), np.empty(0, np.uint8)
+        last = docs.start
         word = textvec.span_hashes(raw, begin, end) if len(begin) else np.empty(0, U64)
         yield docs, _bucket(word), edges
+        word = np.concatenate([word_left, word])
+        edges = np.append(edges[:1], edges[1:] + len(word_left))
         alone = np.ones(len(word), bool)
         alone[edges[1:][np.diff(edges) > 0] - 1] = False
         pair = textvec.mix(word[:-1] * U64(0xD6E8FEB86659FD93) + word[1:])[alone[:-1]] if len(word) > 1 else np.empty(0, U64)
+        # Stuttering marks poor text whatever the word is, so all such pairs share what is learned.
         pair[(word[:-1] == word[1:])[alone[:-1]]] = 0
         yield docs, _bucket(pair) + (1 << BITS), np.concatenate([[0], np.cumsum(np.maximum(np.diff(edges) - 1, 0))])
         for k, n in ((2, 3), (3, 5)):
-            if len(raw) < n:
+            head = left[max(0, len(left) - n + 1) :]
+            own = np.concatenate([head, raw])
+            bounds = np.append(starts[:1], starts[1:] + len(head))
+            if len(own) < n:
                 yield docs, np.empty(0, np.int64), np.zeros(len(starts), np.int64)
                 continue
-            gram = np.zeros(len(raw) - n + 1, U64)
+            gram = np.zeros(len(own) - n + 1, U64)
             for b in range(n):
-                gram |= raw[b : len(raw) - n + 1 + b].astype(U64) << U64(8 * b)
-            whole = np.ones(len(raw), bool)
+                gram |= own[b : len(own) - n + 1 + b].astype(U64) << U64(8 * b)
+            whole = np.ones(len(own), bool)
             for b in range(1, n):
-                tail = starts[1:][np.diff(starts) >= b] - b
+                tail = bounds[1:][np.diff(bounds) >= b] - b
                 whole[tail] = False
-            yield docs, _bucket(gram[whole[: len(gram)]]) + (k << BITS), np.concatenate([[0], np.cumsum(np.maximum(np.diff(starts) - n + 1, 0))])
+            yield docs, _bucket(gram[whole[: len(gram)]]) + (k << BITS), np.concatenate([[0], np.cumsum(np.maximum(np.diff(bounds) - n + 1, 0))])
+        word_left, left = word[len(word) - min(1, len(word)) :], np.concatenate([left, raw[-4:]])[-4:]
 
 
 class SubwordModel:
@@ -125,11 +140,10 @@ def _sigmoid_fit(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(theta[0]), 0.05), float(theta[1])
 
 
-def train(texts: pa.Array, y: np.ndarray, *, epochs: int = EPOCHS, rate: float = 0.3, seed: int = 7) -> SubwordModel:
+def train(bags: list, y: np.ndarray, *, epochs: int = EPOCHS, rate: float = 0.3, seed: int = 7) -> SubwordModel:
     """Four fifths of the sample train vectors and layer, one fifth calibrates the probabilities; no rows give 0.5 for every text."""
     if not len(y):
         return SubwordModel(np.zeros(KINDS << BITS), 0.0)
-    bags = _bags(texts)
     apart = np.arange(len(y)) % 5 == 4
     model = _descend([b for b, out in zip(bags, apart, strict=True) if not out], y[~apart], epochs, rate, seed)
     if len({*y[apart].tolist()}) == 2:
@@ -139,10 +153,32 @@ def train(texts: pa.Array, y: np.ndarray, *, epochs: int = EPOCHS, rate: float =
     return model
 
 
+def _make_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in textvec.slices(whole, "text"):
+            bags = _bags(batch.column("text"))
+            columns = [batch.column(c) for c in ("doc_id", "key", "y")]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([b[k].tobytes() for b in bags], pa.binary()) for k in (0, 1))], names=["doc_id", "key", "y", "ids", "share"])
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bags, y = [], []
+    for batch in batches:
+        y += batch.column("y").to_pylist()
+        bags += [(np.frombuffer(i.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for i, v in zip(batch.column("ids"), batch.column("share"), strict=True)]
+    model = train(bags, np.array(y, np.int64))
+    yield pa.RecordBatch.from_pydict({"weight": [model.weight.tobytes()], "bias": [model.bias]})
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame) -> SubwordModel:
-    """Learn from labelled documents whose crc32(doc_id) modulo 4 is not 2."""
-    sample = labelled(docs, labels, "quality", fold("doc_id", 4) != 2)
-    return train(sample.column("text").combine_chunks(), sample.column("y").to_numpy())
+    """Learn from labelled documents whose crc32(doc_id) modulo 4 is not 2.
+
+    All tasks make bags of features of the sample, each of at most as many
+    entries as there are buckets; one task descends on them.
+    """
+    bags = labelled(docs, labels, "quality", fold("doc_id", 4) != 2).mapInArrow(_make_bags, "doc_id long, key long, y int, ids binary, share binary")
+    rows = bags.repartition(1).sortWithinPartitions("key", "doc_id").mapInArrow(_learn, "weight binary, bias double").collect()
+    return SubwordModel(np.frombuffer(rows[0]["weight"]), rows[0]["bias"]) if rows else train([], np.empty(0))
 
 
 def scored(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,9 @@ second-person words near them, capitals, punctuation and obfuscation.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +22,8 @@ from lacuna.llm.labelled import fold, labelled
 from lacuna.llm.session import read
 
 THRESHOLD = 0.5
+#: Parts of the sample for cross-fitting; toxic documents that a word of the lexicon is in, at least.
+PARTS, LEAST = 4, 4
 U64 = np.uint64
 
 # Insults and second-person words that the lexicon starts from.
@@ -48,9 +53,10 @@ def _tokens(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return textvec.span_hashes(folded, begin, end), starts
 
 
-def learn_lexicon(texts: pa.Array, y: np.ndarray, *, least: int = 4, z: float = 3.5, size: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and log-odds of the words and beginnings that mark toxic documents most surely, ``size`` at most."""
-    found, cut, last = [], [], -1
+def marks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) of every different word and word beginning of each text, once."""
+    found = [(np.empty(0, U64), np.empty(0, np.int64))]
+    cut, last = [], -1
     for docs, raw, _, begin, end, edges in textvec.spans(texts, textvec.LETTER):
         if docs.start == last:
             cut.append(last)
@@ -62,24 +68,33 @@ def learn_lexicon(texts: pa.Array, y: np.ndarray, *, least: int = 4, z: float =
         for h in (word, *starts):
             pair = np.unique(np.rec.fromarrays([h[h != 0], doc[h != 0]], names="h,d"))
             found.append((pair.h, pair.d))
-    if not found or not 0 < y.sum() < len(y):
-        return np.empty(0, U64), np.empty(0)
     h, d = (np.concatenate(x) for x in zip(*found, strict=True))
     if cut:
         # A document of several runs counts once for a word that is in more than one of them.
         long = np.isin(d, cut)
         pair = np.unique(np.rec.fromarrays([h[long], d[long]], names="h,d"))
         h, d = np.concatenate([h[~long], pair.h]), np.concatenate([d[~long], pair.d])
-    keys, at = np.unique(h, return_inverse=True)
-    bad = np.bincount(at, y[d] == 1, len(keys))
-    good = np.bincount(at, y[d] != 1, len(keys))
-    odds = np.log((bad + 0.5) / (y == 1).sum()) - np.log((good + 0.5) / (y != 1).sum())
+    return h, d
+
+
+def choose(keys: np.ndarray, bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int, *, least: int = LEAST, z: float = 3.5, size: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and log-odds of the words and beginnings that mark toxic documents most surely, ``size`` at most, by their counts of documents of both kinds."""
+    if not n_bad or not n_good:
+        return np.empty(0, U64), np.empty(0)
+    odds = np.log((bad + 0.5) / n_bad) - np.log((good + 0.5) / n_good)
     sure = odds / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
     pick = np.flatnonzero((bad >= least) & (sure >= z))
-    pick = pick[np.argsort(-sure[pick], kind="stable")][:size]
+    pick = pick[np.lexsort([keys[pick], -sure[pick]])][:size]
     return keys[pick], odds[pick]
 
 
+def learn_lexicon(texts: pa.Array, y: np.ndarray, **limits) -> tuple[np.ndarray, np.ndarray]:
+    """The lexicon of a few texts at hand."""
+    h, d = marks(texts)
+    keys, at = np.unique(h, return_inverse=True)
+    return choose(keys, np.bincount(at, y[d] == 1, len(keys)), np.bincount(at, y[d] != 1, len(keys)), int((y == 1).sum()), int((y != 1).sum()), **limits)
+
+
 NAMES = "length insults insult_kinds learned learned_kinds learned_most learned_mass beginnings begin_kinds begin_mass near_you you capitals shouted marks questions symbols digits leet spaced stretched repeats hits_all kinds_all".split()
 
 
@@ -196,25 +211,90 @@ class ToxicModel:
         return np.clip(self.steps(self.trees.margin(self.features(texts))), 0, 1)
 
 
-def train(texts: pa.Array, y: np.ndarray, parts: int = 4) -> ToxicModel:
-    """Cross-fitted: a document's lexicon features and calibration margin come from models that never saw its label."""
+def _lexicons(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each part of the sample a lexicon that never saw its labels, and last that of all labels.
+
+    Executors count documents by word, part and label; one task chooses from
+    the words that enough toxic documents of the sample have.
+    """
+    kinds = [(k, t) for k in range(PARTS) for t in (0, 1)]
+    sizes = {(r["part"], r["toxic"]): r["count"] for r in sample.groupBy("part", F.when(F.col("y") == 1, 1).otherwise(0).alias("toxic")).count().collect()}
+    size = np.array([sizes.get(k, 0) for k in kinds]).reshape(PARTS, 2)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in textvec.slices(whole, "text"):
+                h, d = marks(batch.column("text"))
+                kind = 2 * batch.column("part").to_numpy() + (batch.column("y").to_numpy() == 1)
+                yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "kind": kind[d].astype(np.int32)})
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        counts = np.array([np.concatenate([np.empty(0), *(b.column(f"n{k}").to_numpy() for b in found)]) for k in range(2 * PARTS)]).reshape(PARTS, 2, -1)
+        keys = np.concatenate([np.empty(0, np.int64), *(b.column("h").to_numpy() for b in found)]).view(U64)
+        for k in range(PARTS + 1):
+            rest = np.arange(PARTS) != k
+            n, by = size[rest].sum(0), counts[rest].sum(0)
+            h, odds = choose(keys, by[1], by[0], int(n[1]), int(n[0]))
+            yield pa.RecordBatch.from_pydict({"part": [k], "h": [h.tobytes()], "odds": [odds.tobytes()]})
+
+    by_word = sample.mapInArrow(emit, "h long, kind int").groupBy("h").agg(*(F.count_if(F.col("kind") == k).alias(f"n{k}") for k in range(2 * PARTS)))
+    bad = sum((F.col(f"n{2 * k + 1}") for k in range(PARTS)), F.lit(0))
+    rows = by_word.where(bad >= LEAST).repartition(1).mapInArrow(pick, "part long, h binary, odds binary").collect()
+    out = [(np.empty(0, U64), np.empty(0))] * (PARTS + 1)
+    for r in rows:
+        out[r["part"]] = np.frombuffer(r["h"], U64), np.frombuffer(r["odds"])
+    return out
+
+
+def train(sample: DataFrame) -> ToxicModel:
+    """Cross-fitted on ``sample(doc_id, key, text, y)``: a document's lexicon features and calibration margin come from models that never saw its label.
+
+    Words are counted, features made and trees of each fold grown by tasks;
+    the driver holds lexicons and a table of one feature row per document.
+    """
+    spark = sample.sparkSession
+    sample = sample.select("text", "y", "key", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).cast("int").alias("part"))
+    lexicons = _lexicons(sample)
+    shared = spark.sparkContext.broadcast(lexicons)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = [ToxicModel(x) for x in shared.value]
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            x = np.zeros((len(batch), len(NAMES)))
+            for k in np.unique(part).tolist():
+                own = np.flatnonzero(part == k)
+                x[own] = models[k].features(batch.column("text").take(pa.array(own)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "part", "y")), pa.array([r.tobytes() for r in x], pa.binary())], names=["key", "part", "y", "x"])
+
+    rows = sample.mapInArrow(describe, "key long, part int, y int, x binary").orderBy("key", "x").toArrow()
+    y, part = rows.column("y").to_numpy().astype(float), rows.column("part").to_numpy()
     if not 0 < (y == 1).sum() < len(y):
         return ToxicModel((np.empty(0, U64), np.empty(0)))
-    part = np.arange(len(y)) % parts
-    x = np.zeros((len(y), len(NAMES)))
-    for k in range(parts):
-        own, rest = np.flatnonzero(part == k), np.flatnonzero(part != k)
-        x[own] = ToxicModel(learn_lexicon(texts.take(pa.array(rest)), y[rest])).features(texts.take(pa.array(own)))
-    margin = np.zeros(len(y))
-    for k in range(parts):
-        margin[part == k] = Trees.fit(x[part != k], y[part != k]).margin(x[part == k])
-    return ToxicModel(learn_lexicon(texts, y), Trees.fit(x, y), Isotonic.fit(margin, y))
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist())).reshape(len(y), -1)
+    data = spark.sparkContext.broadcast((x, y, part))
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y, part = data.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                own = part == k
+                trees = Trees.fit(x[~own], y[~own]) if (~own).any() else None
+                margin = trees.margin(x[own]) if trees is not None else np.zeros(int(own.sum()))
+                yield pa.RecordBatch.from_pydict({"part": [k], "trees": [pickle.dumps(trees if k == PARTS else None)], "margin": [margin.tobytes()]})
+
+    grown = spark.range(0, PARTS + 1, 1, PARTS + 1).mapInArrow(grow, "part long, trees binary, margin binary").collect()
+    margin, trees = np.zeros(len(y)), None
+    for r in grown:
+        margin[part == r["part"]] = np.frombuffer(r["margin"])
+        trees = pickle.loads(r["trees"]) or trees
+    return ToxicModel(lexicons[PARTS], trees, Isotonic.fit(margin, y))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """Learn from labelled documents whose crc32(doc_id) modulo 5 is not 0."""
-    sample = labelled(docs, labels, "toxic", fold("doc_id", 5) != 0)
-    return train(sample.column("text").combine_chunks(), sample.column("y").to_numpy())
+    return train(labelled(docs, labels, "toxic", fold("doc_id", 5) != 0))
 
 
 def scored(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

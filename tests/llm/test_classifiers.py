@@ -61,7 +61,7 @@ def test_training_never_sees_held_out_rows(spark, known):
 
     from lacuna.llm.labelled import fold, labelled
 
-    got = labelled(docs, labels, "quality", fold("doc_id", 4) != 2, rows=50)
+    got = labelled(docs, labels, "quality", fold("doc_id", 4) != 2, rows=50).toArrow()
     ids = got.column("doc_id").to_pylist()
     assert len(ids) == 50 and all(zlib.crc32(str(i).encode()) % 4 != 2 for i in ids)
 
@@ -121,3 +121,54 @@ def test_trees_and_isotonic():
     p = steps(np.sort(trees.margin(x[1500:])))
     assert np.all(np.diff(p) >= 0) and 0 <= p.min() and p.max() <= 1
     assert Isotonic(np.empty(0), np.empty(0))(np.zeros(2)).tolist() == [0.5, 0.5]
+
+
+def plain_features(text):
+    """Buckets of a text, one n-gram at a time: how often each is met."""
+    from collections import Counter
+
+    mask, raw = (1 << 64) - 1, text.encode()
+
+    def word_hash(w):
+        total = sum((b + 1) * pow(textvec._BASE, k, 1 << 64) for k, b in enumerate(w)) & mask
+        return int(textvec.mix(np.array([(total + len(w)) & mask], np.uint64))[0])
+
+    def bucket(x):
+        return ((x * 0x9E3779B97F4A7C15) & mask) >> (64 - subword.BITS)
+
+    words, out = [word_hash(w) for w in raw.replace(b"\t", b" ").replace(b"\n", b" ").split(b" ") if w], Counter()
+    out.update(bucket(w) for w in words)
+    for a, b in zip(words, words[1:]):
+        pair = 0 if a == b else int(textvec.mix(np.array([(a * 0xD6E8FEB86659FD93 + b) & mask], np.uint64))[0])
+        out[bucket(pair) + (1 << subword.BITS)] += 1
+    for k, n in ((2, 3), (3, 5)):
+        out.update(bucket(int.from_bytes(raw[i : i + n], "little")) + (k << subword.BITS) for i in range(len(raw) - n + 1))
+    return out
+
+
+@pytest.mark.parametrize("limit", [64, 7, textvec.LIMIT])
+def test_subword_features_against_plain_ones(monkeypatch, limit):
+    monkeypatch.setattr(textvec, "LIMIT", limit)
+    rng = random.Random(5)
+    texts = [prose(rng, n) for n in (1, 9, 80, 3)] + ["", "a", "ab\n", "so so so  so", " \t ", "y" * 200 + " z", "ü é " * 30]
+    got = subword._bags(pa.array(texts))
+    for text, (ids, share) in zip(texts, got, strict=True):
+        want = plain_features(text)
+        assert dict(zip(ids.tolist(), (share * sum(want.values())).round().astype(int).tolist(), strict=True)) == want
+    model = subword.SubwordModel(np.random.default_rng(0).normal(size=subword.KINDS << subword.BITS), 0.1)
+    for text, score in zip(texts, model.score(pa.array(texts)), strict=True):
+        want = plain_features(text)
+        z = sum(model.weight[b] * n for b, n in want.items()) / max(1, sum(want.values())) + 0.1
+        assert np.isclose(score, 1 / (1 + np.exp(-z)))
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    rng = random.Random(6)
+    rows = [(k, ("idiot scum " if k % 2 else "kind words ") + prose(rng, 40_000 if k < 4 else 20)) for k in range(60)] + [(1, "idiot again"), (7, None)]
+    labels = spark.createDataFrame([(k, 1, k % 2, "") for k in range(60)], LABELS)
+    from lacuna.llm.labelled import fold, labelled
+
+    got = {r["doc_id"]: r for r in labelled(corpus(spark, rows), labels, "toxic", fold("doc_id", 5) != 9).collect()}
+    assert sorted(got) == list(range(60)) and len(got[0]["text"]) > 200_000 and got[1]["text"] in [t for d, t, *_ in rows if d == 1]
+    scores = {r["doc_id"]: r["score"] for r in toxicity.scored(corpus(spark, rows[4:60]), toxicity.fit_toxicity(corpus(spark, rows), labels)).collect()}
+    assert np.mean([(s >= 0.5) == bool(k % 2) for k, s in scores.items()]) > 0.9
