@@ -7,34 +7,41 @@ counted in each fragment separately and summed per pair.
 
 Which pairs are counted:
 
-* Equal sets are one class; only classes are compared.
+* Equal sets are one class, named by 128 bits; only classes are compared.
 * Linked sets share an n-gram among the first ``n - ceil(t * n) + 1`` of each
   in the global order (prefix filter), have sizes in proportion ``t``, and
   parity sketches that differ in no more bits than the sets may differ in
   members. All three filters are exact.
 * First every class is compared with one hub, the best of those of the prefix
   n-grams it shares. Then only classes whose components still differ are compared, in bounded
-  blocks. So a group of near copies costs a star and not all its pairs.
+  blocks of like sizes. So a group of near copies costs a star and not all its pairs.
+
+Texts are read twice: for the counts that order n-grams, and for the sets, of
+which a task writes each class once. All later steps read those columns of the
+sets that they need.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import textvec
 from lacuna.llm.components import components
-from lacuna.llm.session import join_keys, materialize, read
+from lacuna.llm.session import materialize, read
 
 #: Counters of the sketch that orders n-grams, and fragments of the order.
 COUNTERS, FRAGMENTS = 1 << 20, 8
 #: Bits of the short sketch that blocks compare and of the longest one; members of a block that are compared in one task.
 BITS, MOST_BITS, BLOCK = 1024, 1 << 17, 1024
+#: Members of an n-gram that are compared by a plain join, at most.
+FEW = 16
 U64 = np.uint64
 
 
@@ -126,82 +133,86 @@ def _bits(n: int) -> int:
     return min(MOST_BITS, max(BITS, 1 << (4 * n - 1).bit_length()))
 
 
-def _fold(bits, words):
+def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     """A sketch folded to so many words: a place modulo a smaller power of two is the parity of those that fall together."""
-    return F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.aggregate(F.sequence(i, F.size(bits) - 1, words), F.lit(0).cast("long"), lambda s, j: s.bitwiseXOR(F.get(bits, j))))
+    return np.bitwise_xor.reduce(bits.reshape(-1, words)) if len(bits) > words else bits
+
+
+def _class(own: np.ndarray) -> bytes:
+    """128 bits that name a set of n-grams."""
+    with np.errstate(over="ignore"):
+        once = textvec.mix(own)
+        again = textvec.mix(once * U64(0x9E3779B97F4A7C15) + U64(0x632BE59BD9B4E019))
+        sums = np.array([once.sum() ^ U64(len(own)), again.sum() + U64(len(own))], U64)
+    return textvec.mix(sums).tobytes()
 
 
 def _sets(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """Per document: size, 64-bit class of its set, parity sketch and prefix. A task sends a class's sketch and prefix once."""
+    """Per document: size, class of its set, and of a class once in each task: parity sketch, prefix, and members by fragment."""
 
     def make(batches):
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch, gram, bounds in _batches(batches, n):
-            size, sig, bits, prefix = [], [], [], []
+            size, sig, bits, prefix, members = [], [], [], [], []
             place = order.value.place(gram)
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 own = np.unique(place[lo:hi])
                 size.append(len(own))
-                if not len(own):
-                    sig.append(None), bits.append(None), prefix.append(None)
+                sig.append(_class(own) if len(own) else None)
+                if not len(own) or sig[-1] in seen:
+                    bits.append(None), prefix.append(None), members.append(None)
                     continue
-                with np.errstate(over="ignore"):
-                    key = int(textvec.mix(np.array([textvec.mix(own).sum() ^ U64(len(own))], U64)).view(np.int64)[0])
-                sig.append(key)
-                if key in seen:
-                    bits.append(None), prefix.append(None)
-                    continue
-                seen.add(key)
+                seen.add(sig[-1])
                 places = _bits(len(own))
                 odd = np.bincount((textvec.mix(own) & U64(places - 1)).astype(int), minlength=places).astype(np.uint8) & 1
-                bits.append(np.packbits(odd).view(np.int64))
+                bits.append(np.packbits(odd).tobytes())
                 prefix.append(own[: _need(len(own), percent)].view(np.int64))
+                at = np.searchsorted(order.value.fragment(own), np.arange(1, FRAGMENTS))
+                members.append([x.view(np.int64) for x in np.split(own, at)])
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, lists), pa.array(prefix, lists)], names=["doc_id", "n", "sig", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(bits, pa.binary()), pa.array(prefix, lists), pa.array(members, pa.list_(lists))], names=["doc_id", "n", "sig", "bits", "prefix", "members"])
 
-    return docs.mapInArrow(make, "doc_id long, n long, sig long, bits array<long>, prefix array<long>")
+    return docs.mapInArrow(make, "doc_id long, n long, sig binary, bits binary, prefix array<long>, members array<array<long>>")
 
 
-def _segments(docs: DataFrame, order, n: int) -> DataFrame:
-    """Each document's set, cut into the fragments of the global order."""
+def _sizes_fit(x: str, y: str, percent: int):
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    def cut(batches):
-        for batch, gram, bounds in _batches(batches, n):
-            place = order.value.place(gram)
-            sig, fragment, members = [], [], []
-            for s, lo, hi in zip(batch.column("sig").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                own = np.unique(place[lo:hi])
-                at = np.searchsorted(order.value.fragment(own), np.arange(FRAGMENTS + 1))
-                for f in range(FRAGMENTS):
-                    if at[f] < at[f + 1]:
-                        sig.append(s), fragment.append(f), members.append(own[at[f] : at[f + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(fragment, pa.int32()), pa.array(members, pa.list_(pa.int64()))], names=["sig", "fragment", "members"])
 
-    return docs.mapInArrow(cut, "sig long, fragment int, members array<long>")
+def _near(percent: int):
+    """Keeps pairs (a, b, na, nb, x, y) whose sketches x and y differ in no more bits than linked sets may differ in members."""
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.empty(len(batch), np.int64)
+            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                words = min(len(x), len(y))
+                apart[k] = np.bitwise_count(_fold(x, words) ^ _fold(y, words)).sum(dtype=np.int64)
+            keep = apart * (100 + percent) <= (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (100 - percent)
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep))
 
-def _sizes_fit(x: str, y: str, percent: int):
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    return near
 
 
 def _sketched(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that pass the parity filter. Sketches join pairs only, never postings."""
     both = pairs.join(bits.select(F.col("sig").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("sig").alias("b"), F.col("bits").alias("y")), "b")
-    words = F.least(F.size("x"), F.size("y"))
-    short = lambda c: F.when(F.size(c) == words, F.col(c)).otherwise(_fold(F.col(c), words))
-    apart = F.aggregate(F.zip_with(short("x"), short("y"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b", "na", "nb")
+    # Dealt anew by pair: a hub's pairs are in many tasks, however few bytes they have.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.select("a", "b", "na", "nb", "x", "y").repartition(tasks, "a", "b").mapInArrow(_near(percent), "a binary, b binary, na long, nb long")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that link: overlaps are counted by fragment and summed."""
-    need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(reps, "sig"))
-    parts = materialize(_segments(join_keys(docs, need, "doc_id", "inner").select("doc_id", "text", "sig"), order, n))
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that link: overlaps are counted by fragment and summed."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    own = sets.where("members is not null").select("sig", "members").join(need, "sig").groupBy("sig").agg(F.first("members").alias("members"))
+    parts = materialize(own.select("sig", F.posexplode("members").alias("fragment", "members")).where(F.size("members") > 0))
     one = pairs.join(parts.select(F.col("sig").alias("a"), "fragment", F.col("members").alias("x")), "a")
     both = one.join(parts.select(F.col("sig").alias("b"), "fragment", F.col("members").alias("y")), ["b", "fragment"])
     counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).cast("long").alias("partial"))
     summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("common"))
-    return summed.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common")))
+    return summed.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _pair(sig: str, n: str, other: str, m: str):
@@ -212,26 +223,48 @@ def _pair(sig: str, n: str, other: str, m: str):
 
 
 def _compare(percent: int):
-    """Candidate pairs of one block of one prefix n-gram's classes: other component, fitting size and sketch."""
+    """Candidate pairs of one block of one prefix n-gram's classes: other component, fitting size and sketch, not both guests."""
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
-        left, right = block[block.side < 2], block[block.side > 0]
-        ln, rn = left.n.to_numpy(), right.n.to_numpy()
-        lb, rb = (np.stack(x.bits.to_numpy()).view(np.uint64) if len(x) else np.empty((0, BITS // 64), U64) for x in (left, right))
+        label, home, n, sig = pd.factorize(block.label)[0], block.home.to_numpy(), block.n.to_numpy(), block.sig.to_list()
+        bits = np.array([_fold(np.frombuffer(x, U64), BITS // 64) for x in block.bits])
+        left, right = np.flatnonzero(block.side.to_numpy() < 2), np.flatnonzero(block.side.to_numpy() > 0)
         out = []
-        for k in range(len(left)):
-            both = ln[k] + rn
-            ok = (100 * np.minimum(ln[k], rn) >= percent * np.maximum(ln[k], rn)) & (right.label.to_numpy() != left.label.iloc[k])
-            at = np.flatnonzero(ok)
-            apart = np.bitwise_count(rb[at] ^ lb[k]).sum(1, dtype=np.int64)
-            at = at[apart * (100 + percent) <= both[at] * (100 - percent)]
-            s, t = left.sig.iloc[k], right.sig.to_numpy()[at]
-            out.append(pd.DataFrame({"a": np.minimum(s, t), "b": np.maximum(s, t), "na": np.where(s < t, ln[k], rn[at]), "nb": np.where(s < t, rn[at], ln[k])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "na": [], "nb": []}, dtype=np.int64)
+        for k in left.tolist():
+            ok = (100 * np.minimum(n[k], n[right]) >= percent * np.maximum(n[k], n[right])) & (label[right] != label[k]) & (home[right] | home[k])
+            at = right[ok]
+            apart = np.bitwise_count(bits[at] ^ bits[k]).sum(1, dtype=np.int64)
+            for i in at[apart * (100 + percent) <= (n[k] + n[at]) * (100 - percent)].tolist():
+                out.append((sig[k], sig[i], n[k], n[i]) if sig[k] < sig[i] else (sig[i], sig[k], n[i], n[k]))
+        return pd.DataFrame(out, columns=["a", "b", "na", "nb"])
 
     return compare
 
 
+def _apart(rest: DataFrame, one: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of classes of one n-gram, of ``rest(gram, sig, n, label, many)``, whose labels differ.
+
+    Linked sets have sizes in proportion. Sizes fall into bands, so that they
+    are of one band or of neighbouring ones: a class is at home in its band and
+    a guest in the one below. Bands are compared in blocks.
+    """
+    few = rest.where(F.col("many") <= FEW).drop("many")
+    near = few.join(few.toDF("gram", "other", "m", "label_m"), "gram").where((F.col("sig") < F.col("other")) & (F.col("label") != F.col("label_m")) & _sizes_fit("n", "m", percent))
+    near = near.select(*_pair("sig", "n", "other", "m"))
+    step = 1.0001 * math.log(100 / min(percent, 99))
+    own = F.floor(F.log("n") / step)
+    many = rest.where(F.col("many") > FEW).drop("many").withColumn("band", own).withColumn("home", F.explode(F.array(F.lit(True), F.lit(False))))
+    many = materialize(many.withColumn("band", F.when(F.col("home"), F.col("band")).otherwise(F.col("band") - 1)))
+    bands = many.groupBy("gram", "band").agg(F.count("*").alias("size"), F.max("home").alias("any"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    bands = materialize(bands.where("any and lo < hi").select("gram", "band", F.ceil(F.col("size") / BLOCK).alias("blocks")))
+    many = many.join(bands, ["gram", "band"]).withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2)
+    many = many.select("gram", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "n", "label", "home", side.alias("side"))
+    far = many.join(one.select("sig", "bits"), "sig").groupBy("gram", "band", "i", "j").applyInPandas(_compare(percent), "a binary, b binary, na long, nb long")
+    return near.unionAll(far).distinct()
+
+
 def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
@@ -243,51 +276,38 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ``docs`` are ignored. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(Order(_count_grams(docs, n)))
+    order = docs.sparkSession.sparkContext.broadcast(Order(_count_grams(docs, n)))
     sets = materialize(_sets(docs, order, n, percent))
 
     # Prefix n-grams that more than one class has.
     postings = sets.where("prefix is not null").select("sig", F.explode("prefix").alias("gram"))
-    by_gram = Window.partitionBy("gram")
-    shared = postings.select("*", F.min("sig").over(by_gram).alias("lo"), F.max("sig").over(by_gram).alias("hi")).where("lo < hi").select("gram", "sig").distinct()
-    shared = materialize(shared)
-    found = shared.groupBy("sig").agg(F.count("*").alias("met"))
-    one = materialize(sets.where("prefix is not null").join(found, "sig").groupBy("sig").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first(F.size("prefix") - F.col("met")).alias("alone")))
-    shared = materialize(shared.join(one.select("sig", "n", "alone"), "sig"))
-    reps = materialize(sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(found.select("sig"), "sig", "left_semi"))
+    common = materialize(postings.groupBy("gram").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("gram"))
+    met = materialize(postings.join(common, "gram").select("sig", "gram"))
+    found = met.groupBy("sig").agg(F.count_distinct("gram").alias("met"))
+    one = sets.where("prefix is not null").select("sig", "n", "bits", F.size("prefix").alias("prefix")).join(found, "sig")
+    one = materialize(one.groupBy("sig").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first(F.col("prefix") - F.col("met")).alias("alone")))
+    shared = materialize(met.distinct().join(one.select("sig", "n", "alone"), "sig"))
 
     # Stars: the hub of an n-gram has the most in common with others; a class is compared with the hub that it meets most.
-    hubs = shared.groupBy("gram").agg(F.min(F.struct("alone", "sig", "n")).alias("hub"))
-    stars = shared.join(hubs, "gram").select("sig", "n", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.alone").alias("alone")).where((F.col("sig") != F.col("hub")) & _sizes_fit("n", "m", percent))
+    hubs = materialize(shared.groupBy("gram").agg(F.min(F.struct("alone", "sig", "n")).alias("hub")))
+    stars = shared.select("gram", "sig", "n").join(hubs, "gram").select("sig", "n", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.alone").alias("alone")).where((F.col("sig") != F.col("hub")) & _sizes_fit("n", "m", percent))
     stars = stars.groupBy("sig", "n", "hub", "m", "alone").agg(F.count("*").alias("times"))
     nearest = stars.groupBy("sig", "n").agg(F.max(F.struct("times", -F.col("alone"), "hub", "m")).alias("best")).select("sig", "n", F.col("best.hub").alias("hub"), F.col("best.m").alias("m"))
     tried = materialize(nearest.select(*_pair("sig", "n", "hub", "m")).distinct())
-    links = materialize(_links(materialize(_sketched(tried, one, percent)), docs, reps, order, n, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    links = materialize(_links(materialize(_sketched(tried, one, percent)), sets, percent))
     label = materialize(components(links))
 
     # What is left: members of one n-gram that are still apart.
-    rest = shared.select("gram", "sig", "n").join(label.select(F.col("node").alias("sig"), "component"), "sig", "left")
-    rest = rest.select("gram", "sig", "n", F.coalesce("component", "sig").alias("label"))
-    rest = rest.select("*", F.min("label").over(by_gram).alias("lo"), F.max("label").over(by_gram).alias("hi"), F.count("*").over(by_gram).alias("many")).where("lo < hi").drop("lo", "hi")
-    rest = materialize(rest)
-    few = rest.where("many <= 16").drop("many")
-    near = few.join(few.toDF("gram", "other", "m", "label_m"), "gram").where((F.col("sig") < F.col("other")) & (F.col("label") != F.col("label_m")) & _sizes_fit("n", "m", percent))
-    near = near.select(*_pair("sig", "n", "other", "m"))
-    blocks = F.ceil(F.col("many") / BLOCK)
-    own = F.pmod(F.xxhash64("sig"), blocks)
-    many = rest.where("many > 16").select("*", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    many = many.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "n", "label", F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).alias("side"))
-    brief = materialize(one.select("sig", _fold(F.col("bits"), F.lit(BITS // 64)).alias("bits")))
-    far = many.join(brief, "sig").groupBy("gram", "i", "j").applyInPandas(_compare(percent), "a long, b long, na long, nb long")
-    left = near.unionAll(far.where("a < b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _links(materialize(_sketched(left.select("a", "b", "na", "nb"), one, percent)), docs, reps, order, n, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    rest = materialize(shared.select("gram", "sig", "n").join(label.select(F.col("node").alias("sig"), "component"), "sig", "left").select("gram", "sig", "n", F.coalesce("component", "sig").alias("label")))
+    open_ = materialize(rest.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).where("lo < hi").select("gram", "many"))
+    left = materialize(_apart(rest.join(open_, "gram"), one, percent).join(tried, ["a", "b"], "left_anti"))
+    more = _links(materialize(_sketched(left, one, percent)), sets, percent)
     label = materialize(components(links.unionAll(more)))
 
     # From classes to documents.
     rows = sets.select("doc_id", "n", "sig").join(label.select(F.col("node").alias("sig"), "component"), "sig", "left").select("doc_id", "n", F.coalesce("component", "sig").alias("class"))
     rows = materialize(rows)
-    least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
+    least = materialize(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size"))
     out = rows.join(least, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("least", "doc_id")).alias("component_id"))
 

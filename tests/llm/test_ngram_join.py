@@ -97,3 +97,42 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 120)] + [(7, 7), (5, 6)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert all(got[k] == 0 for k in range(31)) and all(got[k] == 100 for k in range(100, 120))
+
+
+def near_threshold(rng, groups):
+    """Pairs of texts whose 4-word shingle sets have a Jaccard similarity of about 0.8 to 0.9."""
+    rows = []
+    for g in range(groups):
+        base = [f"g{g}w{k}" for k in range(rng.randrange(60, 120))]
+        other, at = base.copy(), rng.randrange(len(base))
+        for k in range(at, min(len(base), at + rng.randrange(1, 9))):
+            other[k] = f"x{rng.randrange(10**9)}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    return rows
+
+
+def test_repeated_rows_near_the_threshold(spark):
+    rows = near_threshold(random.Random(11), 60)
+    want = brute(rows)
+    linked = sum(w[0] != w[2] for w in want)
+    assert 10 < linked < 50
+    assert run(corpus(spark, rows)) == want
+    assert run(corpus(spark, rows + rows)) == sorted(want + want, key=str)
+
+
+def test_one_id_on_several_texts_and_null_ids(spark):
+    rows = near_threshold(random.Random(12), 30)
+    rows = [(None if k % 7 == 0 else 5 * (k // 5), t) for k, (_, t) in enumerate(rows)]
+    rows += rows[::3]
+    assert run(corpus(spark, rows)) == brute(rows)
+
+
+def test_many_sizes_in_one_block(spark, monkeypatch):
+    from lacuna.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "FEW", 2)
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join([*base[: rng.randrange(4, 200)], *(f"y{rng.randrange(10**9)}" for _ in range(rng.randrange(3)))])) for k in range(120)]
+    assert run(corpus(spark, rows)) == brute(rows)
