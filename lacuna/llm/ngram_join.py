@@ -16,9 +16,8 @@ Which pairs are counted:
   n-grams it shares. Then only classes whose components still differ are compared, in bounded
   blocks of like sizes. So a group of near copies costs a star and not all its pairs.
 
-Texts are read twice: for the counts that order n-grams, and for the sets, of
-which a task writes each class once. All later steps read those columns of the
-sets that they need.
+A row is known by a hash of its id and text, so that rows with one id are told
+apart. Only texts of classes that are in candidate pairs are cut into fragments.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm import textvec
 from lacuna.llm.components import components
-from lacuna.llm.session import materialize, read
+from lacuna.llm.session import join_keys, materialize, read
 
 #: Counters of the sketch that orders n-grams, and fragments of the order.
 COUNTERS, FRAGMENTS = 1 << 20, 8
@@ -148,31 +147,48 @@ def _class(own: np.ndarray) -> bytes:
 
 
 def _sets(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """Per document: size, class of its set, and of a class once in each task: parity sketch, prefix, and members by fragment."""
+    """Per document: size, class of its set and half of its bits, and of a class once in each task: parity sketch and prefix."""
 
     def make(batches):
         seen: set[bytes] = set()
         for batch, gram, bounds in _batches(batches, n):
-            size, sig, bits, prefix, members = [], [], [], [], []
+            size, sig, bits, prefix = [], [], [], []
             place = order.value.place(gram)
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 own = np.unique(place[lo:hi])
                 size.append(len(own))
                 sig.append(_class(own) if len(own) else None)
                 if not len(own) or sig[-1] in seen:
-                    bits.append(None), prefix.append(None), members.append(None)
+                    bits.append(None), prefix.append(None)
                     continue
                 seen.add(sig[-1])
                 places = _bits(len(own))
                 odd = np.bincount((textvec.mix(own) & U64(places - 1)).astype(int), minlength=places).astype(np.uint8) & 1
                 bits.append(np.packbits(odd).tobytes())
                 prefix.append(own[: _need(len(own), percent)].view(np.int64))
-                at = np.searchsorted(order.value.fragment(own), np.arange(1, FRAGMENTS))
-                members.append([x.view(np.int64) for x in np.split(own, at)])
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(bits, pa.binary()), pa.array(prefix, lists), pa.array(members, pa.list_(lists))], names=["doc_id", "n", "sig", "bits", "prefix", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array([s and int.from_bytes(s[:8], "little", signed=True) for s in sig], pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "sig", "half", "bits", "prefix"])
 
-    return docs.mapInArrow(make, "doc_id long, n long, sig binary, bits binary, prefix array<long>, members array<array<long>>")
+    return docs.mapInArrow(make, "doc_id long, key long, n long, sig binary, half long, bits binary, prefix array<long>")
+
+
+def _members(docs: DataFrame, order, n: int) -> DataFrame:
+    """(sig, members): the class of each text and its set, cut into the fragments of the global order. A task sends a class once."""
+
+    def cut(batches):
+        seen: set[bytes] = set()
+        for batch, gram, bounds in _batches(batches, n):
+            sig, members = [], []
+            place = order.value.place(gram)
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                own = np.unique(place[lo:hi])
+                name = _class(own)
+                if len(own) and name not in seen:
+                    seen.add(name)
+                    at = np.searchsorted(order.value.fragment(own), np.arange(1, FRAGMENTS))
+                    sig.append(name), members.append([x.view(np.int64) for x in np.split(own, at)])
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(members, pa.list_(pa.list_(pa.int64())))], names=["sig", "members"])
+
+    return docs.select("text").mapInArrow(cut, "sig binary, members array<array<long>>")
 
 
 def _sizes_fit(x: str, y: str, percent: int):
@@ -203,10 +219,10 @@ def _sketched(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "x", "y").repartition(tasks, "a", "b").mapInArrow(_near(percent), "a binary, b binary, na long, nb long")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, one: DataFrame, order, n: int, percent: int) -> DataFrame:
     """The pairs (u, v) that link: overlaps are counted by fragment and summed."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    own = sets.where("members is not null").select("sig", "members").join(need, "sig").groupBy("sig").agg(F.first("members").alias("members"))
+    need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(one.select("sig", "key"), "sig").select("key").distinct())
+    own = _members(join_keys(docs, need, "key", "left_semi"), order, n).groupBy("sig").agg(F.first("members").alias("members"))
     parts = materialize(own.select("sig", F.posexplode("members").alias("fragment", "members")).where(F.size("members") > 0))
     one = pairs.join(parts.select(F.col("sig").alias("a"), "fragment", F.col("members").alias("x")), "a")
     both = one.join(parts.select(F.col("sig").alias("b"), "fragment", F.col("members").alias("y")), ["b", "fragment"])
@@ -275,17 +291,17 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     null id stays null and never is another row's component. Other columns of
     ``docs`` are ignored. An empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     order = docs.sparkSession.sparkContext.broadcast(Order(_count_grams(docs, n)))
     sets = materialize(_sets(docs, order, n, percent))
 
     # Prefix n-grams that more than one class has.
-    postings = sets.where("prefix is not null").select("sig", F.explode("prefix").alias("gram"))
-    common = materialize(postings.groupBy("gram").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("gram"))
+    postings = sets.where("prefix is not null").select("sig", "half", F.explode("prefix").alias("gram"))
+    common = materialize(postings.groupBy("gram").agg(F.min("half").alias("lo"), F.max("half").alias("hi")).where("lo < hi").select("gram"))
     met = materialize(postings.join(common, "gram").select("sig", "gram"))
     found = met.groupBy("sig").agg(F.count_distinct("gram").alias("met"))
-    one = sets.where("prefix is not null").select("sig", "n", "bits", F.size("prefix").alias("prefix")).join(found, "sig")
-    one = materialize(one.groupBy("sig").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first(F.col("prefix") - F.col("met")).alias("alone")))
+    one = sets.where("prefix is not null").select("sig", "key", "n", "bits", F.size("prefix").alias("prefix")).join(found, "sig")
+    one = materialize(one.groupBy("sig").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first(F.col("prefix") - F.col("met")).alias("alone")))
     shared = materialize(met.distinct().join(one.select("sig", "n", "alone"), "sig"))
 
     # Stars: the hub of an n-gram has the most in common with others; a class is compared with the hub that it meets most.
@@ -294,14 +310,14 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stars = stars.groupBy("sig", "n", "hub", "m", "alone").agg(F.count("*").alias("times"))
     nearest = stars.groupBy("sig", "n").agg(F.max(F.struct("times", -F.col("alone"), "hub", "m")).alias("best")).select("sig", "n", F.col("best.hub").alias("hub"), F.col("best.m").alias("m"))
     tried = materialize(nearest.select(*_pair("sig", "n", "hub", "m")).distinct())
-    links = materialize(_links(materialize(_sketched(tried, one, percent)), sets, percent))
+    links = materialize(_links(materialize(_sketched(tried, one, percent)), docs, one, order, n, percent))
     label = materialize(components(links))
 
     # What is left: members of one n-gram that are still apart.
     rest = materialize(shared.select("gram", "sig", "n").join(label.select(F.col("node").alias("sig"), "component"), "sig", "left").select("gram", "sig", "n", F.coalesce("component", "sig").alias("label")))
     open_ = materialize(rest.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).where("lo < hi").select("gram", "many"))
     left = materialize(_apart(rest.join(open_, "gram"), one, percent).join(tried, ["a", "b"], "left_anti"))
-    more = _links(materialize(_sketched(left, one, percent)), sets, percent)
+    more = _links(materialize(_sketched(left, one, percent)), docs, one, order, n, percent)
     label = materialize(components(links.unionAll(more)))
 
     # From classes to documents.
