@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.session import join_keys, materialize, read
+from lacuna.llm.session import BROADCAST_KEYS, join_keys, materialize, read
 
 #: Sites from which on a line is boilerplate; log2 of a sketch's registers; the estimate's error that is counted exactly.
 SITES, REGISTERS, ERROR = 10, 12, 0.1
@@ -35,7 +35,7 @@ def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     return materialize(spread.where(F.col("about") > sites * (1 + ERROR) + 1).select("key").unionAll(exact))
 
 
-def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", sites: int = SITES) -> DataFrame:
     """``docs`` with boilerplate lines removed, and columns n_lines and n_removed (replaced if ``docs`` has them).
 
     Lines are compared without spaces around them; blank lines are never
@@ -45,20 +45,23 @@ def remove_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     text stays null with 0 lines. Repeated rows are treated alike.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    inner = docs.select(F.col(site_col).cast("string").alias("_site"), F.col(text_col).alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("_row"))
-    flagged = boilerplate(inner, sites)
-    hits = inner.select("_row", F.explode(F.transform(F.split("_text", "\n"), _key)).alias("key"))
-    # Which boilerplate a document has; under one id all rows may share, as every key here is boilerplate.
-    found = materialize(join_keys(hits, flagged, "key", "left_semi").groupBy("_row").agg(F.collect_set("key").alias("_keys")))
-    rows = join_keys(docs.select(*own).withColumn("_row", F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long"))), found, "_row", "left")
-    split = F.split(F.col(text_col), "\n")
-    stays = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains("_keys", _key(x)))
-    kept = F.when(F.col("_keys").isNull() | ~F.exists(stays, lambda x: F.trim(x) != ""), split).otherwise(stays)
-    rows = rows.withColumn("_kept", kept)
-    text = F.when(F.size("_kept") == F.size(split), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
-    n_lines = F.coalesce(F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)), F.lit(0)).cast("long")
-    n_removed = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split) - F.size("_kept")).cast("long")
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in own], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    # Columns of docs stay inside one struct, so that none can clash with those made here.
+    others = [c for c in own if c != text_col]
+    rows = docs.select(F.struct(*others).alias("doc") if others else F.lit(True).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("row"))
+    flagged = boilerplate(docs.select(F.col(site_col).cast("string").alias("_site"), F.col(text_col).alias("_text")), sites)
+    hits = rows.select("row", F.explode(F.transform(F.split("text", "\n"), _key)).alias("key"))
+    # Which boilerplate a text has. Texts of one hash may share, as every key here is boilerplate.
+    found = materialize(join_keys(hits, flagged, "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("keys")))
+    held = found.agg(F.coalesce(F.sum(F.size("keys") + 4), F.lit(0))).first()[0]
+    rows = rows.join(F.broadcast(found) if held <= BROADCAST_KEYS else found, "row", "left")
+    split = F.split("text", "\n")
+    stays = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains("keys", _key(x)))
+    kept = F.when(F.col("keys").isNull() | ~F.exists(stays, lambda x: F.trim(x) != ""), split).otherwise(stays)
+    rows = rows.select("doc", "text", kept.alias("kept"))
+    text = F.when(F.size("kept") == F.size(split), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    n_lines = F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(split)), F.lit(0)).cast("long")
+    n_removed = F.when(F.col("text").isNull(), 0).otherwise(F.size(split) - F.size("kept")).cast("long")
+    return rows.select(*[(text if c == text_col else F.col("doc")[c]).alias(c) for c in own], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Documents become token sequences; those longer than a sequence are cut. Pieces
 are dealt into shards of bounded size, and each shard is packed by several
 islands. A chromosome is a packing. Crossover puts whole well-filled bins of
-one parent into the other, removes what is then there twice, and puts the
-displaced pieces back by best fit. Between epochs each island sends its elite
+one parent into the other, removes what is then there twice, swaps displaced
+pieces into bins that they fill better, and puts the rest back by best fit. Between epochs each island sends its elite
 to the next one of its shard. Pieces of badly filled bins of all shards are
 then packed once more together.
 """
@@ -26,8 +26,10 @@ from lacuna.llm.tokens import default_vocabulary, tokens
 
 #: Tokens of a sequence; the id that ends a document.
 CAPACITY, END = 2048, 0
-#: Pieces of a shard, islands of a shard, epochs, chromosomes of an island, generations of an epoch.
-SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3000, 2, 2, 4, 6
+#: Pieces of a shard, islands of a shard, epochs, chromosomes of an island, generations of an epoch, bins that a child may swap items in.
+SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS, SWAPS = 3000, 2, 2, 6, 10, 64
+#: Tasks of an epoch, at most.
+MOST_TASKS = 20_000
 #: Bins filled less than this are packed again with those of other shards.
 LOOSE = 0.97
 
@@ -93,29 +95,64 @@ def mutate(sizes: np.ndarray, place: np.ndarray, rng: np.random.Generator, capac
     gone = np.zeros(len(fill), bool)
     gone[np.argsort(fill)[: max(1, len(fill) // 20)]] = True
     gone[rng.integers(0, len(fill), max(1, len(fill) // 40))] = True
-    return _place(sizes, place, ~gone[place], rng, capacity)
+    return _place(sizes, place, ~gone[place], rng, capacity, SWAPS)
 
 
 def _repair(sizes: np.ndarray, into: np.ndarray, moved: np.ndarray, giver: np.ndarray, rng: np.random.Generator, capacity: int) -> np.ndarray:
     hit = np.zeros(into.max() + 1, bool)
     hit[into[moved]] = True
     stay = moved | ~hit[into]
-    return _place(sizes, np.where(moved, giver + into.max() + 1, into), stay, rng, capacity)
+    return _place(sizes, np.where(moved, giver + into.max() + 1, into), stay, rng, capacity, SWAPS)
 
 
-def _place(sizes: np.ndarray, place: np.ndarray, stay: np.ndarray, rng: np.random.Generator, capacity: int) -> np.ndarray:
-    """Items that stay keep their bins; the others, large ones first with a little noise, are best-fitted."""
+def _place(sizes: np.ndarray, place: np.ndarray, stay: np.ndarray, rng: np.random.Generator, capacity: int, swaps: int = 0) -> np.ndarray:
+    """Items that stay keep their bins, but for some that are swapped for displaced ones; the others, large ones first with a little noise, are best-fitted."""
     out = np.full(len(sizes), -1, np.int64)
     out[stay] = _tidy(place[stay])
     bins = int(out.max()) + 1
-    room = capacity - np.bincount(out[stay], sizes[stay], bins).astype(int)
-    free = sorted((r, b) for b, r in enumerate(room.tolist()) if r > 0)
     items = np.flatnonzero(~stay)
+    if swaps and bins and len(items) > 1:
+        items = _swap(sizes, out, items, rng.permutation(bins)[:swaps], capacity)
+    room = capacity - np.bincount(out[out >= 0], sizes[out >= 0], bins).astype(int)
+    free = sorted((r, b) for b, r in enumerate(room.tolist()) if r > 0)
     items = items[np.argsort(-(sizes[items] + rng.random(len(items)) * 8), kind="stable")]
     best_fit(sizes.tolist(), items.tolist(), free, out, bins, capacity)
     return _tidy(out)
 
 
+def _swap(sizes: np.ndarray, out: np.ndarray, items: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """In each of some bins one or two items are swapped for one or two displaced ones, if that fills it better; returns what is displaced then."""
+    items = items[np.argsort(sizes[items], kind="stable")]
+    for b in bins.tolist():
+        own = np.flatnonzero(out == b)
+        room = capacity - int(sizes[own].sum())
+        if room <= 0 or len(own) > 8:
+            continue
+        size, best = sizes[items], (0, None, None)
+        for away in [(), *((i,) for i in own), *((i, j) for k, i in enumerate(own) for j in own[:k])]:
+            lost = int(sizes[list(away)].sum())
+            one = int(np.searchsorted(size, lost + room, "right")) - 1
+            if one >= 0 and size[one] - lost > best[0]:
+                best = int(size[one]) - lost, away, [one]
+            other = np.searchsorted(size, lost + room - size, "right") - 1
+            ok = np.flatnonzero(other > np.arange(len(size)))
+            if len(ok):
+                k = int(ok[np.argmax(size[ok] + size[other[ok]])])
+                if size[k] + size[other[k]] - lost > best[0]:
+                    best = int(size[k] + size[other[k]]) - lost, away, [k, int(other[k])]
+            if best[0] == room:
+                break
+        if best[0]:
+            _, away, into = best
+            out[items[into]] = b
+            out[list(away)] = -1
+            items = np.concatenate([np.delete(items, into), np.array(away, items.dtype)])
+            items = items[np.argsort(sizes[items], kind="stable")]
+            if len(items) < 2:
+                break
+    return items
+
+
 def evolve(sizes: np.ndarray, seed: list[int], migrants: list[np.ndarray], capacity: int = CAPACITY) -> np.ndarray:
     """One epoch of one island: the best packing it finds, as a bin number for each item."""
     rng = np.random.default_rng(seed)
@@ -138,7 +175,7 @@ def evolve(sizes: np.ndarray, seed: list[int], migrants: list[np.ndarray], capac
     return pool[min(range(len(pool)), key=rank.__getitem__)].astype(np.int32)
 
 
-def _islands(shards: DataFrame, epoch: int, capacity: int) -> DataFrame:
+def _islands(shards: DataFrame, count: int, epoch: int, capacity: int) -> DataFrame:
     """One epoch of all islands: rows (shard, island, sizes, elites) get place and bins."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,13 +187,15 @@ def _islands(shards: DataFrame, epoch: int, capacity: int) -> DataFrame:
                 bins.append(int(found.max()) + 1 if len(found) else 0)
             yield frame[["shard", "island"]].assign(place=place, bins=bins)
 
-    rows = shards.repartition("shard", "island")
+    # A number of tasks, as rows are few and small, but each is seconds of work.
+    rows = shards.repartition(min(count * ISLANDS, MOST_TASKS), "shard", "island")
     return rows.mapInPandas(run, "shard long, island int, place binary, bins int")
 
 
 def _pack(items: DataFrame, count: int, capacity: int) -> DataFrame:
     """(item, sequence_id, offset) of ``count`` items (item, length), each shorter than a sequence."""
-    shards = items.groupBy(F.pmod(F.xxhash64("item"), F.lit(max(1, -(-count // SHARD)))).alias("shard"))
+    parts = max(1, -(-count // SHARD))
+    shards = items.groupBy(F.pmod(F.xxhash64("item"), F.lit(parts)).alias("shard"))
     shards = materialize(shards.agg(F.array_sort(F.collect_list(F.struct("item", "length"))).alias("own")).select("shard", F.col("own.item").alias("item"), F.col("own.length").alias("sizes")))
     island = F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island")
     elites = None
@@ -168,7 +207,7 @@ def _pack(items: DataFrame, count: int, capacity: int) -> DataFrame:
             own = elites.select("shard", "island", F.array("place").alias("own"))
             guest = elites.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.array("place").alias("guest"))
             ready = ready.join(own, ["shard", "island"]).join(guest, ["shard", "island"]).select("shard", "sizes", "island", F.concat("own", "guest").alias("elites"))
-        elites = materialize(_islands(ready, epoch, capacity))
+        elites = materialize(_islands(ready, parts, epoch, capacity))
     best = elites.groupBy("shard").agg(F.min(F.struct("bins", "island", "place")).getField("place").alias("place"))
 
     def lay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -26,6 +26,8 @@ RULES = (
 
 #: Characters of context; the least probability of a character; copies of the table that hot n-grams are spread over.
 ORDER, UNIFORM, SALTS = 4, 1 / 256, 8
+#: Rows (short string, long) of ratios that may be broadcast, about 20 MB; above it a salted, shuffled join is used.
+BROADCAST_GRAMS = 250_000
 #: Width of a calibration bin in millionths.
 BIN = 10_000
 
@@ -63,9 +65,12 @@ def _ratios(counts: DataFrame) -> DataFrame:
     for k in range(ORDER + 1):
         tail = F.substring("gram", ORDER + 1 - k, k + 1)
         seen = counts.groupBy(tail.alias("tail")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        context = F.substring("tail", 1, k) if k else F.lit("")
-        total = seen.groupBy(context.alias("context")).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.count_if(F.col("a") > 0).alias("ta"), F.count_if(F.col("b") > 0).alias("tb"))
-        level = seen.withColumn("context", context).join(total, "context").drop("context")
+        sums = [F.sum("a").alias("na"), F.sum("b").alias("nb"), F.count_if(F.col("a") > 0).alias("ta"), F.count_if(F.col("b") > 0).alias("tb")]
+        if k:
+            context = F.substring("tail", 1, k).alias("context")
+            level = seen.select("*", context).join(seen.groupBy(context).agg(*sums), "context").drop("context")
+        else:
+            level = seen.select("*", *(F.lit(n or 0).alias(name) for name, n in seen.agg(*sums).first().asDict().items()))
         out = out.withColumn("tail", tail).join(level, "tail")
         mixed = lambda c, n, t, p: F.when(F.col(n) + F.col(t) > 0, (F.col(c) + F.col(t) * F.col(p)) / (F.col(n) + F.col(t))).otherwise(F.col(p))
         out = out.select("gram", mixed("a", "na", "ta", "pa").alias("pa"), mixed("b", "nb", "tb", "pb").alias("pb"))
@@ -90,9 +95,13 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ru
     learn = lambda what: F.when(~held & (F.col("decided") == what), 1).otherwise(0)
     grams = _grams(rows.withColumns({"allow": learn("allow"), "block": learn("block")}))
     counts = materialize(grams.groupBy("gram").agg(F.sum("allow").alias("a"), F.sum("block").alias("b")))
-    ratios = _ratios(counts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = grams.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
-    summed = salted.join(ratios, ["gram", "salt"]).groupBy("row").agg(F.sum("ratio").alias("total"), F.count("*").alias("n"))
+    ratios = _ratios(counts)
+    if counts.count() <= BROADCAST_GRAMS:
+        rated = grams.join(F.broadcast(ratios), "gram")
+    else:
+        salted = grams.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
+        rated = salted.join(ratios.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["gram", "salt"])
+    summed = rated.groupBy("row").agg(F.sum("ratio").alias("total"), F.count("*").alias("n"))
     score = F.floor(F.col("total").cast("double") / F.col("n")).cast("long")
     scored = materialize(rows.join(summed.select("row", score.alias("score")), "row"))
     level = threshold(scored.where(held & F.col("decided").isNotNull()))

@@ -44,6 +44,23 @@ def test_whole_copies_stay(spark):
     assert got[3] == "all of\nthis page" and got[99] == "more"
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_lines_of_tables_with_clashing_names(spark, monkeypatch, most):
+    from lacuna.llm import session
+
+    monkeypatch.setattr(line_spread, "BROADCAST_KEYS", most)
+    monkeypatch.setattr(session, "BROADCAST_KEYS", most)
+    names = ["doc", "row", "keys", "key", "kept", "_row", "_keys", "_kept", "_site", "_text", "n_lines"]
+    rows = [(None if k % 2 else k, f"own {k}\nboiler", f"s{k}", *(f"{n}{k}" for n in names)) for k in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    got = line_spread.remove_boilerplate(frame)
+    assert got.columns == [c for c in frame.columns if c != "n_lines"] + ["n_lines", "n_removed"]
+    by_row = {r["row"]: r for r in got.collect()}
+    for r in rows:
+        own = by_row[r[4]]
+        assert own["text"] == r[1].split("\n")[0] and (own["doc_id"], own["source"], own["_row"], own["n_lines"], own["n_removed"]) == (r[0], r[2], r[8], 2, 1)
+
+
 def test_line_edges(spark):
     out = line_spread.remove_boilerplate(edge(spark), sites=1)
     rows = out.collect()
@@ -68,6 +85,13 @@ def test_url_edges(spark):
     assert url_model.judge(frame.limit(0)).count() == 0
 
 
+def test_joins_of_small_and_large_models_agree(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    small = sorted(map(str, url_model.judge(pages).collect()))
+    monkeypatch.setattr(url_model, "BROADCAST_GRAMS", 0)
+    assert sorted(map(str, url_model.judge(pages).collect())) == small
+
+
 @pytest.mark.parametrize("module,query", [(line_spread, "op10_line_spread"), (url_model, "op8_url_ratio")])
 def test_sql(spark, module, query):
     con = duckdb.connect()
