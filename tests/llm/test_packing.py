@@ -77,3 +77,21 @@ def test_genetic_steps_keep_packings_whole():
     best = packing.evolve(sizes, [1, 2, 3], [a, b], 100)
     assert packing.fitness(sizes, best, 100) <= min(packing.fitness(sizes, a, 100), packing.fitness(sizes, b, 100))
     assert packing.evolve(np.empty(0, int), [0], []).tolist() == []
+
+
+def test_search_beats_best_fit_on_hard_sizes():
+    rng = np.random.default_rng(1)
+    triplets = []
+    for _ in range(200):
+        a = int(rng.integers(780, 1000))
+        b = int(rng.integers(512, (2048 - a) // 2))
+        triplets += [a, b, 2048 - a - b]
+    for sizes in (np.array(triplets), rng.integers(400, 1000, 600)):
+        bound = -(-int(sizes.sum()) // 2048)
+        plain = int(packing._place(sizes, np.zeros(len(sizes), int), np.zeros(len(sizes), bool), rng, 2048).max()) + 1
+        first = [packing.evolve(sizes, [0, 0, k], []) for k in range(packing.ISLANDS)]
+        last = [packing.evolve(sizes, [1, 0, k], [first[k], first[k - 1]]) for k in range(packing.ISLANDS)]
+        found = min(int(x.max()) + 1 for x in last)
+        assert all(np.bincount(x, sizes).max() <= 2048 for x in last)
+        # At least half of what best fit wastes is won.
+        assert bound <= found <= (bound + plain) / 2
