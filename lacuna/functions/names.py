@@ -22,7 +22,9 @@ def prefetch_parts(name: Column) -> tuple[Column, Column]:
 def safe_name(ordinal: Column, name: Column) -> Column:
     """Name of an input's output file."""
     clean = F.btrim(F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_"), F.lit("_"))
-    return F.concat(F.lpad(ordinal.cast("string"), 4, "0"), F.lit("_"), F.when(clean == "", "input").otherwise(clean), F.lit(".json"))
+    number = ordinal.cast("string")
+    wide = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), 4 - F.length(number))), number)
+    return F.concat(wide, F.lit("_"), F.when(clean == "", "input").otherwise(clean), F.lit(".json"))
 
 
 def evidence_ref(prefix: Column, row: Column, activity: Column, artifact_type: Column) -> Column:

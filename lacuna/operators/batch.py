@@ -50,3 +50,8 @@ def rehash(recorded: DataFrame, now: DataFrame, key: str) -> DataFrame:
     """Recorded digests against those of now: same, changed or missing."""
     state = F.when(F.col("now").isNull(), "missing").when(F.col("now") == F.col("recorded"), "same").otherwise("changed")
     return recorded.join(now, key, "left").select(key, state.alias("state"))
+
+
+def capped_counts(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """Rows of each kind, at most so many, and whether the number is only a lower bound."""
+    return rows.groupBy(by).agg(F.least(F.count("*"), F.lit(most)).alias("n"), (F.count("*") >= most).alias("lower_bound"))

@@ -39,13 +39,13 @@ def invalid_targets(mapping: DataFrame) -> DataFrame:
     return mapping.where(~c.key_in_catalog(F.col("activity"), F.col("artifact_type")))
 
 
-def classify(timeline: DataFrame, rows: list[tuple], *, error: Column | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
-    """timeline(row_num, ...) with class (over_limit, invalid, ambiguous, unmatched, matched), activity and artifact_type."""
+def classify(timeline: DataFrame, rows: list[tuple], *, error: Column | None = None, max_rows: int | None = MAX_ROWS) -> DataFrame:
+    """timeline(row_num, ...) with class (over_limit, invalid, ambiguous, unmatched, matched), activity and artifact_type. Without ``max_rows`` no row is over the limit."""
     activity = F.array(*[F.lit(r[4]) for r in rows])
     artifact = F.array(*[F.lit(r[5]) for r in rows])
     out = timeline.withColumns({"row_error": error if error is not None else F.lit(None).cast("string"), "_matches": matching(rows)})
     count = F.size("_matches")
-    kind = F.when(F.col("row_num") > max_rows, "over_limit").when(F.col("row_error").isNotNull(), "invalid").when(count > 1, "ambiguous").when(count == 0, "unmatched").otherwise("matched")
+    kind = F.when(F.col("row_num") > max_rows if max_rows is not None else F.lit(False), "over_limit").when(F.col("row_error").isNotNull(), "invalid").when(count > 1, "ambiguous").when(count == 0, "unmatched").otherwise("matched")
     pick = F.when(kind == "matched", F.element_at("_matches", 1))
     return out.select("*", kind.alias("class"), count.alias("n_matches"), F.get(activity, pick).alias("activity"), F.get(artifact, pick).alias("artifact_type")).drop("_matches")
 

@@ -200,11 +200,10 @@ MAPPED = (
     ("web", None, "error", "v1", "session_termination", "security_event_4634"),
     ("web", "desktop", "purchase", None, "file_change", "ntfs_usn_change_journal"),
 )
-LIMIT = 9_000
 SQL_LINES = f"""lines AS (SELECT event_id + 1 AS row_num, CASE WHEN user_id % 13 = 0 THEN ' ' WHEN user_id % 2 = 0 THEN 'app' ELSE 'web' END AS source,
   CASE event_id % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' END AS sourcetype, event_type AS type, 'v' || event_id % 2 AS format, props AS descr FROM events),
 hits AS (SELECT *, list_filter([{", ".join("CASE WHEN " + " AND ".join(f"coalesce({c} = '{v}', FALSE)" for c, v in zip(("source", "sourcetype", "type", "format"), m[:4], strict=True) if v is not None) + f" THEN {k} END" for k, m in enumerate(MAPPED))}], lambda x: x IS NOT NULL) AS hit FROM lines),
-classes AS (SELECT *, len(hit) AS n_matches, CASE WHEN row_num > {LIMIT} THEN 'over_limit' WHEN trim(source) = '' THEN 'invalid' WHEN len(hit) > 1 THEN 'ambiguous' WHEN len(hit) = 0 THEN 'unmatched' ELSE 'matched' END AS class FROM hits),
+classes AS (SELECT *, len(hit) AS n_matches, CASE WHEN trim(source) = '' THEN 'invalid' WHEN len(hit) > 1 THEN 'ambiguous' WHEN len(hit) = 0 THEN 'unmatched' ELSE 'matched' END AS class FROM hits),
 named AS (SELECT *, CASE WHEN class = 'matched' THEN [{", ".join(f"'{m[4]}'" for m in MAPPED)}][hit[1] + 1] END AS activity, CASE WHEN class = 'matched' THEN [{", ".join(f"'{m[5]}'" for m in MAPPED)}][hit[1] + 1] END AS artifact_type FROM classes)"""
 
 
@@ -218,7 +217,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("v"), (e % 2).cast("string")).alias("format"),
         F.col("props").alias("desc"),
     )
-    return timeline.classify(rows, list(MAPPED), error=timeline.row_error(["source", "type"]), max_rows=LIMIT)
+    return timeline.classify(rows, list(MAPPED), error=timeline.row_error(["source", "type"]), max_rows=None)
 
 
 @query(f"WITH {SQL_LINES} SELECT row_num, class, n_matches::INTEGER AS n_matches, activity, artifact_type FROM named")
@@ -236,8 +235,8 @@ def timeline_first_match(spark, sf_dir):
     return timeline.first_matches(lines(spark, sf_dir))
 
 
-@query(f"""WITH {SQL_LINES} SELECT count_if(class <> 'over_limit')::BIGINT AS total_rows, count_if(class = 'matched')::BIGINT AS matched_rows, count_if(class = 'unmatched')::BIGINT AS unmatched_rows,
-(count_if(class = 'invalid') + max((class = 'over_limit')::INT))::BIGINT AS rejected_rows, count_if(class = 'ambiguous')::BIGINT AS mapping_errors, count(DISTINCT activity || '/' || artifact_type) AS targets FROM named""")
+@query(f"""WITH {SQL_LINES} SELECT count(*)::BIGINT AS total_rows, count_if(class = 'matched')::BIGINT AS matched_rows, count_if(class = 'unmatched')::BIGINT AS unmatched_rows,
+count_if(class = 'invalid')::BIGINT AS rejected_rows, count_if(class = 'ambiguous')::BIGINT AS mapping_errors, count(DISTINCT activity || '/' || artifact_type) AS targets FROM named""")
 def import_counters(spark, sf_dir):
     return timeline.counters(lines(spark, sf_dir))
 
@@ -488,10 +487,7 @@ def prefetch_name_split(spark, sf_dir):
 
 @query("SELECT page_id, lpad(page_id::VARCHAR, greatest(4, length(page_id::VARCHAR))::INTEGER, '0') || '_' || trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '_') || '.json' AS name FROM pages")
 def safe_output_name(spark, sf_dir):
-    number = F.col("page_id").cast("string")
-    clean = F.btrim(F.regexp_replace("url", "[^A-Za-z0-9._-]+", "_"), F.lit("_"))
-    wide = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), 4 - F.length(number))), number)
-    return read(spark, sf_dir, "pages").select("page_id", F.concat(wide, F.lit("_"), clean, F.lit(".json")).alias("name"))
+    return read(spark, sf_dir, "pages").select("page_id", names.safe_name(F.col("page_id"), F.col("url")).alias("name"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'MAM' WHEN 1 THEN 'SCCA' ELSE 'UNKNOWN' END AS container, o_orderkey % 4 = 2 AS zero_filled FROM orders")
@@ -540,16 +536,15 @@ def report_order(spark, sf_dir):
 @query("SELECT event_type, least(count(*), 1500) AS n, count(*) >= 1500 AS lower_bound FROM events GROUP BY 1")
 def capped_counts(spark, sf_dir):
     """Counts that say when they are only a lower bound."""
-    n = F.count("*")
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.least(n, F.lit(1500)).alias("n"), (n >= 1500).alias("lower_bound"))
+    return batch.capped_counts(read(spark, sf_dir, "events"), "event_type", 1500)
 
 
-@query("""WITH r AS (SELECT doc_id, sha256(text) AS recorded FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS now FROM documents WHERE doc_id % 3 > 0)
+@query("""WITH r AS (SELECT doc_id, sha256(text) AS recorded FROM documents), n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS now FROM documents WHERE doc_id % 3 > 0)
 SELECT doc_id, CASE WHEN now IS NULL THEN 'missing' WHEN now = recorded THEN 'same' ELSE 'changed' END AS state FROM r LEFT JOIN n USING (doc_id)""")
 def source_rehash(spark, sf_dir):
     """Recorded digests of sources against their content now; a third of the sources is gone in this scenario."""
     docs = read(spark, sf_dir, "documents")
-    recorded = docs.where("doc_id % 2 = 0").select(F.col("doc_id"), F.sha2(F.encode("text", "utf-8"), 256).alias("recorded"))
+    recorded = docs.select(F.col("doc_id"), F.sha2(F.encode("text", "utf-8"), 256).alias("recorded"))
     now = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     return batch.rehash(recorded, docs.where("doc_id % 3 > 0").select("doc_id", F.sha2(F.encode(now, "utf-8"), 256).alias("now")), "doc_id")
 
