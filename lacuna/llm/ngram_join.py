@@ -26,7 +26,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +36,8 @@ from lacuna.llm.session import join_keys, materialize, read
 
 #: Counters of the sketch that orders n-grams, and fragments of the order.
 COUNTERS, FRAGMENTS = 1 << 20, 8
-#: Bits of the short sketch that blocks compare and of the longest one; members of a block that are compared in one task.
-BITS, MOST_BITS, BLOCK = 1024, 1 << 17, 1024
-#: Members of an n-gram that are compared by a plain join, at most.
-FEW = 16
+#: Bits of the least and of the longest sketch, and of the least one that blocks compare; members of a block that are compared in one task.
+BITS, MOST_BITS, LEAST_BITS, BLOCK = 1024, 1 << 17, 256, 1024
 U64 = np.uint64
 
 
@@ -238,47 +235,93 @@ def _pair(sig: str, n: str, other: str, m: str):
     return [pick(sig, other).alias("a"), pick(other, sig).alias("b"), pick(n, m).alias("na"), pick(m, n).alias("nb")]
 
 
+def _brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short sketches for blocks: folded to half as many bits as a set has members, or somewhat more."""
+    for batch in batches:
+        short = []
+        for bits, n in zip(batch.column("bits"), batch.column("n").to_pylist(), strict=True):
+            bits = np.frombuffer(bits.as_buffer(), U64)
+            short.append(_fold(bits, min(len(bits), max(LEAST_BITS, 1 << (n // 2).bit_length()) // 64)).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(short, pa.binary())], names=["sig", "brief"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """A stream sorted by key, cut between groups: tables, and where in them each group begins, and the end. Groups are bounded, so tables are."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        table = pa.Table.from_batches([*rest, batch]).combine_chunks()
+        key = table.column("key").to_numpy()
+        new = (np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()
+        if new:
+            yield table.slice(0, new[-1]), [0, *new]
+            table = table.slice(new[-1])
+        rest = table.to_batches()
+    if rest:
+        table = pa.Table.from_batches(rest)
+        yield table, [0, len(table)]
+
+
 def _compare(percent: int):
-    """Candidate pairs of one block of one prefix n-gram's classes: other component, fitting size and sketch, not both guests."""
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        label, home, n, sig = pd.factorize(block.label)[0], block.home.to_numpy(), block.n.to_numpy(), block.sig.to_list()
-        bits = np.array([_fold(np.frombuffer(x, U64), BITS // 64) for x in block.bits])
-        left, right = np.flatnonzero(block.side.to_numpy() < 2), np.flatnonzero(block.side.to_numpy() > 0)
-        out = []
-        for k in left.tolist():
-            ok = (100 * np.minimum(n[k], n[right]) >= percent * np.maximum(n[k], n[right])) & (label[right] != label[k]) & (home[right] | home[k])
-            at = right[ok]
-            apart = np.bitwise_count(bits[at] ^ bits[k]).sum(1, dtype=np.int64)
-            for i in at[apart * (100 + percent) <= (n[k] + n[at]) * (100 - percent)].tolist():
-                out.append((sig[k], sig[i], n[k], n[i]) if sig[k] < sig[i] else (sig[i], sig[k], n[i], n[k]))
-        return pd.DataFrame(out, columns=["a", "b", "na", "nb"])
+    """Candidate pairs of each block of one n-gram's classes: other component, fitting size and short sketch, not both guests."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, edges in _groups(batches):
+            n, label, side = (table.column(c).to_numpy() for c in ("n", "label", "side"))
+            home, brief = table.column("home").to_numpy(), table.column("brief").to_pylist()
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                left, right = np.flatnonzero(side[lo:hi] < 2), np.flatnonzero(side[lo:hi] > 0)
+                if not home[lo:hi].any() or (label[lo:hi] == label[lo]).all():
+                    continue
+                words = min(map(len, brief[lo:hi])) // 8
+                bits = np.array([_fold(np.frombuffer(x, U64), words) for x in brief[lo:hi]])
+                left, right = lo + left, lo + right
+                for k in range(0, len(left), 256):
+                    x, y = left[k : k + 256, None], right[None, :]
+                    # In a block against itself each pair is seen from both sides.
+                    ok = (label[x] != label[y]) & (home[x] | home[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & ((side[x] != 1) | (x < y))
+                    u, v = np.nonzero(ok)
+                    u, v = left[k + u], right[v]
+                    for at in range(0, len(u), 1 << 16):
+                        p, q = u[at : at + (1 << 16)], v[at : at + (1 << 16)]
+                        apart = np.bitwise_count(bits[p - lo] ^ bits[q - lo]).sum(1, dtype=np.int64)
+                        near = apart * (100 + percent) <= (n[p] + n[q]) * (100 - percent)
+                        found.append((p[near], q[near]))
+            if found:
+                u, v = (pa.array(np.concatenate(x)) for x in zip(*found, strict=True))
+                take = lambda c, at: table.column(c).take(at).combine_chunks()
+                yield pa.RecordBatch.from_arrays([take("sig", u), take("n", u), take("sig", v), take("n", v)], names=["sig", "n", "other", "m"])
 
     return compare
 
 
 def _apart(rest: DataFrame, one: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of classes of one n-gram, of ``rest(gram, sig, n, label, many)``, whose labels differ.
+    """Pairs (a, b, na, nb) of classes of one n-gram, of ``rest(gram, sig, n, label, many)``, whose labels differ and that are near by their short sketches.
 
-    Linked sets have sizes in proportion. Sizes fall into bands, so that they
+    The classes of an n-gram are one block, if they are few. Of the others,
+    sizes fall into bands. Linked sets have sizes in proportion, so that they
     are of one band or of neighbouring ones: a class is at home in its band and
-    a guest in the one below. Bands are compared in blocks.
+    a guest in the one below. Bands are compared in blocks. Blocks are known by
+    a hash; should two have the same, they are compared together. Labels are
+    compared by their hashes.
     """
-    few = rest.where(F.col("many") <= FEW).drop("many")
-    near = few.join(few.toDF("gram", "other", "m", "label_m"), "gram").where((F.col("sig") < F.col("other")) & (F.col("label") != F.col("label_m")) & _sizes_fit("n", "m", percent))
-    near = near.select(*_pair("sig", "n", "other", "m"))
+    label = F.xxhash64("label").alias("label")
+    few = rest.where(F.col("many") <= BLOCK).select(F.xxhash64("gram").alias("key"), "sig", "n", label, F.lit(True).alias("home"), F.lit(1).alias("side"))
     step = 1.0001 * math.log(100 / min(percent, 99))
     own = F.floor(F.log("n") / step)
-    many = rest.where(F.col("many") > FEW).drop("many").withColumn("band", own).withColumn("home", F.explode(F.array(F.lit(True), F.lit(False))))
+    many = rest.where(F.col("many") > BLOCK).select("gram", "sig", "n", label, own.alias("band"), F.explode(F.array(F.lit(True), F.lit(False))).alias("home"))
     many = materialize(many.withColumn("band", F.when(F.col("home"), F.col("band")).otherwise(F.col("band") - 1)))
     bands = many.groupBy("gram", "band").agg(F.count("*").alias("size"), F.max("home").alias("any"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     bands = materialize(bands.where("any and lo < hi").select("gram", "band", F.ceil(F.col("size") / BLOCK).alias("blocks")))
     many = many.join(bands, ["gram", "band"]).withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2)
-    many = many.select("gram", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", "n", "label", "home", side.alias("side"))
-    far = many.join(one.select("sig", "bits"), "sig").groupBy("gram", "band", "i", "j").applyInPandas(_compare(percent), "a binary, b binary, na long, nb long")
-    return near.unionAll(far).distinct()
+    block = F.xxhash64("gram", "band", F.least("own", "other"), F.greatest("own", "other"))
+    rows = few.unionAll(many.select(block.alias("key"), "sig", "n", "label", "home", side.alias("side")))
+    brief = materialize(one.select("sig", "n", "bits").mapInArrow(_brief, "sig binary, brief binary"))
+    tasks = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.join(brief, "sig").repartition(tasks, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_compare(percent), "sig binary, n long, other binary, m long").select(*_pair("sig", "n", "other", "m")).distinct()
 
 
 def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -295,14 +338,15 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     order = docs.sparkSession.sparkContext.broadcast(Order(_count_grams(docs, n)))
     sets = materialize(_sets(docs, order, n, percent))
 
-    # Prefix n-grams that more than one class has.
-    postings = sets.where("prefix is not null").select("sig", "half", F.explode("prefix").alias("gram"))
+    # Prefix n-grams that more than one class has. Should two classes have the same half, each gets the n-grams of both.
+    postings = sets.where("prefix is not null").select("half", F.explode("prefix").alias("gram"))
     common = materialize(postings.groupBy("gram").agg(F.min("half").alias("lo"), F.max("half").alias("hi")).where("lo < hi").select("gram"))
-    met = materialize(postings.join(common, "gram").select("sig", "gram"))
-    found = met.groupBy("sig").agg(F.count_distinct("gram").alias("met"))
-    one = sets.where("prefix is not null").select("sig", "key", "n", "bits", F.size("prefix").alias("prefix")).join(found, "sig")
-    one = materialize(one.groupBy("sig").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first(F.col("prefix") - F.col("met")).alias("alone")))
-    shared = materialize(met.distinct().join(one.select("sig", "n", "alone"), "sig"))
+    met = materialize(postings.join(common, "gram").select("half", "gram"))
+    met = met.groupBy("half").agg(F.collect_set("gram").alias("grams"))
+    one = sets.where("prefix is not null").select("sig", "half", "key", "n", "bits", F.size("prefix").alias("prefix")).join(met, "half")
+    one = one.groupBy("sig").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first(F.col("prefix") - F.size("grams")).alias("alone"), F.first("grams").alias("grams"))
+    one = materialize(one)
+    shared = one.select("sig", "n", "alone", F.explode("grams").alias("gram"))
 
     # Stars: the hub of an n-gram has the most in common with others; a class is compared with the hub that it meets most.
     hubs = materialize(shared.groupBy("gram").agg(F.min(F.struct("alone", "sig", "n")).alias("hub")))

@@ -131,7 +131,6 @@ def test_many_sizes_in_one_block(spark, monkeypatch):
     from lacuna.llm import ngram_join
 
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
-    monkeypatch.setattr(ngram_join, "FEW", 2)
     rng = random.Random(13)
     base = [f"w{k}" for k in range(200)]
     rows = [(k, " ".join([*base[: rng.randrange(4, 200)], *(f"y{rng.randrange(10**9)}" for _ in range(rng.randrange(3)))])) for k in range(120)]
