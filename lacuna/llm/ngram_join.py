@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm import textvec
@@ -38,6 +38,8 @@ from lacuna.llm.session import join_keys, materialize, read
 COUNTERS, FRAGMENTS = 1 << 20, 8
 #: Bits of the least and of the longest sketch, and of the least one that blocks compare; members of a block that are compared in one task.
 BITS, MOST_BITS, LEAST_BITS, BLOCK = 1024, 1 << 17, 256, 1024
+#: Added to the role of a class in a block: it is no guest.
+HOME = 4
 U64 = np.uint64
 
 
@@ -208,12 +210,14 @@ def _near(percent: int):
     return near
 
 
-def _sketched(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that pass the parity filter. Sketches join pairs only, never postings."""
-    both = pairs.join(bits.select(F.col("sig").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("sig").alias("b"), F.col("bits").alias("y")), "b")
-    # Dealt anew by pair: a hub's pairs are in many tasks, however few bytes they have.
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.select("a", "b", "na", "nb", "x", "y").repartition(tasks, "a", "b").mapInArrow(_near(percent), "a binary, b binary, na long, nb long")
+def _sketched(pairs: DataFrame, one: DataFrame, percent: int) -> DataFrame:
+    """The pairs of classes (a, b, na, nb) of pairs of halves (half, other), materialized, that fit in size and pass the parity filter."""
+    need = materialize(pairs.select(F.explode(F.array("half", "other")).alias("half")).distinct())
+    own = join_keys(one.select("half", "sig", "n", "bits"), need, "half", "left_semi")
+    x = own.toDF("half", "a", "na", "x")
+    y = own.toDF("other", "b", "nb", "y")
+    both = pairs.join(x, "half").join(y, "other").where((F.col("a") != F.col("b")) & _sizes_fit("na", "nb", percent))
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_near(percent), "a binary, b binary, na long, nb long")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, one: DataFrame, order, n: int, percent: int) -> DataFrame:
@@ -228,13 +232,6 @@ def _links(pairs: DataFrame, docs: DataFrame, one: DataFrame, order, n: int, per
     return summed.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _pair(sig: str, n: str, other: str, m: str):
-    """A pair in order of class: a, b, na, nb."""
-    first = F.col(sig) < F.col(other)
-    pick = lambda yes, no: F.when(first, F.col(yes)).otherwise(F.col(no))
-    return [pick(sig, other).alias("a"), pick(other, sig).alias("b"), pick(n, m).alias("na"), pick(m, n).alias("nb")]
-
-
 def _brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Short sketches for blocks: folded to half as many bits as a set has members, or somewhat more."""
     for batch in batches:
@@ -242,7 +239,7 @@ def _brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bits, n in zip(batch.column("bits"), batch.column("n").to_pylist(), strict=True):
             bits = np.frombuffer(bits.as_buffer(), U64)
             short.append(_fold(bits, min(len(bits), max(LEAST_BITS, 1 << (n // 2).bit_length()) // 64)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(short, pa.binary())], names=["sig", "brief"])
+        yield pa.RecordBatch.from_arrays([batch.column("half"), pa.array(short, pa.binary())], names=["half", "brief"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
@@ -266,8 +263,8 @@ def _compare(percent: int):
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in _groups(batches):
-            n, label, side = (table.column(c).to_numpy() for c in ("n", "label", "side"))
-            home, brief = table.column("home").to_numpy(), table.column("brief").to_pylist()
+            n, label, role = (table.column(c).to_numpy() for c in ("n", "label", "role"))
+            side, home, brief = role & 3, role >= HOME, table.column("brief").to_pylist()
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 left, right = np.flatnonzero(side[lo:hi] < 2), np.flatnonzero(side[lo:hi] > 0)
@@ -289,39 +286,48 @@ def _compare(percent: int):
                         found.append((p[near], q[near]))
             if found:
                 u, v = (pa.array(np.concatenate(x)) for x in zip(*found, strict=True))
-                take = lambda c, at: table.column(c).take(at).combine_chunks()
-                yield pa.RecordBatch.from_arrays([take("sig", u), take("n", u), take("sig", v), take("n", v)], names=["sig", "n", "other", "m"])
+                half = table.column("half")
+                yield pa.RecordBatch.from_arrays([half.take(u).combine_chunks(), half.take(v).combine_chunks()], names=["half", "other"])
 
     return compare
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("half", "other").alias("half"), F.greatest("half", "other").alias("other")).distinct()
+
+
 def _apart(rest: DataFrame, one: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of classes of one n-gram, of ``rest(gram, sig, n, label, many)``, whose labels differ and that are near by their short sketches.
-
-    The classes of an n-gram are one block, if they are few. Of the others,
-    sizes fall into bands. Linked sets have sizes in proportion, so that they
-    are of one band or of neighbouring ones: a class is at home in its band and
-    a guest in the one below. Bands are compared in blocks. Blocks are known by
-    a hash; should two have the same, they are compared together. Labels are
-    compared by their hashes.
+    """Pairs (half, other) of classes of one n-gram, of ``rest(gram, half, n, label)``, whose labels differ and that are near by their short sketches.
+
+    The classes of an n-gram are one block, if they are few; those without
+    another of like size are left out first. Of the others, sizes fall into
+    bands. Linked sets have sizes in proportion, so that they are of one band
+    or of neighbouring ones: a class is at home in its band and a guest in the
+    one below. Bands are compared in blocks. Blocks are known by a hash; should
+    two have the same, they are compared together.
     """
-    label = F.xxhash64("label").alias("label")
-    few = rest.where(F.col("many") <= BLOCK).select(F.xxhash64("gram").alias("key"), "sig", "n", label, F.lit(True).alias("home"), F.lit(1).alias("side"))
+    counted = rest.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many"))
+    counted = materialize(counted.where("lo < hi").select("gram", "many"))
+    hot = materialize(counted.where(F.col("many") > BLOCK).select("gram"))
+    by_size = Window.partitionBy("gram").orderBy("n")
+    few = join_keys(rest, hot, "gram", "left_anti").join(counted.where(F.col("many") <= BLOCK).select("gram"), "gram")
+    few = few.withColumns({"before": F.lag("n").over(by_size), "after": F.lead("n").over(by_size)})
+    few = few.where((100 * F.col("before") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("after")))
+    few = few.select(F.xxhash64("gram").alias("key"), "half", "n", "label", F.lit(HOME + 1).alias("role"))
     step = 1.0001 * math.log(100 / min(percent, 99))
-    own = F.floor(F.log("n") / step)
-    many = rest.where(F.col("many") > BLOCK).select("gram", "sig", "n", label, own.alias("band"), F.explode(F.array(F.lit(True), F.lit(False))).alias("home"))
+    many = join_keys(rest, hot, "gram", "inner").withColumn("band", F.floor(F.log("n") / step)).withColumn("home", F.explode(F.array(F.lit(True), F.lit(False))))
     many = materialize(many.withColumn("band", F.when(F.col("home"), F.col("band")).otherwise(F.col("band") - 1)))
     bands = many.groupBy("gram", "band").agg(F.count("*").alias("size"), F.max("home").alias("any"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     bands = materialize(bands.where("any and lo < hi").select("gram", "band", F.ceil(F.col("size") / BLOCK).alias("blocks")))
-    many = many.join(bands, ["gram", "band"]).withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")))
+    many = many.join(bands, ["gram", "band"]).withColumn("own", F.pmod(F.xxhash64("half"), F.col("blocks")))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2)
     block = F.xxhash64("gram", "band", F.least("own", "other"), F.greatest("own", "other"))
-    rows = few.unionAll(many.select(block.alias("key"), "sig", "n", "label", "home", side.alias("side")))
-    brief = materialize(one.select("sig", "n", "bits").mapInArrow(_brief, "sig binary, brief binary"))
+    many = many.select(block.alias("key"), "half", "n", "label", (side + F.when(F.col("home"), HOME).otherwise(0)).alias("role"))
+    brief = materialize(one.select("half", "n", "bits").mapInArrow(_brief, "half long, brief binary"))
     tasks = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.join(brief, "sig").repartition(tasks, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_compare(percent), "sig binary, n long, other binary, m long").select(*_pair("sig", "n", "other", "m")).distinct()
+    dealt = few.unionAll(many).join(brief, "half").repartition(tasks, "key").sortWithinPartitions("key")
+    return _ordered(dealt.mapInArrow(_compare(percent), "half long, other long"))
 
 
 def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -344,23 +350,23 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     met = materialize(postings.join(common, "gram").select("half", "gram"))
     met = met.groupBy("half").agg(F.collect_set("gram").alias("grams"))
     one = sets.where("prefix is not null").select("sig", "half", "key", "n", "bits", F.size("prefix").alias("prefix")).join(met, "half")
-    one = one.groupBy("sig").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first(F.col("prefix") - F.size("grams")).alias("alone"), F.first("grams").alias("grams"))
+    one = one.groupBy("half", "sig").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first(F.col("prefix") - F.size("grams")).alias("alone"), F.first("grams").alias("grams"))
     one = materialize(one)
-    shared = one.select("sig", "n", "alone", F.explode("grams").alias("gram"))
+    shared = one.select("half", "n", "alone", F.explode("grams").alias("gram"))
 
     # Stars: the hub of an n-gram has the most in common with others; a class is compared with the hub that it meets most.
-    hubs = materialize(shared.groupBy("gram").agg(F.min(F.struct("alone", "sig", "n")).alias("hub")))
-    stars = shared.select("gram", "sig", "n").join(hubs, "gram").select("sig", "n", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("m"), F.col("hub.alone").alias("alone")).where((F.col("sig") != F.col("hub")) & _sizes_fit("n", "m", percent))
-    stars = stars.groupBy("sig", "n", "hub", "m", "alone").agg(F.count("*").alias("times"))
-    nearest = stars.groupBy("sig", "n").agg(F.max(F.struct("times", -F.col("alone"), "hub", "m")).alias("best")).select("sig", "n", F.col("best.hub").alias("hub"), F.col("best.m").alias("m"))
-    tried = materialize(nearest.select(*_pair("sig", "n", "hub", "m")).distinct())
+    hubs = materialize(shared.groupBy("gram").agg(F.min(F.struct("alone", "half", "n")).alias("hub")))
+    stars = shared.select("gram", "half", "n").join(hubs, "gram").select("half", "n", F.col("hub.half").alias("other"), F.col("hub.n").alias("m"), F.col("hub.alone").alias("alone")).where((F.col("half") != F.col("other")) & _sizes_fit("n", "m", percent))
+    stars = stars.groupBy("half", "other", "alone").agg(F.count("*").alias("times"))
+    nearest = stars.groupBy("half").agg(F.max(F.struct("times", -F.col("alone"), "other")).alias("best")).select("half", F.col("best.other").alias("other"))
+    tried = materialize(_ordered(nearest))
     links = materialize(_links(materialize(_sketched(tried, one, percent)), docs, one, order, n, percent))
-    label = materialize(components(links))
+    label = components(links)
 
-    # What is left: members of one n-gram that are still apart.
-    rest = materialize(shared.select("gram", "sig", "n").join(label.select(F.col("node").alias("sig"), "component"), "sig", "left").select("gram", "sig", "n", F.coalesce("component", "sig").alias("label")))
-    open_ = materialize(rest.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).where("lo < hi").select("gram", "many"))
-    left = materialize(_apart(rest.join(open_, "gram"), one, percent).join(tried, ["a", "b"], "left_anti"))
+    # What is left: members of one n-gram that are still apart. Labels are compared by their hashes.
+    named = one.select("sig", "half", "n").join(label.select(F.col("node").alias("sig"), "component"), "sig", "left").select("half", "n", F.xxhash64(F.coalesce("component", "sig")).alias("label"))
+    rest = materialize(shared.select("gram", "half").join(named, "half"))
+    left = materialize(_apart(rest, one, percent).join(tried, ["half", "other"], "left_anti"))
     more = _links(materialize(_sketched(left, one, percent)), docs, one, order, n, percent)
     label = materialize(components(links.unionAll(more)))
 
