@@ -67,6 +67,11 @@ def analysis_digest(value: Any) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 
+def arguments_digest(arguments: Any) -> str:
+    """Digest of a call's arguments: keys sorted, characters escaped, unknown types as text; none count as an empty object."""
+    return hashlib.sha256(json.dumps(arguments or {}, sort_keys=True, default=str).encode()).hexdigest()
+
+
 def strict_json(text: str | None) -> Any:
     """JSON without repeated keys and without NaN or infinities."""
 

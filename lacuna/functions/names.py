@@ -40,3 +40,8 @@ def looks_like_path(text: Column, slash: bool = True) -> Column:
 def without_prefix(text: Column) -> Column:
     """Upper case, without the four-byte prefix that file ids have."""
     return F.upper(F.when(F.length(text) > 8, F.substring(text, 9, 1 << 30)).otherwise(text))
+
+
+def stable_id(kind: Column, name: Column) -> Column:
+    """An id from a kind and a name: three letters of the kind, then the name in lower case with underscores."""
+    return F.concat_ws("_", F.left(F.substring_index(kind, "_", 1), F.lit(3)), F.translate(F.lower(name), " -", "__"))

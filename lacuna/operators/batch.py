@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +44,26 @@ def collisions(rows: DataFrame) -> DataFrame:
 
 
 def tree_digest(rows: DataFrame, folder: str, name: str, line: str) -> DataFrame:
-    """Digest of each folder's lines in order of name, and the number of files."""
-    ordered = F.array_sort(F.collect_list(F.struct(name, line)))
-    text = F.array_join(F.transform(ordered, lambda x: x[line]), "")
-    return rows.groupBy(folder).agg(F.sha2(F.encode(text, "utf-8"), 256).alias("tree_sha256"), F.count("*").alias("file_count"))
+    """Digest of each folder's lines in order of name, and the number of files. Lines stream through the digest in sorted order; no folder is held whole."""
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, digest, count = None, None, 0
+        for frame in frames:
+            done = []
+            for key, text in zip(frame[folder], frame[line], strict=True):
+                key = None if pd.isna(key) else key
+                if digest is None or key != at:
+                    if digest is not None:
+                        done.append((at, digest.hexdigest(), count))
+                    at, digest, count = key, hashlib.sha256(), 0
+                count += 1
+                digest.update((text or "").encode())
+            yield pd.DataFrame(done, columns=[folder, "tree_sha256", "file_count"])
+        if digest is not None:
+            yield pd.DataFrame([(at, digest.hexdigest(), count)], columns=[folder, "tree_sha256", "file_count"])
+
+    own = rows.select(folder, name, line)
+    return own.repartition(folder).sortWithinPartitions(folder, name, line).mapInPandas(fold, f"`{folder}` {dict(own.dtypes)[folder]}, tree_sha256 string, file_count long")
 
 
 def rehash(recorded: DataFrame, now: DataFrame, key: str) -> DataFrame:

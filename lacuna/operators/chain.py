@@ -7,8 +7,9 @@ checked in parallel.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,11 +85,35 @@ def legacy_errors(log: DataFrame) -> DataFrame:
     return log.withColumns({"expected_prev": expected, "broken_link": ~F.col("prev_hash").eqNullSafe(expected)})
 
 
+def versions(log: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """Per chain its version: 2 if any entry has a mark of it (its version, a digest or a keyed digest), or a tip is declared; else 1.
+
+    One mark anywhere is enough, so that taking it from the first entry
+    doesn't have a chain checked by the weaker rules.
+    """
+    marks = [F.col(c).isNotNull() for c in ("entry_hash", "entry_hmac") if c in log.columns]
+    if "chain_version" in log.columns:
+        marks.append(F.coalesce(F.col("chain_version").cast("string") == "2", F.lit(False)))
+    marked = F.lit(False)
+    for m in marks:
+        marked = marked | m
+    out = log.groupBy("chain_id").agg(F.max(marked).alias("marked"))
+    if declared is not None:
+        tips = [F.col(c).isNotNull() for c in ("chain_tip", "chain_tip_hmac") if c in declared.columns]
+        has_tip = tips[0]
+        for t in tips[1:]:
+            has_tip = has_tip | t
+        out = out.join(declared.select("chain_id", has_tip.alias("has_tip")), "chain_id", "full").withColumn("marked", F.coalesce("marked", F.lit(False)) | F.coalesce("has_tip", F.lit(False)))
+    return out.select("chain_id", F.when(F.col("marked"), 2).otherwise(1).alias("version"))
+
+
 def append(events: DataFrame, digest: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
-    """A chain of each group's events(chain_id, pos, payload): seq, prev_hash, entry_hash, by a fold over the ordered array.
+    """A chain of each group's events(chain_id, pos, payload): seq, prev_hash, entry_hash.
 
-    Without a digest function the digest is that of ``previous|seq|payload``,
-    which stays in the JVM; chains are bounded sequences, one row each.
+    The digest is by default that of the entry's canonical form: events stream
+    in sorted order through one digest after the other, and no chain is held
+    whole. With a function of columns (seq, prev_hash, payload) all stays in
+    the JVM, as a fold over an array, for chains that fit in a row.
     """
     from lacuna.functions.canonical import entry_digest, strict_json
 
@@ -99,14 +124,20 @@ def append(events: DataFrame, digest: Callable[[Column, Column, Column], Column]
         start = F.struct(F.lit(GENESIS).alias("last"), F.lit(0).alias("seq"), empty.alias("out"))
         return rows.select("chain_id", F.explode(F.aggregate("own", start, step, lambda acc: acc["out"])).alias("e")).select("chain_id", "e.*")
 
-    def fold(frame):
-        frame = frame.sort_values("pos")
-        last, prev, own = GENESIS, [], []
-        for k, payload in enumerate(frame["payload"], 1):
-            prev.append(last)
-            last = entry_digest(k, last, strict_json(payload))
-            own.append(last)
-        return frame.assign(seq=range(1, len(frame) + 1), prev_hash=prev, entry_hash=own)[["chain_id", "pos", "payload", "seq", "prev_hash", "entry_hash"]]
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last, seq = None, GENESIS, 0
+        for frame in frames:
+            prev, own, numbers = [], [], []
+            for key, payload in zip(frame["chain_id"], frame["payload"], strict=True):
+                if not seq or key != at:
+                    at, last, seq = key, GENESIS, 0
+                seq += 1
+                numbers.append(seq)
+                prev.append(last)
+                last = entry_digest(seq, last, strict_json(payload))
+                own.append(last)
+            yield frame.assign(seq=numbers, prev_hash=prev, entry_hash=own)
 
     types = dict(events.dtypes)
-    return events.groupBy("chain_id").applyInPandas(fold, f"chain_id {types['chain_id']}, pos {types['pos']}, payload string, seq int, prev_hash string, entry_hash string")
+    ordered = events.select("chain_id", "pos", "payload").repartition("chain_id").sortWithinPartitions("chain_id", "pos")
+    return ordered.mapInPandas(fold, f"chain_id {types['chain_id']}, pos {types['pos']}, payload string, seq int, prev_hash string, entry_hash string")

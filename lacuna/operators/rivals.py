@@ -79,6 +79,20 @@ def counterfactuals(matrix: DataFrame, predictions: DataFrame) -> DataFrame:
     return matrix.select("case_id", "action", "artifact_type", "status").join(F.broadcast(first), ["action", "artifact_type"])
 
 
+def resolved_pivots(expected: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Pivots of each hypothesis whose artifact is among what it would expect of a case: rows of counterfactuals with the pivot's place and target."""
+    own = pivots.select("ordinal", "hypothesis_id", "action", "artifact_type")
+    return expected.select("case_id", "hypothesis_id", "action", "artifact_type").join(F.broadcast(own), ["hypothesis_id", "action", "artifact_type"]).select("case_id", "hypothesis_id", "ordinal", F.concat_ws("/", "action", "artifact_type").alias("target"))
+
+
+def summary_text(level: Column, favors: Column, disfavors: Column, untested: Column) -> Column:
+    """One line on a hypothesis: level, weights for and against, weight of what is untested."""
+    one = lambda c: F.format_string("%.1f", c.cast("double"))
+    weights = F.concat(F.lit(" support, weight "), one(favors), F.lit(" for and "), one(disfavors), F.lit(" against"))
+    text = F.when(level == "falsified", F.lit("falsified by observations")).when(level.isin("strong", "moderate", "weak"), F.concat(level, weights)).otherwise(F.lit("not enough evidence"))
+    return F.concat(text, F.when(untested > 0, F.concat(F.lit("; weight "), one(untested), F.lit(" untested"))).otherwise(F.lit("")))
+
+
 def dangling_impacts(pivots: DataFrame, hypotheses: DataFrame) -> DataFrame:
     """Hypotheses that pivots name and that don't exist."""
     named = pivots.select("ordinal", F.explode(F.map_keys("impact")).alias("hypothesis_id"))

@@ -103,6 +103,30 @@ def level(checks: list[Check]) -> int:
     return 3 if passed("engine_attestation", "log_anchor") else 2
 
 
+def levels(checks: DataFrame) -> DataFrame:
+    """Per bundle its conformity level, as ``level`` has it, from rows of checks."""
+    failed = lambda names: F.coalesce(F.bool_or(F.col("name").isin(*names) & ~F.col("passed")), F.lit(False))
+    digests = ("records_hash", "context_hash", "catalog_hash", "analysis_fingerprint", "bundle_hash", "count_sum")
+    found = F.when(failed(("structure", "readable")), 0).when(failed(digests), 1).when(failed(("engine_attestation", "log_anchor")), 2).otherwise(3)
+    return checks.groupBy("doc_key").agg(found.alias("conformity_level"))
+
+
+def source_checks(documents: DataFrame, key: str, column: str, files: DataFrame) -> DataFrame:
+    """Check V7: per document whether the digests that it recorded are those of files(path, sha256) now.
+
+    It fails if no source has a digest, a file is gone, or one differs; which
+    are gone is in the detail.
+    """
+    schema = "array<struct<path:string,sha256:string>>"
+    found = documents.select(F.col(key).cast("string").alias("doc_key"), F.explode_outer(F.from_json(F.get_json_object(column, "$.provenance.sources"), schema)).alias("s"))
+    now = files.select(F.col("path").alias("now_path"), F.col("sha256").alias("now"))
+    both = found.select("doc_key", "s.path", "s.sha256").join(now, F.col("path") == F.col("now_path"), "left")
+    recorded = F.col("path").isNotNull() & F.col("sha256").isNotNull()
+    counted = both.groupBy("doc_key").agg(F.count_if(recorded).alias("n"), F.count_if(recorded & (F.col("now") == F.col("sha256"))).alias("same"), F.array_sort(F.collect_list(F.when(recorded & F.col("now").isNull(), F.col("path")))).alias("gone"))
+    detail = F.concat(F.col("same"), F.lit(" of "), F.col("n"), F.lit(" match"), F.when(F.size("gone") > 0, F.concat(F.lit("; gone: "), F.array_join("gone", ", "))).otherwise(F.lit("")))
+    return counted.select("doc_key", F.lit(99).alias("ordinal"), F.lit("V7").alias("check"), F.lit("sources_rehash").alias("name"), ((F.col("n") > 0) & (F.col("n") == F.col("same"))).alias("passed"), detail.alias("detail"))
+
+
 def verify_rows(documents: DataFrame, key: str, column: str, *, kind: str = "export", schema_version: str = "evidence-matrix-v3") -> DataFrame:
     """documents(key, JSON text) exploded into their checks; an unreadable text has one failed check."""
 

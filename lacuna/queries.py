@@ -259,9 +259,13 @@ def mappings_used(spark, sf_dir):
     return timeline.mappings_used(lines(spark, sf_dir))
 
 
-@query("SELECT 5::INTEGER AS ordinal, 'nowhere' AS artifact_type")
+TARGETS = (*MAPPED, ("x", None, None, None, "process_execution", "nowhere"))
+
+
+@query(f"""SELECT t.ordinal::INTEGER AS ordinal, t.artifact_type FROM (VALUES {", ".join(f"({k}, '{m[4]}', '{m[5]}')" for k, m in enumerate(TARGETS))}) AS t(ordinal, action, artifact_type)
+LEFT JOIN {SQL_CATALOG} ON c.action = t.action AND c.artifact_type = t.artifact_type WHERE c.action IS NULL""")
 def invalid_mapping_targets(spark, sf_dir):
-    rows = mappings.mappings(spark, (*MAPPED, ("x", None, None, None, "process_execution", "nowhere")))
+    rows = mappings.mappings(spark, TARGETS)
     return timeline.invalid_targets(rows).select("ordinal", "artifact_type")
 
 
@@ -313,7 +317,12 @@ def pivot_status(spark, sf_dir):
     return rivals.pivot_status(cases(events), full_matrix(spark, sf_dir), hypotheses.pivots(spark))
 
 
-@query(f"SELECT p.ordinal::INTEGER AS ordinal, p.action, p.artifact_type, 2::INTEGER AS power FROM {SQL_PIVOTS} ORDER BY ordinal LIMIT 10")
+SQL_IMPACTS = "(VALUES " + ", ".join(f"({k}, '{h}', '{s}', '{o}')" for k, (*_, impact) in enumerate(hypotheses.PIVOTS) for h, m in impact.items() for s, o in m.items()) + ") AS i(ordinal, named, status, outcome)"
+
+
+@query(f"""WITH one AS (SELECT ordinal, named, string_agg(status || '=' || outcome, ',' ORDER BY status, outcome) AS pattern FROM {SQL_IMPACTS} GROUP BY ALL),
+power AS (SELECT ordinal, count(DISTINCT pattern)::INTEGER AS power FROM one GROUP BY 1)
+SELECT p.ordinal::INTEGER AS ordinal, p.action, p.artifact_type, power FROM {SQL_PIVOTS} JOIN power USING (ordinal) ORDER BY power DESC, ordinal LIMIT 10""")
 def pivot_top_k(spark, sf_dir):
     """The ten strongest pivots: the limit is the feature. All built-in ones have two patterns."""
     return rivals.top_pivots(hypotheses.pivots(spark)).select("ordinal", "action", "artifact_type", "power")
@@ -325,10 +334,11 @@ def counterfactuals(spark, sf_dir):
     return rivals.counterfactuals(full_matrix(spark, sf_dir), hypotheses.predictions(spark)).select("case_id", "hypothesis_id", "action", "artifact_type", "status", "expected_status")
 
 
-@query("SELECT 6::INTEGER AS ordinal, 'ghost' AS hypothesis_id")
+@query(f"""WITH n AS (SELECT ordinal, named FROM {SQL_IMPACTS} UNION SELECT {len(hypotheses.PIVOTS)}, 'ghost')
+SELECT ordinal::INTEGER AS ordinal, named AS hypothesis_id FROM n WHERE named NOT IN (VALUES {", ".join(f"('{h[0]}')" for h in hypotheses.HYPOTHESES)})""")
 def pivot_registry_check(spark, sf_dir):
     """Impacts on hypotheses that don't exist; one bad pivot is added so that there is something to find."""
-    bad = spark.createDataFrame([(6, "benign_loss", "bad", "any", "any", {"ghost": {"unknown": "favors"}})], hypotheses.pivots(spark).schema)
+    bad = spark.createDataFrame([(len(hypotheses.PIVOTS), "benign_loss", "bad", "any", "any", {"ghost": {"unknown": "favors"}})], hypotheses.pivots(spark).schema)
     return rivals.dangling_impacts(hypotheses.pivots(spark).unionAll(bad), hypotheses.hypotheses(spark))
 
 
@@ -565,7 +575,8 @@ def canonical_digest_docs(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.encode(nfc_udf()("text"), "utf-8"), 256).alias("digest"))
 
 
-@query()
+@query("""SELECT c_custkey::VARCHAR AS doc_key, CASE WHEN c_custkey % 3 = 0 THEN 9 WHEN c_custkey % 5 = 0 THEN 1 ELSE 15 END::BIGINT AS checks, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN 1 ELSE 0 END::BIGINT AS failures,
+CASE WHEN c_custkey % 3 = 0 THEN 'payload_hash' WHEN c_custkey % 5 = 0 THEN 'readable' ELSE '' END AS failed, CASE WHEN c_custkey % 3 = 0 THEN 1 WHEN c_custkey % 5 = 0 THEN 2 ELSE 0 END::INTEGER AS code FROM customer""")
 def verify_checks(spark, sf_dir):
     """Sealed exports of customers, some of them altered afterwards: every check of every document."""
     from lacuna.operators.seal import sealed_rows
@@ -575,25 +586,32 @@ def verify_checks(spark, sf_dir):
     body = F.to_json(F.struct(provenance.alias("provenance"), F.array(F.struct("c_name", "c_nationkey", "c_acctbal")).alias("records")))
     rows = sealed_rows(read(spark, sf_dir, "customer").select("c_custkey", body.alias("document")))
     altered = F.when(F.col("c_custkey") % 3 == 0, F.regexp_replace("sealed", "Customer#", "customer#")).when(F.col("c_custkey") % 5 == 0, F.lit("{")).otherwise(F.col("sealed"))
-    return report(verify_rows(rows.select("c_custkey", altered.alias("sealed")), "c_custkey", "sealed"))
+    found = report(verify_rows(rows.select("c_custkey", altered.alias("sealed")), "c_custkey", "sealed"))
+    return found.withColumn("failed", F.array_join("failed", ","))
 
 
-@query()
+@query("""WITH b AS (SELECT n_nationkey, '"canonicalize_version": "s:2", "export_version": "s:1", ' AS head, '"kind": "s:adapter-export", "records": [{"n_name": "s:' || n_name || '", "n_regionkey": "' || n_regionkey || ':int"}]}' AS tail FROM nation)
+SELECT n_nationkey, sha256('{' || head || '"integrity": {"payload_hash": "s:' || sha256('{' || head || tail) || '", "provenance_hash": "s:' || sha256('{"provenance": "null"}') || '"}, ' || tail) AS export_hash FROM b""")
 def seal_exports(spark, sf_dir):
-    """Sealed documents of nations; the digests are golden in the tests."""
+    """Sealed documents of nations."""
     from lacuna.operators.seal import sealed_rows
 
     body = F.to_json(F.struct(F.array(F.struct("n_name", "n_regionkey")).alias("records")))
     return sealed_rows(read(spark, sf_dir, "nation").select("n_nationkey", body.alias("document"))).select("n_nationkey", F.get_json_object("sealed", "$.integrity.export_hash").alias("export_hash"))
 
 
-@query("""WITH b AS (SELECT conv_id AS chain_id, count(*) AS n FROM conversations GROUP BY 1) SELECT chain_id, n AS length, n AS last_seq FROM b""")
+_ENTRY = """sha256('{"prev_hash": "s:' || %s || '", "role": "s:' || r.role || '", "seq": "' || r.seq || ':int"}')"""
+
+
+@query(f"""WITH RECURSIVE r AS MATERIALIZED (SELECT conv_id AS chain_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, role FROM conversations),
+c AS (SELECT r.chain_id, r.seq, {_ENTRY % "repeat('0', 64)"} AS h FROM r WHERE seq = 1 UNION ALL SELECT r.chain_id, r.seq, {_ENTRY % "c.h"} FROM c JOIN r ON r.chain_id = c.chain_id AND r.seq = c.seq + 1)
+SELECT chain_id, count(*) AS length, max(seq) AS last_seq, max_by(h, seq) AS tip FROM c GROUP BY 1""")
 def chain_append(spark, sf_dir):
     """A chain built from each conversation, folded in order."""
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chain_id"), F.col("turn").alias("pos"), F.to_json(F.struct("role")).alias("payload"))
     built = chain.append(rows)
     good = chain.summarize(chain.link_errors(built))
-    return good.where("valid").join(built.groupBy("chain_id").agg(F.max("seq").cast("long").alias("last_seq")), "chain_id").select("chain_id", "length", "last_seq")
+    return good.where("valid").join(built.groupBy("chain_id").agg(F.max("seq").cast("long").alias("last_seq")), "chain_id").select("chain_id", "length", "last_seq", "tip")
 
 
 @query(f"WITH {SQL_LOG} SELECT chain_id, count(*) AS length, count_if(seq_gap)::BIGINT AS n_seq_gap, count_if(broken_link)::BIGINT AS n_broken_link, max(seq) AS last_seq FROM checked GROUP BY 1")
@@ -604,3 +622,158 @@ def stream_chain_state(spark, sf_dir):
     return check_table(log(spark, sf_dir).select("chain_id", "pos", "seq", "prev_hash", "entry_hash"))
 
 
+
+
+# Adapters: binary columns and rows of hives made of the provided tables.
+@query("SELECT p_partkey, upper(left(p_type, 3)) AS kind, lower(left(split_part(p_type, '_', 1), 3)) || '_' || replace(replace(lower(p_name), ' ', '_'), '-', '_') AS stable_id FROM part")
+def stable_ids(spark, sf_dir):
+    """Ids from a kind and a name."""
+    return read(spark, sf_dir, "part").select("p_partkey", F.upper(F.left("p_type", F.lit(3))).alias("kind"), names.stable_id(F.lower("p_type"), F.col("p_name")).alias("stable_id"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'd8d8' || 'ff' WHEN 2 THEN '00d8' ELSE p_name || chr(128512) END AS text FROM part""")
+def utf16_values(spark, sf_dir):
+    """Texts of binary values: empty, of odd length, half of a pair, and good ones with zeros at their end."""
+    k = F.col("p_partkey") % 4
+    good = F.concat(F.encode(F.concat("p_name", F.lit("\U0001f600")), "UTF-16LE"), F.lit(b"\0\0\0\0"))
+    blob = F.when(k == 0, F.lit(b"\0\0")).when(k == 1, F.lit(b"\xd8\xd8\xff")).when(k == 2, F.lit(b"\x00\xd8")).otherwise(good)
+    return read(spark, sf_dir, "part").select("p_partkey", binary.utf16_text(blob).alias("text"))
+
+
+@query("SELECT o_orderkey, (o_orderkey + o_custkey * 256)::BIGINT AS number FROM (SELECT o_orderkey % 256 AS o_orderkey, o_custkey % 256 AS o_custkey FROM orders)")
+def short_numbers(spark, sf_dir):
+    """Little-endian numbers of binary values of any length."""
+    low, high = F.col("o_orderkey") % 256, F.col("o_custkey") % 256
+    two = lambda c: F.lpad(F.hex(c), 2, "0")
+    rows = read(spark, sf_dir, "orders").select(low.alias("o_orderkey"), F.unhex(F.concat(two(low), two(high))).alias("blob"))
+    return rows.select("o_orderkey", binary.little_endian(F.col("blob")).cast("long").alias("number"))
+
+
+@query("SELECT l_orderkey, l_linenumber, ((l_orderkey * 10000000::BIGINT + 133000000000000000) // 10 - 11644473600000000) / 1e6 AS seconds FROM lineitem")
+def epoch_offsets(spark, sf_dir):
+    ticks = F.col("l_orderkey") * F.lit(10_000_000) + F.lit(133_000_000_000_000_000)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", binary.epoch_seconds(ticks).alias("seconds"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 4 THEN date_trunc('second', ts) - INTERVAL 2 HOUR ELSE date_trunc('second', ts) END AS at FROM events")
+def lenient_times(spark, sf_dir):
+    """Times with and without zones, blank ones, and words."""
+    k, text = F.col("event_id") % 5, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    said = F.when(k == 0, " ").when(k == 1, "yesterday").when(k == 2, text).when(k == 3, F.concat(F.lit(" "), text, F.lit("Z"))).otherwise(F.concat(text, F.lit("+02:00")))
+    return read(spark, sf_dir, "events").select("event_id", binary.lenient_time(said).cast("timestamp_ntz").alias("at"))
+
+
+@query("SELECT o_orderkey, make_timestamp((greatest(o_orderkey, o_custkey) * 10000000::BIGINT + 133000000000000000) // 10 - 11644473600000000) AS last_run FROM orders")
+def latest_run_times(spark, sf_dir):
+    """The latest of the run times that a file has room for; empty places are zeros."""
+    from lacuna.sources.prefetch import SLOTS, latest_run
+
+    ticks = lambda c: F.col(c) * F.lit(10_000_000) + F.lit(133_000_000_000_000_000)
+    slots = F.array(ticks("o_orderkey"), ticks("o_custkey"), *[F.lit(0).cast("long")] * (SLOTS - 2))
+    return read(spark, sf_dir, "orders").select("o_orderkey", latest_run(slots).cast("timestamp_ntz").alias("last_run"))
+
+
+@query("SELECT string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS o_orderpriority, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS o_orderstatus FROM orders")
+def distinct_sets(spark, sf_dir):
+    """The different values of some columns, as an export lists them."""
+    from lacuna.adapters import distinct_values
+
+    columns = ["o_orderpriority", "o_orderstatus"]
+    return distinct_values(read(spark, sf_dir, "orders"), columns).select(*[F.array_join(c, ",").alias(c) for c in columns])
+
+
+@query("""SELECT p_partkey, 'File' AS section, p_name AS product_name, p_size::BIGINT AS file_size, upper(md5(p_name)) AS sha1, p_brand = 'Brand#11' AS is_pe_file FROM part WHERE p_partkey % 3 > 0
+UNION ALL SELECT p_partkey, 'InventoryApplicationFile', p_name, p_size::BIGINT, upper(md5(p_name)), p_brand = 'Brand#11' FROM part WHERE p_partkey % 3 = 0""")
+def amcache_entries(spark, sf_dir):
+    """Entries out of rows of hives, with numbered and named values, text and binary."""
+    from lacuna.sources import amcache
+
+    section = F.when(F.col("p_partkey") % 3 > 0, "File").otherwise("Root\\InventoryApplicationFile")
+    value = lambda name, text, blob=None: F.struct(F.lit(name).alias("value_name"), text.cast("string").alias("text"), (blob if blob is not None else F.lit(None)).cast("binary").alias("value"))
+    sha = F.concat(F.lit("0000"), F.lit("0000"), F.md5(F.encode("p_name", "utf-8")))
+    own = F.array(value("0", F.lit(None), F.concat(F.encode("p_name", "UTF-16LE"), F.lit(b"\0\0"))), value("6", F.lower(F.hex(F.col("p_size").cast("long")))), value("101", sha), value("is_pe_file", F.when(F.col("p_brand") == "Brand#11", "1").otherwise("0")))
+    keys = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("hive"), F.concat(section, F.lit("\\key")).alias("key_path"), F.posexplode(own).alias("ordinal", "v")).select("hive", "key_path", "ordinal", "v.*", F.lit(None).cast("timestamp").alias("written"), F.lit(None).cast("string").alias("error"))
+    return amcache.entries(keys).select(F.col("hive").cast("long").alias("p_partkey"), "section", "product_name", "file_size", "sha1", "is_pe_file")
+
+
+@query("SELECT p_partkey, 'C:\\' || p_name || '.exe' AS path, make_timestamp((p_partkey * 10000000::BIGINT + 133000000000000000) // 10 - 11644473600000000) AS last_modified, 'ControlSet001' AS control_set, NULL::VARCHAR AS error FROM part WHERE p_partkey % 5 > 0 UNION ALL SELECT p_partkey, '', NULL, NULL, 'no cache value; control sets: ControlSet002; values: none' FROM part WHERE p_partkey % 5 = 0")
+def cache_of_hives(spark, sf_dir):
+    """Entries of the first cache value of each hive, and what was looked at in hives that have none."""
+    from lacuna.sources import registry
+
+    little = lambda c, n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(c), 2 * n, "0"), 2 * k + 1, 2) for k in reversed(range(n))]))
+    ticks = F.col("p_partkey") * F.lit(10_000_000) + F.lit(133_000_000_000_000_000)
+    body = F.concat(F.lit(b"\0" * 12), F.encode(F.concat(F.lit("C:\\"), "p_name", F.lit(".exe")), "UTF-16LE"), F.lit(b"\0\0"), little(ticks, 8), F.lit(b"\0" * 8))
+    blob = F.concat(little(F.length(body) + 4, 4), body, F.lit(b"\0" * 16))
+    place = "ControlSet001\\Control\\Session Manager\\AppCompatCache"
+    key = lambda path, name, value: F.struct(F.lit(path).alias("key_path"), F.lit(name).cast("string").alias("value_name"), value.alias("value"))
+    none = F.lit(None).cast("binary")
+    own = F.when(F.col("p_partkey") % 5 > 0, F.array(key("ControlSet001", None, none), key(place, "Other", F.lit(b"x")), key(place, "AppCompatCache", blob), key(place, "AppCompatCache", F.lit(b"second")))).otherwise(F.array(key("ControlSet002", None, none)))
+    keys = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("hive"), F.posexplode(own).alias("ordinal", "v")).select("hive", "ordinal", "v.*", F.lit(None).cast("string").alias("error"))
+    return registry.cache_of_hives(keys).select(F.col("hive").cast("long").alias("p_partkey"), "path", F.col("last_modified").cast("timestamp_ntz").alias("last_modified"), "control_set", "error")
+
+
+@query("SELECT p_partkey, 'D:\\' || p_brand AS folder_path, p_partkey % 3 AS depth, NULL::VARCHAR AS error FROM part WHERE p_partkey % 4 > 0 UNION ALL SELECT p_partkey, NULL, -1, 'no shell key with BagMRU' FROM part WHERE p_partkey % 4 = 0")
+def bags_of_hives(spark, sf_dir):
+    """Folder paths below either root, at several depths, and hives that have none."""
+    from lacuna.sources import registry
+
+    root = F.when(F.col("p_partkey") % 2 == 0, registry.BAG_ROOTS[0]).otherwise(registry.BAG_ROOTS[1])
+    deep = F.concat(root, F.lit("\\BagMRU"), F.repeat(F.lit("\\1a"), (F.col("p_partkey") % 3).cast("int")))
+    blob = F.concat(F.lit(b"\x14\x00"), F.encode(F.concat(F.lit("D:\\"), "p_brand"), "UTF-16LE"), F.lit(b"\0\0\0\0"))
+    key = lambda path, name, value: F.struct(path.alias("key_path"), F.lit(name).cast("string").alias("value_name"), value.cast("binary").alias("value"))
+    own = F.when(F.col("p_partkey") % 4 > 0, F.array(key(root, None, F.lit(None)), key(deep, "0", blob), key(deep, "MRUList", blob), key(F.concat(root, F.lit("\\other")), "0", blob))).otherwise(F.array(key(F.lit("Software"), None, F.lit(None))))
+    keys = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("hive"), F.posexplode(own).alias("ordinal", "v")).select("hive", "ordinal", "v.*", F.lit(None).cast("string").alias("error"))
+    depth = F.when(F.col("key_path").isNotNull(), F.size(F.split("key_path", r"\\1a")) - 1)
+    return registry.bags_of_hives(keys).select(F.col("hive").cast("long").alias("p_partkey"), "folder_path", F.coalesce(depth, F.lit(-1)).cast("long").alias("depth"), "error")
+
+
+# Verification and rivals.
+@query("""WITH c AS (SELECT o_orderkey, 'structure' AS name, o_orderkey % 7 <> 0 AS passed FROM orders UNION ALL SELECT o_orderkey, 'bundle_hash', o_orderkey % 5 <> 0 FROM orders UNION ALL SELECT o_orderkey, 'count_sum', o_orderkey % 11 <> 0 FROM orders UNION ALL SELECT o_orderkey, 'log_anchor', o_orderkey % 2 <> 0 FROM orders)
+SELECT o_orderkey, CASE WHEN NOT bool_and(passed OR name <> 'structure') THEN 0 WHEN NOT bool_and(passed OR name NOT IN ('bundle_hash', 'count_sum')) THEN 1 WHEN NOT bool_and(passed) THEN 2 ELSE 3 END::INTEGER AS conformity_level FROM c GROUP BY 1""")
+def conformity_level(spark, sf_dir):
+    """Levels of bundles from the rows of their checks."""
+    from lacuna.operators.verify import levels
+
+    k = F.col("o_orderkey")
+    check = lambda name, every: F.struct(F.lit(name).alias("name"), (k % every != 0).alias("passed"))
+    checks = read(spark, sf_dir, "orders").select(k.cast("string").alias("doc_key"), F.explode(F.array(check("structure", 7), check("bundle_hash", 5), check("count_sum", 11), check("log_anchor", 2))).alias("c")).select("doc_key", "c.*")
+    return levels(checks).select(F.col("doc_key").cast("long").alias("o_orderkey"), "conformity_level")
+
+
+@query("""SELECT doc_id, doc_id % 3 > 0 AND doc_id % 10 > 0 AS passed, CASE WHEN doc_id % 3 > 0 AND doc_id % 10 > 0 THEN '1' ELSE '0' END || ' of 1 match' || CASE WHEN doc_id % 3 = 0 THEN '; gone: d' || doc_id ELSE '' END AS detail FROM documents""")
+def source_checks(spark, sf_dir):
+    """Sealed documents' recorded digests of sources against the sources now; a third is gone and a tenth changed in this scenario."""
+    from lacuna.operators.verify import source_checks as check
+
+    docs, sha = read(spark, sf_dir, "documents"), lambda c: F.sha2(F.encode(c, "utf-8"), 256)
+    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    sealed = docs.select("doc_id", F.to_json(F.struct(F.struct(F.array(F.struct(path.alias("path"), sha(F.col("text")).alias("sha256"))).alias("sources")).alias("provenance"))).alias("document"))
+    now = docs.where("doc_id % 3 > 0").select(path.alias("path"), sha(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("sha256"))
+    return check(sealed, "doc_id", "document", now).select(F.col("doc_key").cast("long").alias("doc_id"), "passed", "detail")
+
+
+@query(f"""WITH {SQL_MATRIX}, f AS (SELECT DISTINCT hypothesis_id, action, artifact_type FROM {SQL_PREDICTIONS})
+SELECT m.case_id, p.hypothesis_id, p.ordinal::INTEGER AS ordinal, p.action || '/' || p.artifact_type AS target FROM matrix m JOIN f USING (action, artifact_type) JOIN {SQL_PIVOTS} ON p.hypothesis_id = f.hypothesis_id AND p.action = f.action AND p.artifact_type = f.artifact_type""")
+def resolved_pivots(spark, sf_dir):
+    """Pivots whose artifact is among what a hypothesis expects of a case."""
+    expected = rivals.counterfactuals(full_matrix(spark, sf_dir), hypotheses.predictions(spark))
+    return rivals.resolved_pivots(expected, hypotheses.pivots(spark))
+
+
+@query(f"""WITH {SQL_LEVELS} SELECT case_id, hypothesis_id, CASE WHEN support_level = 'falsified' THEN 'falsified by observations' WHEN support_level = 'untested' THEN 'not enough evidence'
+ELSE support_level || ' support, weight ' || printf('%.1f', favors::DOUBLE) || ' for and ' || printf('%.1f', disfavors::DOUBLE) || ' against' END || CASE WHEN untested > 0 THEN '; weight ' || printf('%.1f', untested::DOUBLE) || ' untested' ELSE '' END AS summary FROM levels""")
+def support_summary(spark, sf_dir):
+    """One line on each hypothesis and case."""
+    rows = rivals.support(outcome_rows(spark, sf_dir))
+    return rows.select("case_id", "hypothesis_id", rivals.summary_text(F.col("support_level"), F.col("favors"), F.col("disfavors"), F.col("untested")).alias("summary"))
+
+
+@query("""WITH l AS (SELECT conv_id AS chain_id, turn, conv_id % 4 AS k FROM conversations)
+SELECT chain_id, CASE WHEN bool_or(k = 0 AND turn > 0) OR bool_or(k = 1) THEN 2 WHEN min(k) = 2 THEN 2 ELSE 1 END::INTEGER AS version FROM l GROUP BY 1""")
+def chain_versions(spark, sf_dir):
+    """Versions of chains: digests on all entries but the first, versions on all, only a declared tip, or no mark."""
+    k = F.col("conv_id") % 4
+    log = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chain_id"), F.when((k == 0) & (F.col("turn") > 0), "x").alias("entry_hash"), F.when(k == 1, 2).otherwise(1).alias("chain_version"))
+    tips = log.select("chain_id").distinct().select("chain_id", F.when(F.col("chain_id") % 4 == 2, "tip").alias("chain_tip"))
+    return chain.versions(log, tips)

@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Row
 
+from lacuna.adapters import distinct_values, incomplete
 from lacuna.functions.canonical import digest
 from lacuna.operators.provenance import READERS, describe, source
 from lacuna.operators.seal import KIND, MANIFEST, seal_export
@@ -57,10 +58,11 @@ def plain(value: Any) -> Any:
     return int(value) if value == int(value) else float(value)
 
 
-def export(rows: DataFrame, reader: str, sources: list[dict[str, Any]], *, limit: int, order: list[str], kind: str = KIND, **run: Any) -> dict[str, Any]:
-    """A sealed document of at most ``limit`` rows, in order, that says how many there were."""
+def export(rows: DataFrame, reader: str, sources: list[dict[str, Any]], *, limit: int | None, order: list[str], kind: str = KIND, **run: Any) -> dict[str, Any]:
+    """A sealed document of at most ``limit`` rows (None: all), in order, that says how many there were. A document is one file, which the driver writes."""
     total = rows.count()
-    records = [plain(r) for r in rows.orderBy(*order).limit(limit).collect()]
+    rows = rows.orderBy(*order)
+    records = [plain(r) for r in (rows if limit is None else rows.limit(limit)).toLocalIterator()]
     counts = {"available": total, "exported": len(records), "left_out": total - len(records)}
     return seal_export({"provenance": describe(READERS[reader], sources, **run), "counts": counts, "records": records}, kind)
 
@@ -72,7 +74,7 @@ def output_name(ordinal: int, name: str) -> str:
     return f"{ordinal:04d}_{clean.strip('_') or 'input'}.json"
 
 
-def run_batch(inputs: Iterable[Path], read: Callable[[Path], DataFrame], reader: str, out: Path, *, order: list[str], max_inputs: int = 1000, min_inputs: int = 1, max_items: int = 100_000) -> dict[str, Any]:
+def run_batch(inputs: Iterable[Path], read: Callable[[Path], DataFrame], reader: str, out: Path, *, order: list[str], max_inputs: int | None = 1000, min_inputs: int = 1, max_items: int | None = 100_000, listed: Iterable[str] = ()) -> dict[str, Any]:
     """One sealed document for each input and a sealed manifest. A failing input is a failed row, and the rest goes on.
 
     An output that is there already and differs is a failure, not overwritten.
@@ -92,12 +94,13 @@ def run_batch(inputs: Iterable[Path], read: Callable[[Path], DataFrame], reader:
             known = source(path)
             row["source_digest"] = known["sha256"] or known["tree_sha256"]
             found = read(path)
-            document = export(found, reader, [known], limit=max_items, order=order)
+            lists = {c: v for c, v in distinct_values(found, list(listed)).first().asDict().items() if v} if listed else {}
+            document = export(found, reader, [known], limit=max_items, order=order, **lists)
             target = out / name
             if target.exists() and json.loads(target.read_text())["integrity"]["export_hash"] != document["integrity"]["export_hash"]:
                 raise FileExistsError(f"{name} is there and differs")
             save_document(target, document)
-            bad = found.where("error is not null").count() if "error" in found.columns else 0
+            bad = found.where(incomplete(found)).count() if "error" in found.columns else 0
             partial = bad or document["counts"]["left_out"] or not document["counts"]["exported"]
             row |= {"output": name, "status": "partial" if partial else "ok", "detail": f"{bad} with errors" if bad else "", "item_stats": document["counts"]}
         except Exception as e:
@@ -111,6 +114,11 @@ def run_batch(inputs: Iterable[Path], read: Callable[[Path], DataFrame], reader:
     return sealed
 
 
+def diagnostics(counters: dict[str, Any], sample: list[dict[str, Any]], used: list[str], inputs: list[dict[str, Any]], errors: list[dict[str, Any]]) -> dict[str, Any]:
+    """A sealed document on an import: counts, a sample of unmatched rows, mappings used, the first errors."""
+    return seal_export({"provenance": describe(READERS["timeline"], inputs), "counts": plain(counters), "unmatched_sample": plain(sample), "mappings_used": used, "errors": plain(errors)})
+
+
 def enrich_case(template: dict[str, Any], observations: list[dict[str, Any]]) -> dict[str, Any]:
     """A case with new observations added; what it has already stays as it is."""
     activities = [dict(a, observations=list(a["observations"])) for a in template["activities"]]

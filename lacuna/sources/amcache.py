@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.functions.binary import filetime, hex_first_int
+from lacuna.functions.binary import filetime, hex_first_int, utf16_text
 from lacuna.functions.names import without_prefix
+from lacuna.sources import hives
 
 # Value names in hexadecimal, and fields.
 FIELDS = {
@@ -41,3 +42,34 @@ def entry(values: Column) -> list[Column]:
         *[filetime(get(k).try_cast("decimal(20,0)")).alias(k) for k in TIMES],
         v.alias("raw_values"),
     ]
+
+
+def _section(key_path: Column, inside: bool) -> Column:
+    """The section that a key is, or is directly inside of; empty for others. A root key of its own name may lie between."""
+    tail = r"\\[^\\]+$" if inside else "$"
+    return F.regexp_extract(key_path, rf"^(?:Root\\)?({'|'.join(SECTIONS)}){tail}", 1)
+
+
+def sections(keys: DataFrame) -> DataFrame:
+    """Per hive: sections found and absent, and an error for one with neither or that can't be read."""
+    here = _section(F.col("key_path"), False)
+    out = keys.groupBy("hive").agg(F.array_sort(F.collect_set(F.nullif(here, F.lit("")))).alias("sections_found"), F.max("error").alias("error"))
+    absent = F.array_except(F.array(*map(F.lit, SECTIONS)), "sections_found")
+    none = F.when(F.size("sections_found") == 0, F.lit(f"no application inventory: neither {' nor '.join(SECTIONS)} is there"))
+    return out.select("hive", "sections_found", absent.alias("sections_absent"), F.coalesce("error", none).alias("error"))
+
+
+def entries(keys: DataFrame) -> DataFrame:
+    """Entries of rows of hives: hive, section, key_path, key_timestamp, and the columns of ``entry``. An entry is what is right below a section; of two values of one name the last counts."""
+    rows = keys.withColumn("section", _section(F.col("key_path"), True)).where("section <> ''")
+    text = F.coalesce("text", utf16_text(F.col("value")))
+    values = F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.when(F.col("value_name").isNotNull(), F.struct("ordinal", F.col("value_name").alias("k"), text.alias("v"))))), lambda x: F.struct(x["k"], x["v"])))
+    found = rows.groupBy("hive", "section", "key_path").agg(F.max("written").alias("key_timestamp"), values.alias("own"))
+    return found.select("hive", "section", "key_path", "key_timestamp", *entry(F.col("own")))
+
+
+def read_amcache(spark: SparkSession, path: str, reader=hives.library) -> DataFrame:
+    """Entries of the hives at a path, and a row with an error for each hive that has none."""
+    keys = hives.read(spark, path, reader)
+    wrong = sections(keys).where(F.col("error").isNotNull()).select("hive", "error")
+    return entries(keys).withColumn("error", F.lit(None).cast("string")).unionByName(wrong, allowMissingColumns=True)

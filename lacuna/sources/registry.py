@@ -1,7 +1,7 @@
 """Values of registry hives: paths in binary values, application cache blobs, folder bags.
 
-Hives come as rows: keys(hive, key_path, value_name, value). A reader library
-for hive files is optional; see ``hive_rows``.
+Hives come as rows: keys(hive, ordinal, key_path, value_name, value, ...); see
+``hives``.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from collections.abc import Iterator
 from struct import unpack_from
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.binary import filetime
+from lacuna.sources import hives
 
 # How far a scan goes.
 FRAMES, FRAME, WINDOW, LONGEST_NAME, DEPTH = 10_000, 4096, 512, 1024, 8
@@ -118,33 +119,56 @@ def application_cache(values: DataFrame) -> DataFrame:
     return out.withColumn("last_modified", filetime(F.col("ticks"))).drop("ticks")
 
 
+# Where the cache and the bags are.
+CACHE = r"(?i)^(?:Current)?ControlSet[^\\]*\\Control\\Session Manager(?:\\AppCompatCache)?$"
+BAG_ROOTS = (r"Software\Microsoft\Windows\Shell", r"Software\Classes\Local Settings\Software\Microsoft\Windows\Shell")
+
+
 def first_values(keys: DataFrame, name: str = "AppCompatCache") -> DataFrame:
-    """Of each hive and control set the first value of that name under the session manager, by order."""
-    hit = keys.where((F.col("value_name") == name) & F.col("key_path").rlike(r"(?i)^(Current)?ControlSet[0-9]*\\Control\\Session Manager(\\[^\\]+)?$"))
+    """Of each hive and control set the first binary value of that name under the session manager, by order."""
+    hit = keys.where((F.col("value_name") == name) & F.col("value").isNotNull() & F.col("key_path").rlike(CACHE))
     hit = hit.withColumn("control_set", F.substring_index("key_path", "\\", 1))
-    return hit.groupBy("hive", "control_set").agg(F.min_by("value", "ordinal").alias("value"))
+    return hit.groupBy("hive", "control_set").agg(F.min_by("value", "ordinal").alias("value"), F.min("ordinal").alias("ordinal"))
+
+
+def cache_of_hives(keys: DataFrame) -> DataFrame:
+    """Cache entries of rows of hives: those of the first value of each hive. A hive without one is a row that says what was looked at."""
+    first = first_values(keys).groupBy("hive").agg(F.min_by(F.struct("control_set", "value"), "ordinal").alias("first")).select("hive", "first.*")
+    seen = keys.where(F.col("key_path").rlike(CACHE) & F.col("value_name").isNotNull())
+    sets = keys.where(F.col("key_path").rlike(r"(?i)^(?:Current)?ControlSet[^\\]*$")).groupBy("hive").agg(F.array_sort(F.collect_set("key_path")).alias("sets"))
+    names = seen.groupBy("hive").agg(F.array_sort(F.collect_set("value_name")).alias("names"))
+    read = keys.groupBy("hive").agg(F.max("error").alias("error"))
+    lost = read.join(first.select("hive"), "hive", "left_anti").join(sets, "hive", "left").join(names, "hive", "left")
+    text = lambda c: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit("none"))
+    why = F.concat(F.lit("no cache value; control sets: "), text("sets"), F.lit("; values: "), text("names"))
+    return application_cache(first).unionByName(lost.select("hive", F.lit("").alias("path"), F.coalesce("error", why).alias("error")), allowMissingColumns=True)
+
+
+def bags_of_hives(keys: DataFrame, bag: str = "BagMRU") -> DataFrame:
+    """Folder paths of rows of hives, below either root. A hive without a root, or without a path, is a row with an error."""
+    found = folder_bags(keys, BAG_ROOTS[0], bag)
+    for root in BAG_ROOTS[1:]:
+        found = found.unionAll(folder_bags(keys, root, bag))
+    has_root = F.max(F.col("key_path").isin(*BAG_ROOTS)).alias("has_root")
+    lost = keys.groupBy("hive").agg(F.max("error").alias("error"), has_root).join(found.select("hive").distinct(), "hive", "left_anti")
+    why = F.when(F.col("has_root"), F.lit(f"no path in the values of {bag}")).otherwise(F.lit(f"no shell key with {bag}"))
+    return found.withColumn("error", F.lit(None).cast("string")).unionByName(lost.select("hive", F.lit(bag).alias("bag_type"), F.coalesce("error", why).alias("error")), allowMissingColumns=True)
+
+
+def read_application_cache(spark: SparkSession, path: str, reader=hives.library) -> DataFrame:
+    return cache_of_hives(hives.read(spark, path, reader))
+
+
+def read_folder_bags(spark: SparkSession, path: str, reader=hives.library, bag: str = "BagMRU") -> DataFrame:
+    return bags_of_hives(hives.read(spark, path, reader), bag)
 
 
 def folder_bags(keys: DataFrame, root: str, bag: str = "BagMRU") -> DataFrame:
     """Folder paths under a root key: in its values and, through hexadecimal children, eight levels down; the first path of each value."""
-    inside = F.col("key_path").startswith(root)
+    inside = (F.col("key_path") == root) | F.col("key_path").startswith(root + "\\")
     rest = F.filter(F.split(F.expr(f"substring(key_path, {len(root) + 1})"), r"\\"), lambda x: x != "")
     hexadecimal = F.forall("_rest", lambda x: x.rlike("^[0-9A-Fa-f]+$") | (x == bag))
     rows = keys.where(inside).withColumn("_rest", rest).where(hexadecimal & (F.size("_rest") <= DEPTH))
     rows = rows.where(~F.col("value_name").isin(*BOOKKEEPING) & (F.length("value") >= 8))
     found = rows.withColumn("folder_path", F.try_element_at(path_udf()("value"), F.lit(1))["path"])
     return found.where("folder_path is not null").select("hive", F.lit(bag).alias("bag_type"), "key_path", "folder_path", F.col("value_name").alias("raw_value_name"), F.length("value").alias("raw_value_size"))
-
-
-def hive_rows(path: str) -> Iterator[tuple[str, str, int, str, bytes]]:
-    """(hive, key_path, ordinal, value_name, value) of a hive file, where the optional reader library is installed."""
-    from Registry import Registry  # optional
-
-    stack, ordinal = [(Registry.Registry(path).root(), "")], 0
-    while stack:
-        key, at = stack.pop()
-        for value in key.values():
-            raw = value.raw_data() if hasattr(value, "raw_data") else value.value()
-            yield path, at, ordinal, value.name(), raw if isinstance(raw, bytes) else str(raw).encode("utf-16-le")
-            ordinal += 1
-        stack += [(k, f"{at}\\{k.name()}".lstrip("\\")) for k in reversed(key.subkeys())]
