@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.session import materialize
+from lacuna.llm.session import materialize, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = _least(large)
         small = least.select("u", F.col("m").alias("v")).unionAll(least.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct())
+        old, edges = edges, materialize(small.where("u <> v").distinct())
+        release(old)
         before, state = state, _state(edges)
         if before == state:
             roots = edges.select(F.col("v").alias("node")).distinct()

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm import textvec
 from lacuna.llm.components import components
-from lacuna.llm.session import join_keys, materialize, read
+from lacuna.llm.session import join_keys, materialize, read, release
 
 #: Counters of the sketch that orders n-grams, and fragments of the order.
 COUNTERS, FRAGMENTS = 1 << 20, 8
@@ -347,11 +347,13 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Prefix n-grams that more than one class has. Should two classes have the same half, each gets the n-grams of both.
     postings = sets.where("prefix is not null").select("half", F.explode("prefix").alias("gram"))
     common = materialize(postings.groupBy("gram").agg(F.min("half").alias("lo"), F.max("half").alias("hi")).where("lo < hi").select("gram"))
-    met = materialize(postings.join(common, "gram").select("half", "gram"))
-    met = met.groupBy("half").agg(F.collect_set("gram").alias("grams"))
+    seen = materialize(postings.join(common, "gram").select("half", "gram"))
+    met = seen.groupBy("half").agg(F.collect_set("gram").alias("grams"))
     one = sets.where("prefix is not null").select("sig", "half", "key", "n", "bits", F.size("prefix").alias("prefix")).join(met, "half")
     one = one.groupBy("half", "sig").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first(F.col("prefix") - F.size("grams")).alias("alone"), F.first("grams").alias("grams"))
     one = materialize(one)
+    classes = materialize(sets.select("doc_id", "n", "sig"))
+    release(sets, common, seen)
     shared = one.select("half", "n", "alone", F.explode("grams").alias("gram"))
 
     # Stars: the hub of an n-gram has the most in common with others; a class is compared with the hub that it meets most.
@@ -360,6 +362,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stars = stars.groupBy("half", "other", "alone").agg(F.count("*").alias("times"))
     nearest = stars.groupBy("half").agg(F.max(F.struct("times", -F.col("alone"), "other")).alias("best")).select("half", F.col("best.other").alias("other"))
     tried = materialize(_ordered(nearest))
+    release(hubs)
     links = materialize(_links(materialize(_sketched(tried, one, percent)), docs, one, order, n, percent))
     label = components(links)
 
@@ -367,11 +370,13 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = one.select("sig", "half", "n").join(label.select(F.col("node").alias("sig"), "component"), "sig", "left").select("half", "n", F.xxhash64(F.coalesce("component", "sig")).alias("label"))
     rest = materialize(shared.select("gram", "half").join(named, "half"))
     left = materialize(_apart(rest, one, percent).join(tried, ["half", "other"], "left_anti"))
+    release(rest, tried)
     more = _links(materialize(_sketched(left, one, percent)), docs, one, order, n, percent)
     label = materialize(components(links.unionAll(more)))
+    release(one, left, links)
 
     # From classes to documents.
-    rows = sets.select("doc_id", "n", "sig").join(label.select(F.col("node").alias("sig"), "component"), "sig", "left").select("doc_id", "n", F.coalesce("component", "sig").alias("class"))
+    rows = classes.join(label.select(F.col("node").alias("sig"), "component"), "sig", "left").select("doc_id", "n", F.coalesce("component", "sig").alias("class"))
     rows = materialize(rows)
     least = materialize(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size"))
     out = rows.join(least, "class", "left")

@@ -13,14 +13,35 @@ from lacuna.session import shared_folder
 BROADCAST_KEYS = 1_000_000
 
 
+def _place(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back. The files go when the application ends."""
-    path = f"{shared_folder(df.sparkSession)}/lacuna-{uuid.uuid4().hex}"
+    """Cut the lineage: write ``df`` to the shared folder and read it back. The files go by ``release``, or when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lacuna-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    sc = df.sparkSession.sparkContext
-    place = sc._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lacuna_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that no plan reads any more, and have Spark drop the shuffle files of plans that are gone.
+
+    Spark drops those when the driver's garbage is collected, which a driver
+    with little garbage does too seldom for executors' disks.
+    """
+    for table in tables:
+        place, system = _place(table.sparkSession, table._lacuna_path)
+        system.delete(place, True)
+    for table in tables[:1]:
+        table.sparkSession._jvm.System.gc()
 
 
 def join_keys(big: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
