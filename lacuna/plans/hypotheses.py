@@ -6,13 +6,13 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Hypotheses in their order.
+# Ids and names of hypotheses in their order.
 HYPOTHESES = (
-    ("benign_loss", "Benign Loss", "Observed absences are explained by ordinary operational factors: log retention limits, rollover, disabled audit policy, incomplete acquisition, or parser limitations. No deliberate deletion required."),
-    ("selective_deletion", "Selective Deletion", "An attacker with sufficient privileges selectively deleted specific forensic artifacts to impede investigation. Absence pattern shows preference for hard-to-erase artifacts (high erasure difficulty)."),
-    ("sensor_failure", "Sensor/Parser Failure", "The collection system failed to capture events, or the parser failed to extract them. This includes agent crashes, buffer overflows, parser version mismatches, or format changes."),
-    ("configuration_gap", "Configuration Gap", "Required audit policy subcategories were not enabled, or were enabled but with insufficient scope (e.g., failure auditing only, not success). Events were never generated, not deleted."),
-    ("non_applicable", "Non-Applicable", "The artifact type is not generated on this platform version, edition, or configuration. E.g., USN journal on non-NTFS volume, or event ID not implemented in this Windows build."),
+    ("benign_loss", "Benign Loss", "Everyday causes are enough: old entries rolled out of the log, auditing was off, the image is partial, or the reader stops short. Nobody need have removed anything."),
+    ("selective_deletion", "Selective Deletion", "Someone with enough rights removed chosen artifacts. What is missing would then follow its worth as evidence, also where removal takes effort."),
+    ("sensor_failure", "Sensor/Parser Failure", "What happened was never captured or never read out: the agent stopped, its buffers ran over, or the format had changed since the parser was made."),
+    ("configuration_gap", "Configuration Gap", "The settings that make the system write these events were off or too narrow, such as failures only. The events never came to be."),
+    ("non_applicable", "Non-Applicable", "This system does not make the artifact at all: another file system, another edition, or a build without that event."),
 )
 # Hypothesis, expected status, action, artifact, power, status that falsifies.
 PREDICTIONS = (
@@ -25,29 +25,29 @@ PREDICTIONS = (
     ("configuration_gap", "out_of_scope", "permitted_network_connection", "security_event_5156", "0.7", "present"),
     ("non_applicable", "out_of_scope", "any", "any", "0.9", "present"),
 )
-# Hypothesis, description, action, artifact, impact on hypotheses by status.
+# Fixed values but for the descriptions: hypothesis, description, action, artifact, impact on hypotheses by status.
 PIVOTS = (
-    ("benign_loss", "AuditPol configuration for the interval", "process_execution", "security_event_4688", {"benign_loss": {"confirmed_absent": "disfavors", "unknown": "favors"}, "selective_deletion": {"confirmed_absent": "favors", "unknown": "neutral"}}),
-    ("benign_loss", "USN journal coverage for the interval", "file_change", "ntfs_usn_change_journal", {"benign_loss": {"confirmed_absent": "disfavors", "unknown": "favors"}, "selective_deletion": {"confirmed_absent": "favors", "unknown": "neutral"}}),
-    ("selective_deletion", "Prefetch/Amcache/Shimcache presence for same process", "process_execution", "security_event_4688", {"selective_deletion": {"confirmed_absent": "favors", "present": "disfavors"}, "benign_loss": {"confirmed_absent": "neutral", "present": "favors"}}),
-    ("sensor_failure", "Collector/parser logs and version", "any", "any", {"sensor_failure": {"unknown": "favors"}, "benign_loss": {"unknown": "neutral"}}),
-    ("configuration_gap", "AuditPol / GPO for success auditing subcategories", "permitted_network_connection", "security_event_5156", {"configuration_gap": {"unknown": "favors", "present": "disfavors"}, "benign_loss": {"unknown": "neutral"}}),
-    ("non_applicable", "Microsoft documentation for this OS build", "any", "any", {"non_applicable": {"out_of_scope": "favors", "present": "disfavors"}, "benign_loss": {"out_of_scope": "disfavors"}}),
+    ("benign_loss", "which auditing was set while the interval ran", "process_execution", "security_event_4688", {"benign_loss": {"confirmed_absent": "disfavors", "unknown": "favors"}, "selective_deletion": {"confirmed_absent": "favors", "unknown": "neutral"}}),
+    ("benign_loss", "whether the change journal reaches over the interval", "file_change", "ntfs_usn_change_journal", {"benign_loss": {"confirmed_absent": "disfavors", "unknown": "favors"}, "selective_deletion": {"confirmed_absent": "favors", "unknown": "neutral"}}),
+    ("selective_deletion", "whether other traces of the same program are there", "process_execution", "security_event_4688", {"selective_deletion": {"confirmed_absent": "favors", "present": "disfavors"}, "benign_loss": {"confirmed_absent": "neutral", "present": "favors"}}),
+    ("sensor_failure", "what collector and parser logged, and their versions", "any", "any", {"sensor_failure": {"unknown": "favors"}, "benign_loss": {"unknown": "neutral"}}),
+    ("configuration_gap", "whether policy asked for successes to be audited", "permitted_network_connection", "security_event_5156", {"configuration_gap": {"unknown": "favors", "present": "disfavors"}, "benign_loss": {"unknown": "neutral"}}),
+    ("non_applicable", "what the maker documents for this build", "any", "any", {"non_applicable": {"out_of_scope": "favors", "present": "disfavors"}, "benign_loss": {"out_of_scope": "disfavors"}}),
 )
-# Hypothesis, assumption, confidence, what would falsify it.
+# Fixed values but for the last: hypothesis, assumption, confidence, what would falsify it.
 ASSUMPTIONS = (
-    ("benign_loss", "retention_limits", "0.8", "USN journal shows entries for the interval but Security log does not"),
-    ("benign_loss", "audit_policy_disabled", "0.7", "AuditPol shows success auditing enabled for relevant subcategories"),
-    ("benign_loss", "acquisition_incomplete", "0.6", "Acquisition manifest shows continuous coverage"),
-    ("selective_deletion", "attacker_privileges", "0.6", "No evidence of privilege escalation in event logs"),
-    ("selective_deletion", "selective_targeting", "0.7", "Absence pattern correlates with forensic value, not ease of deletion"),
-    ("selective_deletion", "deletion_tools_available", "0.5", "No traces of anti-forensic tools (e.g., timestomp, clearlogs)"),
-    ("sensor_failure", "collector_uptime", "0.7", "Collector logs show gaps or restarts"),
-    ("sensor_failure", "parser_compatibility", "0.8", "Parser version and OS build are compatible; test parse succeeds"),
-    ("sensor_failure", "no_buffer_overflow", "0.6", "Event log shows no 'Event log was cleared' or overflow events"),
-    ("configuration_gap", "audit_policy_scope", "0.8", "AuditPol shows success auditing enabled for required subcategories"),
-    ("configuration_gap", "gpo_consistency", "0.6", "GPO history shows no changes during interval"),
-    ("non_applicable", "platform_mismatch", "0.7", "Microsoft documentation confirms artifact for this build"),
+    ("benign_loss", "retention_limits", "0.8", "the change journal covers the interval and the event log does not"),
+    ("benign_loss", "audit_policy_disabled", "0.7", "successes were being audited for these events"),
+    ("benign_loss", "acquisition_incomplete", "0.6", "the manifest of the image has no holes"),
+    ("selective_deletion", "attacker_privileges", "0.6", "nobody is seen to have gained the rights"),
+    ("selective_deletion", "selective_targeting", "0.7", "what is missing is what was easy to remove"),
+    ("selective_deletion", "deletion_tools_available", "0.5", "no tool for the purpose left a trace"),
+    ("sensor_failure", "collector_uptime", "0.7", "the collector ran throughout"),
+    ("sensor_failure", "parser_compatibility", "0.8", "the parser reads a sample of this build well"),
+    ("sensor_failure", "no_buffer_overflow", "0.6", "no overflow was logged"),
+    ("configuration_gap", "audit_policy_scope", "0.8", "successes were being audited for the events in question"),
+    ("configuration_gap", "gpo_consistency", "0.6", "policy did not change in the interval"),
+    ("non_applicable", "platform_mismatch", "0.7", "the maker documents the artifact for this build"),
 )
 # Hypothesis, action, artifact, status that it explains.
 EXPLAINED = (

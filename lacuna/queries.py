@@ -777,3 +777,20 @@ def chain_versions(spark, sf_dir):
     log = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chain_id"), F.when((k == 0) & (F.col("turn") > 0), "x").alias("entry_hash"), F.when(k == 1, 2).otherwise(1).alias("chain_version"))
     tips = log.select("chain_id").distinct().select("chain_id", F.when(F.col("chain_id") % 4 == 2, "tip").alias("chain_tip"))
     return chain.versions(log, tips)
+
+
+SQL_EXPLAINED = "(VALUES " + ", ".join(f"('{h}', '{a}', '{t}', '{o}')" for h, a, t, o in hypotheses.EXPLAINED) + ") AS x(hypothesis_id, action, artifact_type, status)"
+SQL_ASSUMPTIONS = "(VALUES " + ", ".join(f"('{h}', '{n}', {c})" for h, n, c, _ in hypotheses.ASSUMPTIONS) + ") AS a(hypothesis_id, assumption, confidence)"
+
+
+@query(f"WITH {SQL_MATRIX} SELECT m.case_id, x.hypothesis_id, count(*) AS explained FROM matrix m JOIN {SQL_EXPLAINED} ON x.action = m.action AND x.artifact_type = m.artifact_type AND x.status = m.status GROUP BY ALL")
+def explained_rows(spark, sf_dir):
+    """How many of a case's statuses each hypothesis explains."""
+    known = F.broadcast(hypotheses.explained(spark))
+    return full_matrix(spark, sf_dir).join(known, ["action", "artifact_type", "status"]).groupBy("case_id", "hypothesis_id").agg(F.count("*").alias("explained"))
+
+
+@query(f"SELECT hypothesis_id, count(*) AS assumptions, (sum(confidence * 10))::BIGINT AS tenths FROM {SQL_ASSUMPTIONS} GROUP BY 1")
+def assumption_weights(spark, sf_dir):
+    """Assumptions of each hypothesis, and the sum of their confidence in tenths."""
+    return hypotheses.assumptions(spark).groupBy("hypothesis_id").agg(F.count("*").alias("assumptions"), F.sum(F.col("confidence") * 10).cast("long").alias("tenths"))
