@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm.components import components
-from lacuna.llm.session import materialize, read
+from lacuna.llm.session import lean, materialize, read
 
 #: Tables, E8 blocks of a table, size of a cell for 64 dimensions and more, cells visited besides the own one.
 TABLES, BLOCKS, SCALE, PROBES = 12, 3, 0.25, 6
@@ -224,7 +224,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     members = materialize(rows.select("vec_id", "node"))
     classes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"))
     classes = materialize(classes)
-    cells = materialize(classes.select("node", "embedding").mapInArrow(_cells, "node long, cells array<long>"))
+    cells = materialize(classes.select("node", "embedding").mapInArrow(lean(_cells), "node long, cells array<long>"))
     met = cells.select(F.explode("cells").alias("cell"), "node")
     shared = met.groupBy("cell").agg(F.count("*").alias("many")).where("many > 1")
     met = materialize(met.join(shared, "cell"))
@@ -234,7 +234,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     dealt = full.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2)
     dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "weight", "embedding", "cells")
-    found = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_compare(cosine), "u long, v long, n long, edge boolean")
+    found = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(lean(_compare(cosine)), "u long, v long, n long, edge boolean")
     found = materialize(found)
     links = found.where("not edge").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
     group = materialize(components(found.where("edge").select("u", "v")))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm import textvec
 from lacuna.llm.latent import summed
-from lacuna.llm.session import materialize, read
+from lacuna.llm.session import lean, materialize, read
 
 # Texts of licenses and of their notices.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -273,7 +273,7 @@ def scan_licenses(files: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 found = list(zip(*matches(batch.column("text"), known), strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), pa.array(found[0], pa.string()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.int64()), pa.array(found[3], pa.float64())], names=["doc_id", "path", "license", "score", "n_lines", "share"])
 
-    own = files.mapInArrow(scan, "doc_id long, path string, license string, score double, n_lines long, share double")
+    own = files.mapInArrow(lean(scan), "doc_id long, path string, license string, score double, n_lines long, share double")
     gives = F.col("license").isNotNull() & ((F.col("share") >= MOSTLY) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)))
     return inherit(own.withColumn("licenses_directory", gives))
 

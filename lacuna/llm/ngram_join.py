@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm import textvec
 from lacuna.llm.components import components
-from lacuna.llm.session import join_keys, materialize, read, release
+from lacuna.llm.session import drop_shuffles, join_keys, lean, materialize, read, release
 
 #: Counters of the sketch that orders n-grams, and fragments of the order.
 COUNTERS, FRAGMENTS = 1 << 20, 8
@@ -114,7 +114,7 @@ def _count_grams(docs: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": list(sums), "n": [x.tobytes() for x in sums.values()]})
 
     schema = "part long, n binary"
-    some = docs.select("text").mapInArrow(count, schema).repartition(16, "part").mapInArrow(add, schema)
+    some = docs.select("text").mapInArrow(lean(count), schema).repartition(16, "part").mapInArrow(lean(add), schema)
     out = np.zeros((16, COUNTERS // 16), np.int64)
     for row in some.collect():
         out[row["part"]] = np.frombuffer(row["n"], np.int64)
@@ -167,7 +167,7 @@ def _sets(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
                 prefix.append(own[: _need(len(own), percent)].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array([s and int.from_bytes(s[:8], "little", signed=True) for s in sig], pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "sig", "half", "bits", "prefix"])
 
-    return docs.mapInArrow(make, "doc_id long, key long, n long, sig binary, half long, bits binary, prefix array<long>")
+    return docs.mapInArrow(lean(make), "doc_id long, key long, n long, sig binary, half long, bits binary, prefix array<long>")
 
 
 def _members(docs: DataFrame, order, n: int) -> DataFrame:
@@ -187,7 +187,7 @@ def _members(docs: DataFrame, order, n: int) -> DataFrame:
                     sig.append(name), members.append([x.view(np.int64) for x in np.split(own, at)])
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(members, pa.list_(pa.list_(pa.int64())))], names=["sig", "members"])
 
-    return docs.select("text").mapInArrow(cut, "sig binary, members array<array<long>>")
+    return docs.select("text").mapInArrow(lean(cut), "sig binary, members array<array<long>>")
 
 
 def _sizes_fit(x: str, y: str, percent: int):
@@ -217,7 +217,7 @@ def _sketched(pairs: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     x = own.toDF("half", "a", "na", "x")
     y = own.toDF("other", "b", "nb", "y")
     both = pairs.join(x, "half").join(y, "other").where((F.col("a") != F.col("b")) & _sizes_fit("na", "nb", percent))
-    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_near(percent), "a binary, b binary, na long, nb long")
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(lean(_near(percent)), "a binary, b binary, na long, nb long")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, one: DataFrame, order, n: int, percent: int) -> DataFrame:
@@ -324,10 +324,10 @@ def _apart(rest: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2)
     block = F.xxhash64("gram", "band", F.least("own", "other"), F.greatest("own", "other"))
     many = many.select(block.alias("key"), "half", "n", "label", (side + F.when(F.col("home"), HOME).otherwise(0)).alias("role"))
-    brief = materialize(one.select("half", "n", "bits").mapInArrow(_brief, "half long, brief binary"))
+    brief = materialize(one.select("half", "n", "bits").mapInArrow(lean(_brief), "half long, brief binary"))
     tasks = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = few.unionAll(many).join(brief, "half").repartition(tasks, "key").sortWithinPartitions("key")
-    return _ordered(dealt.mapInArrow(_compare(percent), "half long, other long"))
+    return _ordered(dealt.mapInArrow(lean(_compare(percent)), "half long, other long"))
 
 
 def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -347,7 +347,9 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Prefix n-grams that more than one class has. Should two classes have the same half, each gets the n-grams of both.
     postings = sets.where("prefix is not null").select("half", F.explode("prefix").alias("gram"))
     common = materialize(postings.groupBy("gram").agg(F.min("half").alias("lo"), F.max("half").alias("hi")).where("lo < hi").select("gram"))
+    drop_shuffles(docs.sparkSession)
     seen = materialize(postings.join(common, "gram").select("half", "gram"))
+    drop_shuffles(docs.sparkSession)
     met = seen.groupBy("half").agg(F.collect_set("gram").alias("grams"))
     one = sets.where("prefix is not null").select("sig", "half", "key", "n", "bits", F.size("prefix").alias("prefix")).join(met, "half")
     one = one.groupBy("half", "sig").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first(F.col("prefix") - F.size("grams")).alias("alone"), F.first("grams").alias("grams"))
@@ -364,6 +366,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tried = materialize(_ordered(nearest))
     release(hubs)
     links = materialize(_links(materialize(_sketched(tried, one, percent)), docs, one, order, n, percent))
+    drop_shuffles(docs.sparkSession)
     label = components(links)
 
     # What is left: members of one n-gram that are still apart. Labels are compared by their hashes.

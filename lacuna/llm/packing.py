@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.session import materialize, read
+from lacuna.llm.session import lean, materialize, read
 from lacuna.llm.tokens import default_vocabulary, tokens
 
 #: Tokens of a sequence; the id that ends a document.
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(sizes: list[int], items: list[int], free: list[tuple[int, int]], place: np.ndarray, bins: int, capacity: int) -> int:
@@ -189,7 +189,7 @@ def _islands(shards: DataFrame, count: int, epoch: int, capacity: int) -> DataFr
 
     # A number of tasks, as rows are few and small, but each is seconds of work.
     rows = shards.repartition(min(count * ISLANDS, MOST_TASKS), "shard", "island")
-    return rows.mapInPandas(run, "shard long, island int, place binary, bins int")
+    return rows.mapInPandas(lean(run), "shard long, island int, place binary, bins int")
 
 
 def _pack(items: DataFrame, count: int, capacity: int) -> DataFrame:
@@ -221,7 +221,7 @@ def _pack(items: DataFrame, count: int, capacity: int) -> DataFrame:
                 offset[order] = before - before[first]
                 yield pd.DataFrame({"item": np.asarray(row.item, np.int64), "sequence_id": (np.int64(row.shard) << 20) + place, "offset": offset, "fill": np.bincount(place, sizes)[place] / capacity})
 
-    return shards.join(best, "shard").mapInPandas(lay, "item long, sequence_id long, offset long, fill double")
+    return shards.join(best, "shard").mapInPandas(lean(lay), "item long, sequence_id long, offset long, fill double")
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm import textvec
 from lacuna.llm.boosting import Isotonic, Trees
-from lacuna.llm.session import read
+from lacuna.llm.session import lean, read
 
 KINDS = ("email", "ip", "card", "phone")
 #: A threshold is the least at which this share of the calibration texts' added spans is right.
@@ -334,7 +334,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             counts = np.array([[sum(s[0] == k for s in own) for own in base] for k in range(4)], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array([hashlib.sha256(_line(b).encode()).hexdigest() for b in base], pa.string()), pa.array([_line(s) for s in full], pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(find), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def op1_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

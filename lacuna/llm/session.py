@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,17 +36,40 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete materialized tables that no plan reads any more, and have Spark drop the shuffle files of plans that are gone.
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of plans that are gone.
 
-    Spark drops those when the driver's garbage is collected, which a driver
-    with little garbage does too seldom for executors' disks.
+    It does so when the driver's garbage is collected, which a driver with
+    little garbage does too seldom for executors' disks.
     """
+    spark._jvm.System.gc()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that no plan reads any more, and drop the shuffle files of plans that are gone."""
     for table in tables:
         place, system = _place(table.sparkSession, table._lacuna_path)
         system.delete(place, True)
     for table in tables[:1]:
-        table.sparkSession._jvm.System.gc()
+        drop_shuffles(table.sparkSession)
+
+
+def give_back() -> None:
+    """Return memory that this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function of a task's batches, which at its end gives memory back: workers live on, and each would keep the most that it ever needed."""
+
+    @wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return run
 
 
 def join_keys(big: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm import textvec
 from lacuna.llm.labelled import fold, labelled
-from lacuna.llm.session import read
+from lacuna.llm.session import give_back, lean, read
 
 #: Buckets of each kind of feature, length of vectors, passes over the sample.
 BITS, WIDTH, EPOCHS = 15, 8, 4
@@ -176,8 +176,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> SubwordModel:
     All tasks make bags of features of the sample, each of at most as many
     entries as there are buckets; one task descends on them.
     """
-    bags = labelled(docs, labels, "quality", fold("doc_id", 4) != 2).mapInArrow(_make_bags, "doc_id long, key long, y int, ids binary, share binary")
-    rows = bags.repartition(1).sortWithinPartitions("key", "doc_id").mapInArrow(_learn, "weight binary, bias double").collect()
+    bags = labelled(docs, labels, "quality", fold("doc_id", 4) != 2).mapInArrow(lean(_make_bags), "doc_id long, key long, y int, ids binary, share binary")
+    rows = bags.repartition(1).sortWithinPartitions("key", "doc_id").mapInArrow(lean(_learn), "weight binary, bias double").collect()
     return SubwordModel(np.frombuffer(rows[0]["weight"]), rows[0]["bias"]) if rows else train([], np.empty(0))
 
 
@@ -190,7 +190,7 @@ def scored(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_co
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known.score(batch.column(1)))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(score), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -203,6 +203,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         known = SubwordModel(*shared.value)
         for texts in batches:
             yield pa.array(known.score(texts))
+        give_back()
 
     return docs.where(score("text") >= threshold)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lacuna.llm import textvec
 from lacuna.llm.boosting import Isotonic, Trees
 from lacuna.llm.labelled import fold, labelled
-from lacuna.llm.session import read
+from lacuna.llm.session import lean, read
 
 THRESHOLD = 0.5
 #: Parts of the sample for cross-fitting; toxic documents that a word of the lexicon is in, at least.
@@ -238,9 +238,9 @@ def _lexicons(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
             h, odds = choose(keys, by[1], by[0], int(n[1]), int(n[0]))
             yield pa.RecordBatch.from_pydict({"part": [k], "h": [h.tobytes()], "odds": [odds.tobytes()]})
 
-    by_word = sample.mapInArrow(emit, "h long, kind int").groupBy("h").agg(*(F.count_if(F.col("kind") == k).alias(f"n{k}") for k in range(2 * PARTS)))
+    by_word = sample.mapInArrow(lean(emit), "h long, kind int").groupBy("h").agg(*(F.count_if(F.col("kind") == k).alias(f"n{k}") for k in range(2 * PARTS)))
     bad = sum((F.col(f"n{2 * k + 1}") for k in range(PARTS)), F.lit(0))
-    rows = by_word.where(bad >= LEAST).repartition(1).mapInArrow(pick, "part long, h binary, odds binary").collect()
+    rows = by_word.where(bad >= LEAST).repartition(1).mapInArrow(lean(pick), "part long, h binary, odds binary").collect()
     out = [(np.empty(0, U64), np.empty(0))] * (PARTS + 1)
     for r in rows:
         out[r["part"]] = np.frombuffer(r["h"], U64), np.frombuffer(r["odds"])
@@ -268,7 +268,7 @@ def train(sample: DataFrame) -> ToxicModel:
                 x[own] = models[k].features(batch.column("text").take(pa.array(own)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "part", "y")), pa.array([r.tobytes() for r in x], pa.binary())], names=["key", "part", "y", "x"])
 
-    rows = sample.mapInArrow(describe, "key long, part int, y int, x binary").orderBy("key", "x").toArrow()
+    rows = sample.mapInArrow(lean(describe), "key long, part int, y int, x binary").orderBy("key", "x").toArrow()
     y, part = rows.column("y").to_numpy().astype(float), rows.column("part").to_numpy()
     if not 0 < (y == 1).sum() < len(y):
         return ToxicModel((np.empty(0, U64), np.empty(0)))
@@ -284,7 +284,7 @@ def train(sample: DataFrame) -> ToxicModel:
                 margin = trees.margin(x[own]) if trees is not None else np.zeros(int(own.sum()))
                 yield pa.RecordBatch.from_pydict({"part": [k], "trees": [pickle.dumps(trees if k == PARTS else None)], "margin": [margin.tobytes()]})
 
-    grown = spark.range(0, PARTS + 1, 1, PARTS + 1).mapInArrow(grow, "part long, trees binary, margin binary").collect()
+    grown = spark.range(0, PARTS + 1, 1, PARTS + 1).mapInArrow(lean(grow), "part long, trees binary, margin binary").collect()
     margin, trees = np.zeros(len(y)), None
     for r in grown:
         margin[part == r["part"]] = np.frombuffer(r["margin"])
@@ -306,7 +306,7 @@ def scored(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known.score(batch.column(1)))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(score), "doc_id long, score double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
