@@ -37,12 +37,13 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Have Spark drop the shuffle files of plans that are gone.
+    """Have Spark drop the shuffle files of plans that are gone, and give freed memory back.
 
-    It does so when the driver's garbage is collected, which a driver with
+    Spark does so when the driver's garbage is collected, which a driver with
     little garbage does too seldom for executors' disks.
     """
     spark._jvm.System.gc()
+    give_back()
 
 
 def release(*tables: DataFrame) -> None:
