@@ -211,11 +211,17 @@ def damaged(text: Column, doc_id: Column) -> Column:
     """Every tenth document by crc32 of its id, with its end made of repetitions of a few words; others as they are, as is one without an id."""
     words = F.regexp_extract_all(text, F.lit("([^\\x20\\x09-\\x0D]+)"))
     h = F.crc32(doc_id.cast("string").cast("binary"))
-    g, n = F.floor(h / 10), F.greatest(F.size(words), F.lit(1))
-    a = F.pmod(g, n)
-    period = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))
-    chosen = F.transform(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")), lambda i: F.get(words, F.when(i < a, i).otherwise(a + F.pmod(i - a, period)).cast("int")))
-    return F.when((h % 10 == 0) & F.rlike(text, F.lit("[^\\x20\\x09-\\x0D]")), F.array_join(chosen, " ")).otherwise(text)
+
+    def periodic(w: Column) -> Column:
+        g, n = F.floor(h / 10), F.greatest(F.size(w), F.lit(1))
+        a = F.pmod(g, n)
+        period = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))
+        chosen = F.transform(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")), lambda i: F.get(w, F.when(i < a, i).otherwise(a + F.pmod(i - a, period)).cast("int")))
+        return F.array_join(chosen, " ")
+
+    # The words are one element of an array, so that they are not divided again for each of them.
+    once = F.get(F.transform(F.array(words), periodic), 0)
+    return F.when((h % 10 == 0) & F.rlike(text, F.lit("[^\\x20\\x09-\\x0D]")), once).otherwise(text)
 
 
 def _sha256(text: Column) -> Column:
