@@ -14,7 +14,7 @@ from lacuna import sinks
 from lacuna.adapters import ADAPTERS, distinct_values, incomplete
 from lacuna.functions.canonical import hmac_udf
 from lacuna.keys import resolve_key
-from lacuna.operators import chain, matrix, provenance, rivals, seal, timeline, verify
+from lacuna.operators import logs, matrix, provenance, rivals, seal, timeline, verify
 from lacuna.plans import hypotheses, mappings
 from lacuna.session import session
 from lacuna.sources import cases, discovery, registry, timelines
@@ -211,14 +211,21 @@ def verify_files(spark, args) -> int:
 
 
 def verify_log(spark, args) -> int:
-    log = spark.read.schema("chain_id string, pos long, seq long, prev_hash string, entry_hash string, entry_hmac string").json(args.path)
-    checked = chain.link_errors(log)
-    if (key := resolve_key()) is not None and "entry_hmac" in log.columns:
-        mac = hmac_udf(key)
-        checked = chain.key_errors(checked, lambda c: mac(c))
-    found = chain.summarize(checked)
+    """Logs of one entry a line, or those within bundles with what these declare of their tips; exit code 1 if any chain is not valid, 2 if there is nothing to verify."""
+    if args.bundle:
+        documents = _documents(spark, args.path)
+        log, declared = logs.logs_of(documents, "path", "document")
+    else:
+        log = logs.read_log(spark, args.path)
+        declared = spark.read.schema("chain_id string, chain_tip string, chain_tip_hmac string").json(args.tips) if args.tips else None
+    if log.isEmpty() and declared is None:
+        return _refuse(f"{args.path} has no entries")
+    mac = None if (key := resolve_key()) is None else hmac_udf(key)
+    found = logs.check_log(log, declared, mac).persist()
+    wrong = found.where("not valid").count()
     _print(found, ["chain_id"])
-    return 0 if found.where("not valid").isEmpty() else 1
+    found.unpersist()
+    return 1 if wrong else 0
 
 
 COMMANDS = {
@@ -267,6 +274,9 @@ def parser() -> argparse.ArgumentParser:
             own.add_argument("--allow-partial", action="store_true")
             if name == "import-shellbags":
                 own.add_argument("--bag", choices=("BagMRU", "Bags"), default="BagMRU")
+        if name == "verify-log":
+            own.add_argument("--bundle", action="store_true", help="the path is of bundles, whose own logs and tips are verified")
+            own.add_argument("--tips", help="declared tips: lines of chain_id, chain_tip, chain_tip_hmac")
         if name == "verify":
             own.add_argument("--kind", choices=("export", "bundle"), default="export")
             own.add_argument("--sources", help="folder of the sources, whose digests are compared with the recorded ones")

@@ -2,7 +2,7 @@
 
 A chain's rows are ``(chain_id, pos, seq, prev_hash, entry_hash, ...)``; pos is the
 order in which they are stored. Links compare stored digests, so all rows are
-checked in parallel.
+checked in parallel, those of one long chain too.
 """
 
 from __future__ import annotations
@@ -10,25 +10,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.operators.scan import before, first_of
+
 GENESIS = "0" * 64
 # The window of plausible times, its end outside.
 EARLIEST, LATEST = "2000-01-01 00:00:00", "2038-01-19 03:14:07"
 
 
-def _order() -> Window:
-    return Window.partitionBy("chain_id").orderBy("pos")
-
-
-def link_errors(log: DataFrame, first_seq: int = 1, genesis: str = GENESIS) -> DataFrame:
-    """Rows with expected_seq, expected_prev, seq_gap and broken_link."""
-    w = _order()
-    seq = F.coalesce(F.lag("seq").over(w) + 1, F.lit(first_seq))
-    prev = F.coalesce(F.lag("entry_hash").over(w), F.lit(genesis))
-    out = log.withColumns({"expected_seq": seq, "expected_prev": prev})
-    return out.withColumns({"seq_gap": F.col("seq") != F.col("expected_seq"), "broken_link": ~F.col("prev_hash").eqNullSafe(F.col("expected_prev"))})
+def link_errors(log: DataFrame, first_seq: int = 1, genesis: str = GENESIS, segment: Column | None = None) -> DataFrame:
+    """Rows with expected_seq, expected_prev, seq_gap and broken_link. A null number or digest is as wrong as any other."""
+    out = before(log, "chain_id", "pos", previous={"_seq": F.col("seq"), "_hash": F.col("entry_hash")}, segment=segment)
+    out = out.withColumns({"expected_seq": F.coalesce(F.col("_seq") + 1, F.lit(first_seq)), "expected_prev": F.coalesce("_hash", F.lit(genesis))}).drop("_seq", "_hash")
+    return out.withColumns({"seq_gap": ~F.col("seq").eqNullSafe(F.col("expected_seq")), "broken_link": ~F.col("prev_hash").eqNullSafe(F.col("expected_prev"))})
 
 
 def content_errors(log: DataFrame, *recomputed: Column) -> DataFrame:
@@ -46,16 +42,16 @@ def key_errors(log: DataFrame, mac: Callable[[Column], Column]) -> DataFrame:
 
 
 def summarize(checked: DataFrame) -> DataFrame:
-    """Per chain: length, errors of each kind, the least number with any error, validity, and the tip."""
+    """Per chain: length, errors of each kind, the least number with any error (null if no such row has one), validity, and the tip. A chain is valid if no row has an error."""
     kinds = [k for k in ("seq_gap", "broken_link", "tampered") if k in checked.columns]
     bad = F.lit(False)
     for k in kinds:
-        bad = bad | F.col(k)
+        bad = bad | F.coalesce(F.col(k), F.lit(True))
     if "hmac_error" in checked.columns:
         bad = bad | F.col("hmac_error").isNotNull()
-    counts = [F.count_if(k).alias(f"n_{k}") for k in kinds] + ([F.count("hmac_error").alias("n_hmac_error")] if "hmac_error" in checked.columns else [])
-    out = checked.groupBy("chain_id").agg(F.count("*").alias("length"), *counts, F.min(F.when(bad, F.col("seq"))).alias("first_invalid_seq"), F.max_by("entry_hash", "pos").alias("tip"))
-    return out.withColumn("valid", F.col("first_invalid_seq").isNull())
+    counts = [F.count_if(F.coalesce(F.col(k), F.lit(True))).alias(f"n_{k}") for k in kinds] + ([F.count("hmac_error").alias("n_hmac_error")] if "hmac_error" in checked.columns else [])
+    out = checked.groupBy("chain_id").agg(F.count("*").alias("length"), *counts, F.min(F.when(bad, F.col("seq"))).alias("first_invalid_seq"), F.max_by("entry_hash", "pos").alias("tip"), F.count_if(bad).alias("_bad"))
+    return out.withColumn("valid", F.col("_bad") == 0).drop("_bad")
 
 
 def tip_errors(summary: DataFrame, declared: DataFrame, mac: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -66,23 +62,21 @@ def tip_errors(summary: DataFrame, declared: DataFrame, mac: Callable[[Column],
     return out if mac is None else out.withColumn("tip_hmac_mismatch", F.col("chain_tip_hmac") != mac(tip))
 
 
-def anomalies(log: DataFrame, signature: Column, ts: str = "ts") -> DataFrame:
+def anomalies(log: DataFrame, signature: Column, ts: str = "ts", segment: Column | None = None) -> DataFrame:
     """Rows with out_of_range, non_monotonic (against the last time that there is) and duplicate_of (number of the first with the same content)."""
-    w = _order().rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(ts, ignorenulls=True).over(w)
     col = F.col(ts)
     kind = dict(log.dtypes)[ts]
     inside = (col >= F.lit(EARLIEST).cast(kind)) & (col < F.lit(LATEST).cast(kind))
-    same = Window.partitionBy("chain_id", "_signature").orderBy("pos")
-    out = log.withColumn("_signature", signature).withColumns({"out_of_range": F.coalesce(~inside, F.lit(False)), "non_monotonic": F.coalesce(col < last, F.lit(False)), "duplicate_of": F.when(F.row_number().over(same) > 1, F.first("seq").over(same))})
-    return out.drop("_signature")
+    out = before(log.withColumn("_signature", signature), "chain_id", "pos", known={"_last": col}, segment=segment)
+    out = out.withColumns({"out_of_range": F.coalesce(~inside, F.lit(False)), "non_monotonic": F.coalesce(col < F.col("_last"), F.lit(False))})
+    return first_of(out, ["chain_id", "_signature"], "pos", F.col("seq"), "duplicate_of").drop("_signature", "_last")
 
 
-def legacy_errors(log: DataFrame) -> DataFrame:
+def legacy_errors(log: DataFrame, segment: Column | None = None) -> DataFrame:
     """First-version chains: each entry stores the digest of the entry before's summary; the first has GENESIS."""
-    before = F.sha2(F.encode(F.lag("result_summary").over(_order()), "utf-8"), 256)
-    expected = F.when(F.col("seq") == 1, "GENESIS").otherwise(before)
-    return log.withColumns({"expected_prev": expected, "broken_link": ~F.col("prev_hash").eqNullSafe(expected)})
+    out = before(log, "chain_id", "pos", previous={"_summary": F.col("result_summary")}, segment=segment)
+    expected = F.when(F.col("seq") == 1, "GENESIS").otherwise(F.sha2(F.encode("_summary", "utf-8"), 256))
+    return out.withColumn("expected_prev", expected).withColumn("broken_link", ~F.col("prev_hash").eqNullSafe(F.col("expected_prev"))).drop("_summary")
 
 
 def versions(log: DataFrame, declared: DataFrame | None = None) -> DataFrame:

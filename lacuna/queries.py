@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions import binary, names
+from lacuna.functions import binary, compiled, names
 from lacuna.functions.canonical import flat_canonical, int_tag, text_tag
-from lacuna.operators import batch, chain, matrix, rivals, timeline
+from lacuna.operators import batch, chain, logs, matrix, rivals, timeline
 from lacuna.plans import catalog, hypotheses, mappings
 
 EVIDENCE = 147.0
@@ -101,11 +101,11 @@ def reason_defaults(spark, sf_dir):
     return full_matrix(spark, sf_dir).groupBy("status", "reason").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH k AS (SELECT user_id AS case_id, list(DISTINCT m.action) AS actions FROM events JOIN {SQL_TYPES} USING (event_type) WHERE value >= 149 GROUP BY 1)
+@query(f"""WITH k AS (SELECT user_id AS case_id, list(DISTINCT m.action) AS actions FROM events JOIN {SQL_TYPES} USING (event_type) GROUP BY 1)
 SELECT case_id, c.action, c.artifact_type FROM k, {SQL_CATALOG} WHERE list_contains(actions, c.action)""")
 def activity_filter(spark, sf_dir):
     """Catalog rows of the actions that a case has registered only."""
-    rows = read(spark, sf_dir, "events").where("value >= 149").select(F.col("user_id").alias("case_id"), _pick([e["action"] for e in ENTRY]).alias("action"))
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), _pick([e["action"] for e in ENTRY]).alias("action"))
     own = rows.groupBy("case_id").agg(F.collect_set("action").alias("actions"))
     return matrix.expectations(own).select("case_id", "action", "artifact_type")
 
@@ -127,12 +127,12 @@ def condition_coverage(spark, sf_dir):
     return matrix.uncovered(held, span).select("case_id", "condition", "covers")
 
 
-@query("""WITH s AS (SELECT user_id AS case_id, list(DISTINCT event_type) AS have FROM events WHERE value >= 148 GROUP BY 1), r AS (SELECT ['click', 'view', 'signup', 'refund'] AS need)
+@query("""WITH s AS (SELECT user_id AS case_id, list(DISTINCT event_type) AS have FROM events GROUP BY 1), r AS (SELECT ['click', 'view', 'signup', 'refund'] AS need)
 SELECT case_id, array_to_string(list_sort(list_filter(need, lambda x: NOT list_contains(have, x))), ',') AS missing, array_to_string(list_sort(list_filter(have, lambda x: NOT list_contains(need, x))), ',') AS extra FROM s, r""")
 def missing_conditions(spark, sf_dir):
     """Required minus supplied and supplied minus required."""
     need = F.array(*map(F.lit, ("click", "view", "signup", "refund")))
-    have = read(spark, sf_dir, "events").where("value >= 148").groupBy(F.col("user_id").alias("case_id")).agg(F.collect_set("event_type").alias("have"))
+    have = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("case_id")).agg(F.collect_set("event_type").alias("have"))
     line = lambda a: F.array_join(F.array_sort(a), ",")
     return have.select("case_id", line(F.array_except(need, "have")).alias("missing"), line(F.array_except("have", need)).alias("extra"))
 
@@ -561,18 +561,14 @@ def source_rehash(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, printf('%.8f', l_discount / (l_linenumber + 2)) AS canonical FROM lineitem")
 def canonical_float8(spark, sf_dir):
-    """Eight decimals of the exact binary value."""
-    from lacuna.functions.canonical import float8_udf
-
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", float8_udf()(F.col("l_discount") / (F.col("l_linenumber") + 2)).alias("canonical"))
+    """Eight decimals of the exact binary value, in the JVM."""
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", compiled.float8(F.col("l_discount") / (F.col("l_linenumber") + 2)).alias("canonical"))
 
 
 @query("SELECT doc_id, sha256(nfc_normalize(regexp_replace(text, '\\r\\n?', chr(10), 'g'))) AS digest FROM documents")
 def canonical_digest_docs(spark, sf_dir):
     """Digests of texts in one Unicode form with one kind of line end."""
-    from lacuna.functions.canonical import nfc_udf
-
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.encode(nfc_udf()("text"), "utf-8"), 256).alias("digest"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.encode(compiled.nfc(F.regexp_replace("text", "\r\n?", "\n")), "utf-8"), 256).alias("digest"))
 
 
 @query("""SELECT c_custkey::VARCHAR AS doc_key, CASE WHEN c_custkey % 3 = 0 THEN 9 WHEN c_custkey % 5 = 0 THEN 1 ELSE 15 END::BIGINT AS checks, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN 1 ELSE 0 END::BIGINT AS failures,
@@ -794,3 +790,55 @@ def explained_rows(spark, sf_dir):
 def assumption_weights(spark, sf_dir):
     """Assumptions of each hypothesis, and the sum of their confidence in tenths."""
     return hypotheses.assumptions(spark).groupBy("hypothesis_id").agg(F.count("*").alias("assumptions"), F.sum(F.col("confidence") * 10).cast("long").alias("tenths"))
+
+
+# Content of logs: nested entries, whose canonical form SQL writes out.
+_SQL_JSON = "array_to_string(list_transform(string_split(nfc_normalize(regexp_replace(text, '\\r\\n?', chr(10), 'g')), ''), lambda c: CASE WHEN c = '\"' THEN '\\\"' WHEN c = '\\' THEN '\\\\' WHEN c = chr(10) THEN '\\n' WHEN c = chr(9) THEN '\\t' WHEN unicode(c) BETWEEN 32 AND 126 THEN c ELSE '\\u' || printf('%04x', unicode(c)) END), '')"
+_SQL_ENTRY = f"""'{{"half": "' || printf('%.8f', turn / 2.0) || '", "message": {{"role": "s:' || role || '", "text": "s:' || {_SQL_JSON} || '"}}, "prev_hash": "s:' || sha256(conv_id || ':' || (turn - 1)) || '", "seq": "' || (turn + 1) || ':int", "tags": ["s:' || role || '", "null", "true", []]}}'"""
+SQL_CONTENT = f"content AS (SELECT conv_id AS chain_id, turn + 1 AS seq, sha256({_SQL_ENTRY}) AS digest, (conv_id + turn) % 7 = 0 AS altered, (conv_id + turn) % 11 = 0 AS forged FROM conversations)"
+
+
+def content_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as lines of a log of nested entries, with digests of what they first said; some were altered since and some have another digest."""
+    rows = read(spark, sf_dir, "conversations")
+    lit_null = F.lit(None).cast("string")
+    said = F.struct((F.col("turn") / 2.0).cast("double").alias("half"), F.struct("role", "text").alias("message"), F.sha2(F.concat_ws(":", "conv_id", F.col("turn") - 1).cast("binary"), 256).alias("prev_hash"), (F.col("turn") + 1).alias("seq"), F.array(F.col("role")).alias("tags"))
+    kind = rows.select(said.alias("e")).schema["e"].dataType
+    # The digest is that of the typed entry; its list of other types is put in as text, since no Spark array holds it.
+    typed = F.regexp_replace(compiled.canonical_json(said, kind), '"tags": \\["s:([a-z]*)"\\]\\}$', '"tags": ["s:$1", "null", "true", []]}')
+    text = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    digest = F.when((F.col("conv_id") + F.col("turn")) % 11 == 0, F.sha2(F.lit("").cast("binary"), 256)).otherwise(compiled.canonical_sha256(typed))
+    line = F.to_json(F.struct(F.col("conv_id").cast("string").alias("chain_id"), F.col("turn").alias("pos"), (F.col("turn") + 1).alias("seq"), said["prev_hash"].alias("prev_hash"), digest.alias("entry_hash"), lit_null.alias("entry_hmac")))
+    payload = F.concat(F.lit('{"half": '), said["half"].cast("string"), F.lit(', "message": '), F.to_json(F.struct("role", text.alias("text"))), F.lit(', "tags": ["'), F.col("role"), F.lit('", null, true, []]}'))
+    place = F.struct(F.col("turn").alias("given"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("row"))
+    return rows.select(F.col("conv_id").cast("string").alias("chain_id"), place.alias("pos"), F.lit(0).cast("long").alias("segment"), F.try_parse_json(line).alias("line"), logs.parsed(payload).alias("entry"), logs.nesting(payload).alias("depth"))
+
+
+@query(f"""WITH {SQL_CONTENT} SELECT chain_id::VARCHAR AS chain_id, seq, CASE WHEN forged THEN sha256('') ELSE digest END AS entry_hash, altered OR forged AS tampered FROM content""")
+def log_content(spark, sf_dir):
+    """Entries of a log of nested content against their digests, recomputed from their text in the plan."""
+    return logs.check_entries(content_log(spark, sf_dir)).select("chain_id", "seq", "entry_hash", "tampered")
+
+
+@query(f"""WITH {SQL_CONTENT}, l AS (SELECT *, CASE WHEN forged THEN sha256('') ELSE digest END AS entry_hash, sha256(chain_id || ':' || (seq - 2)) AS prev_hash FROM content),
+m AS (SELECT *, coalesce(lag(entry_hash) OVER w, repeat('0', 64)) AS before, coalesce(lag(seq) OVER w + 1, 1) AS due FROM l WINDOW w AS (PARTITION BY chain_id ORDER BY seq))
+SELECT chain_id::VARCHAR AS chain_id, 2 AS version, count(*) AS length, count_if(seq <> due)::BIGINT AS n_seq_gap, count_if(prev_hash <> before)::BIGINT AS n_broken_link, count_if(altered OR forged)::BIGINT AS n_tampered,
+min(CASE WHEN seq <> due OR prev_hash <> before OR altered OR forged THEN seq END) AS first_invalid_seq, max_by(entry_hash, seq) AS tip, FALSE AS valid FROM m GROUP BY chain_id""")
+def log_verification(spark, sf_dir):
+    """The same log's chains: each entry's link is wrong here, as real ones need digest after digest."""
+    return logs.check_log(content_log(spark, sf_dir)).select("chain_id", "version", "length", "n_seq_gap", "n_broken_link", "n_tampered", "first_invalid_seq", "tip", "valid")
+
+
+@query("""WITH l AS (SELECT event_id AS pos, CASE WHEN event_id % 89 = 0 THEN event_id + 1 ELSE event_id END AS seq, sha256(event_id::VARCHAR) AS entry_hash, CASE WHEN event_id % 97 = 0 THEN 'x' ELSE sha256((event_id - 1)::VARCHAR) END AS prev_hash,
+CASE WHEN event_id % 5 > 0 THEN ts END AS ts, event_type || user_id AS content FROM events),
+w AS (SELECT *, coalesce(lag(seq) OVER o + 1, 1) AS due, coalesce(lag(entry_hash) OVER o, repeat('0', 64)) AS before, last_value(ts IGNORE NULLS) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last, first_value(seq) OVER c AS first, row_number() OVER c AS k
+  FROM l WINDOW o AS (ORDER BY pos), c AS (PARTITION BY content ORDER BY pos))
+SELECT pos, seq, due AS expected_seq, prev_hash <> before AS broken_link, coalesce(ts < last, FALSE) AS non_monotonic, CASE WHEN k > 1 THEN first ELSE -1 END AS duplicate_of FROM w""")
+def chain_of_all(spark, sf_dir):
+    """All events as one chain: its segments are checked side by side."""
+    e = F.col("event_id")
+    text = lambda n: F.sha2(n.cast("string").cast("binary"), 256)
+    log = read(spark, sf_dir, "events").select(F.lit("all").alias("chain_id"), e.alias("pos"), F.when(e % 89 == 0, e + 1).otherwise(e).alias("seq"), text(e).alias("entry_hash"), F.when(e % 97 == 0, "x").otherwise(text(e - 1)).alias("prev_hash"), F.when(e % 5 > 0, F.col("ts")).alias("ts"), F.concat("event_type", "user_id").alias("content"))
+    segment = F.floor(F.col("pos") / 1000)
+    found = chain.anomalies(chain.link_errors(log, segment=segment), F.col("content"), segment=segment)
+    return found.select("pos", "seq", "expected_seq", "broken_link", "non_monotonic", F.coalesce("duplicate_of", F.lit(-1)).alias("duplicate_of"))

@@ -7,10 +7,11 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 
@@ -47,7 +48,8 @@ def session(name: str = "lacuna", master: str | None = None, **conf: str) -> Spa
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    for key, value in {**CONF, **conf}.items():
+    # Noting the call site of every column operation takes longer than planning where expressions are large.
+    for key, value in {**CONF, "spark.python.sql.dataFrameDebugging.enabled": "false", **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
@@ -62,3 +64,13 @@ def shared_folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def materialized(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read back, so that what made them runs once. The files go when the application ends."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/lacuna-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(rows.schema).parquet(path)
