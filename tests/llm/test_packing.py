@@ -95,3 +95,24 @@ def test_search_beats_best_fit_on_hard_sizes():
         assert all(np.bincount(x, sizes).max() <= 2048 for x in last)
         # At least half of what best fit wastes is won.
         assert bound <= found <= (bound + plain) / 2
+
+
+@pytest.mark.parametrize("unit, n", [("\n", 1_000_000), ("\n", 5_000_000), (" ", 2_000_000), ("\t", 1_000_000), (" \n\t", 400_000), ("　", 300_000), ("a", 1_000_000)])
+def test_long_runs_are_the_librarys(slow, unit, n):
+    known = tokens(default_vocabulary())
+    for text in (unit * n, f"x {unit * n}y") if n < 5_000_000 else (unit * n,):
+        assert known.encode(text).tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_runs_of_white_space_are_the_librarys(slow):
+    known, rng = tokens(default_vocabulary()), random.Random(9)
+    blanks = "\t\n\r \x85\xa0　\x0b"
+    parts = ["word", " ", "\x1c", "é", "12", "!?", " " * 70, "\n" * 65 + " "]
+    for _ in range(300):
+        text = "".join(rng.choice([*parts, "".join(rng.choice(blanks) for _ in range(rng.randrange(60, 140)))]) for _ in range(rng.randrange(8)))
+        assert known.encode(text).tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_a_document_of_newlines_is_packed(spark, slow):
+    rows = [(1, "\n" * 1_000_000), (2, "a b")]
+    check(packing.pack(corpus(spark, rows)).collect(), rows, slow, packing.CAPACITY)
