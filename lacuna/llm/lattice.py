@@ -14,6 +14,7 @@ pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +26,19 @@ from pyspark.sql import functions as F
 from lacuna.llm.components import components
 from lacuna.llm.session import lean, materialize, read
 
-#: Tables, E8 blocks of a table, size of a cell for 64 dimensions and more, cells visited besides the own one.
+#: Tables, E8 blocks of a table, size of a cell for 64 dimensions, cells visited besides the own one.
 TABLES, BLOCKS, SCALE, PROBES = 12, 3, 0.25, 6
 #: Least cosine of a link; vectors of a block that are compared in one task.
 COSINE, BLOCK = 0.9, 1024
 U64 = np.uint64
+#: Up to so many vectors the numbers above hold. Beyond, cells are larger (WIDE) but have more blocks (DEEP and one for each LESS times as many vectors), which chance meetings get rarer by; MORE times the tables keep recall.
+MANY, WIDE, DEEP, LESS, MORE = 2_000_000, 0.32, 4, 17, 2.3
+
+
+def shape(vectors: int) -> tuple[int, int, float]:
+    """(tables, blocks, scale) for so many vectors: chance meetings of a vector stay about as many, by measured rates."""
+    extra = max(0, math.ceil(math.log(max(vectors, 1) / MANY, LESS)))
+    return (math.ceil(TABLES * MORE**extra), DEEP + extra, WIDE) if extra else (TABLES, BLOCKS, SCALE)
 
 
 def roots() -> np.ndarray:
@@ -77,8 +86,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Lattice:
     def __init__(self, dim: int, tables: int = TABLES, blocks: int = BLOCKS, scale: float = SCALE, probes: int = PROBES, seed: int = 5):
         rng = np.random.default_rng([seed, dim])
-        # Projections grow as vectors get shorter, and cells with them; those of longer vectors don't shrink, which would lose links.
-        self.tables, self.blocks, self.scale, self.probes = tables, blocks, scale * max(1.0, np.sqrt(64 / dim)), probes
+        # Projections shrink as vectors get longer, and cells with them: recall and chance meetings are those of 64 dimensions.
+        self.tables, self.blocks, self.scale, self.probes = tables, blocks, scale * np.sqrt(64 / dim), probes
         self.project = rng.normal(0, 1 / np.sqrt(dim), (tables, dim, 8 * blocks))
         self.offset = rng.random((tables, 8 * blocks))
         self.roots = roots()
@@ -110,7 +119,13 @@ def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lattice(known: dict[int, Lattice], dim: int, form: tuple[int, int, float]) -> Lattice:
+    if dim not in known:
+        known[dim] = Lattice(dim, *form)
+    return known[dim]
+
+
+def _cells(batches: Iterator[pa.RecordBatch], form: tuple[int, int, float]) -> Iterator[pa.RecordBatch]:
     known: dict[int, Lattice] = {}
     for whole in batches:
         for at in range(0, len(whole), 1000):
@@ -120,7 +135,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for dim in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == dim)
                 flat = batch.column(1).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
-                cells = known.setdefault(dim, Lattice(dim)).cells(_unit(flat, dim)).reshape(len(rows), -1)
+                cells = _lattice(known, dim, form).cells(_unit(flat, dim)).reshape(len(rows), -1)
                 width = cells.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.array(cells.view(np.int64).reshape(-1)))], names=["node", "cells"])
 
@@ -224,14 +239,15 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     members = materialize(rows.select("vec_id", "node"))
     classes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"))
     classes = materialize(classes)
-    cells = materialize(classes.select("node", "embedding").mapInArrow(lean(_cells), "node long, cells array<long>"))
+    form = shape(classes.count())
+    cells = materialize(classes.select("node", "embedding").mapInArrow(lean(lambda batches: _cells(batches, form)), "node long, cells array<long>"))
     met = cells.select(F.explode("cells").alias("cell"), "node")
     shared = met.groupBy("cell").agg(F.count("*").alias("many")).where("many > 1")
     met = materialize(met.join(shared, "cell"))
     full = met.join(classes.select("node", "weight", "embedding").join(cells, "node"), "node")
-    blocks = F.ceil(F.col("many") / BLOCK)
-    own = F.pmod(F.xxhash64("node"), blocks)
-    dealt = full.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    cuts = F.ceil(F.col("many") / BLOCK)
+    own = F.pmod(F.xxhash64("node"), cuts)
+    dealt = full.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1)).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2)
     dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "node", "weight", "embedding", "cells")
     found = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(lean(_compare(cosine)), "u long, v long, n long, edge boolean")

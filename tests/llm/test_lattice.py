@@ -53,14 +53,39 @@ def test_recall_and_no_false_links(spark):
         assert got[2000 + k]["component_id"] == 0
 
 
-@pytest.mark.parametrize("dim", [8, 16, 32, 64, 128])
-def test_recall_does_not_depend_on_length(dim):
+def meetings(dim, vectors):
+    """Recall of pairs at a cosine of 0.9, and the share of random pairs that meet."""
     rng = np.random.default_rng(dim)
     a = unit(rng.normal(size=(600, dim)))
     b = np.array([near(rng, v, 0.9) for v in a])
-    known = lattice.Lattice(dim)
-    met = (known.cells(a)[:, :, :, None] == known.cells(b)[:, :, None, :]).any((1, 2, 3))
-    assert met.mean() >= 0.93
+    known = lattice.Lattice(dim, *lattice.shape(vectors))
+    x, y = known.cells(a), known.cells(b)
+    recall = (x[:, :, :, None] == y[:, :, None, :]).any((1, 2, 3)).mean()
+    pairs = set()
+    for t in range(x.shape[1]):
+        held = {}
+        for k in range(600):
+            for cell in x[k, t].tolist():
+                held.setdefault(cell, set()).add(k)
+        pairs |= {(i, j) for own in held.values() for i in own for j in own if i < j}
+    return recall, len(pairs) / (600 * 599 / 2)
+
+
+@pytest.mark.parametrize("dim", [8, 16, 32, 64, 128, 256, 768, 1024])
+def test_neither_recall_nor_chance_meetings_depend_on_length(dim):
+    recall, chance = meetings(dim, 1000)
+    # Of eight dimensions, random vectors are near each other more often.
+    assert recall >= 0.92 and chance <= (0.01 if dim < 16 else 0.001)
+
+
+@pytest.mark.parametrize("dim, vectors", [(64, 30_000_000), (768, 30_000_000), (64, 1_000_000_000)])
+def test_more_vectors_meet_by_chance_less_often(dim, vectors):
+    recall, chance = meetings(dim, vectors)
+    assert recall >= 0.92 and chance <= 2e-5
+
+
+def test_tables_for_few_vectors():
+    assert lattice.shape(0) == lattice.shape(lattice.MANY) == (lattice.TABLES, lattice.BLOCKS, lattice.SCALE)
 
 
 def test_blocks_count_each_pair_once(spark, monkeypatch):
