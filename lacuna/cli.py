@@ -80,7 +80,7 @@ def import_timeline(spark, args) -> int:
     except ValueError as e:
         return _refuse(str(e))
     error = F.coalesce(F.when(F.col("bad_record").isNotNull(), "field_count"), timeline.row_error())
-    classified = timeline.classify(lines, rows, error=error, max_rows=args.max_rows or None)
+    classified = timeline.classify(lines, mappings.mappings(spark, rows) if args.mapping else rows, error=error, max_rows=args.max_rows or None)
     counts = timeline.counters(classified)
     _print(counts, ["total_rows"])
     have = [(a["action"], o["artifact_type"]) for a in template["activities"] for o in a.get("observations", [])]

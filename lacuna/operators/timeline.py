@@ -10,6 +10,8 @@ from lacuna.plans import catalog as c
 # The columns of a timeline file.
 COLUMNS = "date time timezone MACB source sourcetype type user host short desc version filename inode notes format extra".split()
 MAX_ROWS, MAX_FIELD, SAMPLE, DESCRIPTION = 1_000_000, 1_000_000, 100, 200
+#: What a mapping may ask of a row; mappings of one group that may be broadcast.
+CRITERIA, FEW = ("source", "sourcetype", "type", "format"), 100_000
 
 
 def row_error(columns: list[str] | None = None, field_count: Column | None = None, max_field: int = MAX_FIELD) -> Column:
@@ -27,7 +29,7 @@ def matching(rows: list[tuple]) -> Column:
     found = []
     for ordinal, (source, sourcetype, kind, form, *_) in enumerate(rows):
         fits = F.lit(True)
-        for name, want in (("source", source), ("sourcetype", sourcetype), ("type", kind), ("format", form)):
+        for name, want in zip(CRITERIA, (source, sourcetype, kind, form), strict=True):
             if want is not None:
                 fits = fits & F.coalesce(F.col(name) == want, F.lit(False))
         found.append(F.when(fits, F.lit(ordinal)))
@@ -39,15 +41,62 @@ def invalid_targets(mapping: DataFrame) -> DataFrame:
     return mapping.where(~c.key_in_catalog(F.col("activity"), F.col("artifact_type")))
 
 
-def classify(timeline: DataFrame, rows: list[tuple], *, error: Column | None = None, max_rows: int | None = MAX_ROWS) -> DataFrame:
-    """timeline(row_num, ...) with class (over_limit, invalid, ambiguous, unmatched, matched), activity and artifact_type. Without ``max_rows`` no row is over the limit."""
-    activity = F.array(*[F.lit(r[4]) for r in rows])
-    artifact = F.array(*[F.lit(r[5]) for r in rows])
-    out = timeline.withColumns({"row_error": error if error is not None else F.lit(None).cast("string"), "_matches": matching(rows)})
-    count = F.size("_matches")
+def _criteria(mask: int) -> list[str]:
+    return [name for k, name in enumerate(CRITERIA) if mask >> k & 1]
+
+
+def matched(timeline: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``timeline`` with n_matches, and the target of the first mapping that matches, for any number of mappings (ordinal, source, sourcetype, type, format, activity, artifact_type).
+
+    Mappings are grouped by which criteria they have, sixteen groups at most.
+    Each group is one row for each of its keys, with how many mappings have it
+    and the first of them, and one join on the columns that the group looks at.
+    So the plan does not grow with the mappings; a group is broadcast if it is
+    small, and else shuffled.
+    """
+    bit = lambda k, name: F.when(F.col(name).isNotNull(), 1 << k).otherwise(0)
+    mask = bit(0, CRITERIA[0])
+    for k, name in enumerate(CRITERIA[1:], 1):
+        mask = mask + bit(k, name)
+    held = mapping.withColumn("mask", mask)
+    sizes = {r["mask"]: r["count"] for r in held.groupBy("mask").count().collect()}
+    out, hits = timeline, []
+    for m in sorted(sizes):
+        names = _criteria(m)
+        first = F.min(F.struct("ordinal", "activity", "artifact_type"))
+        keys = held.where(F.col("mask") == m).groupBy(*[F.col(n).alias(f"_{m}_{n}") for n in names]).agg(F.struct(F.count("*").alias("n"), first.alias("first")).alias(f"_hit_{m}"))
+        keys = F.broadcast(keys) if sizes[m] <= FEW else keys
+        same = F.lit(True)
+        for n in names:
+            same = same & (F.col(n) == F.col(f"_{m}_{n}"))
+        # Mappings without criteria match every row: a join with one row.
+        out = out.join(keys, same, "left") if names else out.crossJoin(F.broadcast(keys))
+        out = out.drop(*[f"_{m}_{n}" for n in names])
+        hits.append(f"_hit_{m}")
+    none = F.lit(None).cast("struct<ordinal:int,activity:string,artifact_type:string>")
+    count = sum((F.coalesce(F.col(h)["n"], F.lit(0)) for h in hits), F.lit(0).cast("long"))
+    firsts = [F.col(h)["first"] for h in hits]
+    return out.select("*", count.cast("int").alias("n_matches"), (F.least(*firsts) if len(firsts) > 1 else firsts[0] if firsts else none).alias("_first")).drop(*hits)
+
+
+def classify(timeline: DataFrame, rows: list[tuple] | DataFrame, *, error: Column | None = None, max_rows: int | None = MAX_ROWS) -> DataFrame:
+    """timeline(row_num, ...) with class (over_limit, invalid, ambiguous, unmatched, matched), n_matches, activity and artifact_type. Without ``max_rows`` no row is over the limit.
+
+    A list of mappings is held in the plan; a DataFrame of them is joined.
+    """
+    out = timeline.withColumn("row_error", error if error is not None else F.lit(None).cast("string"))
+    if isinstance(rows, DataFrame):
+        out = matched(out, rows)
+        activity, artifact = F.col("_first.activity"), F.col("_first.artifact_type")
+    else:
+        out = out.withColumn("_first", matching(rows)).withColumn("n_matches", F.size("_first"))
+        first = F.get("_first", 0)
+        activity, artifact = (F.get(F.array(*[F.lit(r[k]) for r in rows]), first) for k in (4, 5))
+    count = F.col("n_matches")
     kind = F.when(F.col("row_num") > max_rows if max_rows is not None else F.lit(False), "over_limit").when(F.col("row_error").isNotNull(), "invalid").when(count > 1, "ambiguous").when(count == 0, "unmatched").otherwise("matched")
-    pick = F.when(kind == "matched", F.element_at("_matches", 1))
-    return out.select("*", kind.alias("class"), count.alias("n_matches"), F.get(activity, pick).alias("activity"), F.get(artifact, pick).alias("artifact_type")).drop("_matches")
+    names = [c for c in out.columns if c not in ("_first", "n_matches")]
+    is_matched = kind == "matched"
+    return out.select(*names, kind.alias("class"), "n_matches", F.when(is_matched, activity).alias("activity"), F.when(is_matched, artifact).alias("artifact_type"))
 
 
 def first_matches(classified: DataFrame) -> DataFrame:

@@ -259,14 +259,39 @@ def mappings_used(spark, sf_dir):
     return timeline.mappings_used(lines(spark, sf_dir))
 
 
-TARGETS = (*MAPPED, ("x", None, None, None, "process_execution", "nowhere"))
+@query(f"""WITH t AS (SELECT DISTINCT user_id, m.action, CASE WHEN user_id % 5 = 0 THEN 'nowhere' ELSE m.artifact_type END AS artifact_type FROM events JOIN {SQL_TYPES} USING (event_type))
+SELECT t.user_id::INTEGER AS ordinal, t.action AS activity, t.artifact_type FROM t LEFT JOIN {SQL_CATALOG} ON c.action = t.action AND c.artifact_type = t.artifact_type WHERE c.action IS NULL""")
+def invalid_mapping_targets(spark, sf_dir):
+    """Mappings that users declare, those of a fifth with a target that is not in the catalog."""
+    artifact = F.when(F.col("user_id") % 5 == 0, "nowhere").otherwise(_pick([e["artifact_type"] for e in ENTRY]))
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").cast("int").alias("ordinal"), _pick([e["action"] for e in ENTRY]).alias("activity"), artifact.alias("artifact_type")).where("activity is not null").distinct()
+    return timeline.invalid_targets(rows)
 
 
-@query(f"""SELECT t.ordinal::INTEGER AS ordinal, t.artifact_type FROM (VALUES {", ".join(f"({k}, '{m[4]}', '{m[5]}')" for k, m in enumerate(TARGETS))}) AS t(ordinal, action, artifact_type)
-LEFT JOIN {SQL_CATALOG} ON c.action = t.action AND c.artifact_type = t.artifact_type WHERE c.action IS NULL""")
-def invalid_mapping_targets(spark, sf_dir):
-    rows = mappings.mappings(spark, TARGETS)
-    return timeline.invalid_targets(rows).select("ordinal", "artifact_type")
+# Mappings of every user: by source alone, by source and type, and by type or format alone.
+SQL_USER_MAPPINGS = f"""um AS (SELECT DISTINCT user_id * 10 AS ordinal, 'u' || user_id AS source, NULL::VARCHAR AS type, NULL::VARCHAR AS format, 'logon' AS activity FROM events WHERE user_id % 3 = 0
+UNION ALL SELECT DISTINCT user_id * 10 + len(event_type), 'u' || user_id, event_type, NULL, 'did_' || event_type FROM events WHERE (user_id + len(event_type)) % 2 = 0
+UNION ALL SELECT DISTINCT 1000000 + len(event_type), NULL, event_type, 'v1', 'any_' || event_type FROM events WHERE event_type IN ('signup', 'error'))"""
+
+
+def user_mappings(events: DataFrame) -> DataFrame:
+    n, source = F.char_length("event_type"), F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    row = lambda rows, ordinal, source, kind, form, activity: rows.select(ordinal.cast("int").alias("ordinal"), source.cast("string").alias("source"), F.lit(None).cast("string").alias("sourcetype"), kind.cast("string").alias("type"), form.cast("string").alias("format"), activity.alias("activity"), F.lit("x").alias("artifact_type")).distinct()
+    null = F.lit(None)
+    whole = row(events.where("user_id % 3 = 0"), F.col("user_id") * 10, source, null, null, F.lit("logon"))
+    some = row(events.where((F.col("user_id") + n) % 2 == 0), F.col("user_id") * 10 + n, source, F.col("event_type"), null, F.concat(F.lit("did_"), "event_type"))
+    types = row(events.where("event_type in ('signup', 'error')"), F.lit(1_000_000) + n, null, F.col("event_type"), F.lit("v1"), F.concat(F.lit("any_"), "event_type"))
+    return whole.unionAll(some).unionAll(types)
+
+
+@query(f"""WITH {SQL_USER_MAPPINGS}, e AS (SELECT event_id, 'u' || user_id AS source, event_type AS type, 'v' || event_id % 2 AS format FROM events),
+h AS (SELECT e.event_id, count(um.ordinal) AS n, min_by(um.activity, um.ordinal) AS activity FROM e LEFT JOIN um ON (um.source IS NULL OR um.source = e.source) AND (um.type IS NULL OR um.type = e.type) AND (um.format IS NULL OR um.format = e.format) GROUP BY e.event_id)
+SELECT event_id AS row_num, n::INTEGER AS n_matches, CASE WHEN n = 0 THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS class, CASE WHEN n = 1 THEN activity END AS activity FROM h""")
+def timeline_by_user(spark, sf_dir):
+    """Events against the mappings of all users: as many mappings as users have types."""
+    events = read(spark, sf_dir, "events")
+    rows = events.select(F.col("event_id").alias("row_num"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"), F.lit("s").alias("sourcetype"), F.col("event_type").alias("type"), F.concat(F.lit("v"), (F.col("event_id") % 2).cast("string")).alias("format"))
+    return timeline.classify(rows, user_mappings(events), max_rows=None).select("row_num", "n_matches", "class", "activity")
 
 
 # Rival hypotheses.
