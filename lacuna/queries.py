@@ -15,6 +15,7 @@ from lacuna.functions import binary, compiled, names
 from lacuna.functions.canonical import flat_canonical, int_tag, text_tag
 from lacuna.operators import batch, chain, logs, matrix, rivals, timeline
 from lacuna.plans import catalog, hypotheses, mappings
+from lacuna.sources import mft
 
 EVIDENCE = 147.0
 # Which event type stands for which catalog row.
@@ -867,3 +868,42 @@ def chain_of_all(spark, sf_dir):
     segment = F.floor(F.col("pos") / 1000)
     found = chain.anomalies(chain.link_errors(log, segment=segment), F.col("content"), segment=segment)
     return found.select("pos", "seq", "expected_seq", "broken_link", "non_monotonic", F.coalesce("duplicate_of", F.lit(-1)).alias("duplicate_of"))
+
+
+# A master file table's records, written from parts: two update sequences, standard information, a name.
+def _little(n: Column, size: int) -> Column:
+    """A whole number as so many bytes, least first."""
+    digits = F.lpad(F.hex(n.cast("long")), 2 * size, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))]))
+
+
+def mft_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a record for each part, every eleventh with another signature and every thirteenth cut short."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    fixed = lambda *numbers: F.concat(*[_little(F.lit(n) if isinstance(n, int) else n, width) for n, width in numbers])
+    zero = lambda n: F.unhex(F.lit("00" * n))
+    name = F.encode(F.left("p_brand", F.lit(20)), "UTF-16LE")
+    ticks = F.lit(133_500_000_000_000_000) + key * 10
+    standard = F.concat(*[_little(ticks + k, 8) for k in range(4)], fixed((32, 4)), zero(12))
+    named = F.concat(_little(key % 1000, 6), fixed((7, 2)), zero(32), _little(key, 8), _little(key + 1, 8), zero(8), _little(F.octet_length(name) / 2, 1), fixed((1, 1)), name)
+    attribute = lambda kind, content: F.concat(fixed((kind, 4), (F.octet_length(content) + 24, 4)), zero(8), fixed((F.octet_length(content), 4), (24, 2), (0, 2)), content)
+    body = F.concat(attribute(0x10, standard), attribute(0x30, named), fixed((0xFFFFFFFF, 4)))
+    head = F.concat(F.unhex(F.when(key % 11 == 0, "42414144").otherwise("46494C45")), fixed((48, 2), (3, 2), (0, 8), (size, 2), (1, 2), (56, 2), (key % 4, 2), (F.octet_length(body) + 56, 4), (1024, 4)), zero(12), fixed((key % (1 << 31), 4), (7, 2), (0, 4)), zero(2))
+    whole = F.concat(head, body)
+    padded = F.concat(whole, F.unhex(F.repeat(F.lit("00"), 1024 - F.octet_length(whole))))
+    # The last two bytes of each sector are the mark; what they were is in the sequence.
+    sealed = F.concat(F.substring(padded, 1, 510), fixed((7, 2)), F.substring(padded, 513, 510), fixed((7, 2)))
+    return read(spark, sf_dir, "part").select(key.cast("string").alias("path"), F.when(key % 13 == 0, F.substring(sealed, 1, 40)).otherwise(sealed).alias("content"))
+
+
+@query("""WITH p AS (SELECT *, p_partkey % 13 > 0 AND p_partkey % 11 > 0 AS good FROM part)
+SELECT p_partkey::VARCHAR AS path, good AS is_valid, CASE WHEN good THEN p_partkey ELSE 0 END AS record_number, CASE WHEN good THEN p_size ELSE -1 END AS sequence_number, good AND p_partkey % 2 = 1 AS is_in_use,
+CASE WHEN good THEN left(p_brand, 20) ELSE '' END AS name, CASE WHEN good THEN p_partkey % 1000 ELSE -1 END AS parent_record, CASE WHEN good THEN 133500000000000000 + p_partkey * 10 + 3 ELSE 0 END AS accessed,
+CASE WHEN good THEN 2 ELSE 0 END AS n_attributes, CASE WHEN p_partkey % 13 = 0 THEN 'record of 40 bytes' WHEN p_partkey % 11 = 0 THEN 'signature b' || chr(39) || 'BAAD' || chr(39) ELSE '' END AS error FROM p""")
+def mft_records(spark, sf_dir):
+    """Records of a master file table decoded: fix-ups, header, standard information, name, and what is wrong."""
+    rows = mft.records(mft_parts(spark, sf_dir))
+    first = F.get("names", 0)
+    known = {"record_number": F.when(F.col("is_valid"), F.col("record_number")), "sequence_number": F.col("sequence_number"), "is_in_use": F.col("is_in_use"), "name": first["name_spec"], "parent_record": first["parent_record"], "accessed": F.col("si.accessed").cast("long")}
+    none = {"record_number": 0, "sequence_number": -1, "is_in_use": False, "name": "", "parent_record": -1, "accessed": 0}
+    return rows.select("path", "is_valid", *[F.coalesce(c, F.lit(none[n])).alias(n) for n, c in known.items()], F.size("attributes").alias("n_attributes"), F.coalesce("error", F.lit("")).alias("error"))

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import glob
+import os
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from struct import Struct, unpack_from
+from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lacuna.functions.binary import filetime
 
@@ -16,6 +25,8 @@ SIZES, DEFAULT_SIZE, SECTOR, SHORTEST = (256, 512, 1024, 2048, 4096), 1024, 512,
 STANDARD, NAME, END = 0x10, 0x30, 0xFFFFFFFF
 _HEADER = Struct("<4sHHQHHHHII")  # signature, fixups at, fixups, log number, sequence, links, attributes at, flags, real size, allocated size
 _TIMES = Struct("<QQQQ")
+#: Bytes of a file that one task reads; records that are decoded at once.
+SPLIT, BLOCK = 32 << 20, 4096
 
 SCHEMA = (
     "path string, record_number long, expected_record_number long, record_number_matches boolean, sequence_number int, hard_link_count int, flags int, "
@@ -120,6 +131,17 @@ def decode(raw: bytes, index: int) -> dict:
     return out
 
 
+def _rows(path: str, content: bytes, size: int, first: int, left: int) -> list[tuple]:
+    """Records of ``content``, numbered from ``first``, where ``left`` bytes of the file begin."""
+    out = []
+    for k, at in enumerate(range(0, len(content), size)):
+        row = decode(content[at : at + size], first + k) | {"path": path}
+        if left - at < size:
+            row |= {"is_valid": False, "error": row["error"] or f"incomplete: {left - at} of {size} bytes"}
+        out.append(tuple(row[c] for c in NAMES))
+    return out
+
+
 def records(files: DataFrame) -> DataFrame:
     """files(path, content) to records; an incomplete last record is a row that says so. A file's size is that of its first record."""
 
@@ -127,16 +149,71 @@ def records(files: DataFrame) -> DataFrame:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 size = record_size(content[:4096])
-                for lo in range(0, len(content), size * 4096):
-                    rows = [decode(content[at : at + size], at // size) | {"path": path} for at in range(lo, min(lo + size * 4096, len(content)), size)]
-                    for row, at in zip(rows, range(lo, len(content), size), strict=False):
-                        if len(content) - at < size:
-                            row |= {"is_valid": False, "error": row["error"] or f"incomplete: {len(content) - at} of {size} bytes"}
-                    yield pd.DataFrame(rows)[[c.split()[0] for c in _columns()]]
+                for lo in range(0, len(content), size * BLOCK):
+                    yield pd.DataFrame(_rows(path, content[lo : lo + size * BLOCK], size, lo // size, len(content) - lo), columns=NAMES)
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
+@dataclass
+class Stretch(InputPartition):
+    """A stretch of a file's records that one task reads."""
+
+    path: str
+    size: int
+    start: int
+    end: int
+    whole: int
+
+
+class MftReader(DataSourceReader):
+    def __init__(self, path: str, split: int, schema: StructType):
+        self.path, self.split, self.schema = path, split, schema
+
+    def partitions(self) -> list[Stretch]:
+        """Stretches of about ``split`` bytes that begin where records do; only each file's first bytes are read for that."""
+        out = []
+        for path in files_of(self.path):
+            whole = os.path.getsize(path)
+            with open(path, "rb") as f:
+                size = record_size(f.read(4096))
+            step = max(1, self.split // size) * size
+            out += [Stretch(path, size, at, min(at + step, whole), whole) for at in range(0, whole, step)]
+        return out
+
+    def read(self, part: Stretch | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no file has a byte
+            return
+        schema = to_arrow_schema(self.schema)
+        with open(part.path, "rb") as f:
+            f.seek(part.start)
+            for at in range(part.start, part.end, part.size * BLOCK):
+                content = f.read(min(part.size * BLOCK, part.end - at))
+                rows = _rows(part.path, content, part.size, at // part.size, part.whole - at)
+                yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in rows], schema)
+
+
+class MftSource(DataSource):
+    """``spark.read.format("mft")``: master file tables of any size, read by as many tasks as they have stretches. Executors must see the path as the driver does."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "mft"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> MftReader:
+        return MftReader(self.options["path"], int(self.options.get("split", SPLIT)), schema)
+
+
+def files_of(path: str) -> list[str]:
+    """Files of a path, a folder (not those below it) or a pattern, in order; hidden ones are none."""
+    found = [path] if os.path.exists(path) else sorted(glob.glob(path))
+    files = [f for p in found for f in (sorted(os.path.join(p, n) for n in os.listdir(p)) if os.path.isdir(p) else [p])]
+    return [f for f in files if os.path.isfile(f) and not os.path.basename(f).startswith((".", "_"))]
+
+
 def _columns() -> list[str]:
     depth, out, last = 0, [], 0
     for k, c in enumerate(SCHEMA):
@@ -147,10 +224,17 @@ def _columns() -> list[str]:
     return [*out, SCHEMA[last:].strip()]
 
 
+NAMES = [c.split()[0] for c in _columns()]
+
+
 def with_times(rows: DataFrame) -> DataFrame:
     """Times of the standard information as timestamps."""
     return rows.select("*", *[filetime(F.col(f"si.{k}")).alias(f"{k}_time") for k in ("created", "modified", "mft_modified", "accessed")])
 
 
 def read_mft(spark: SparkSession, path: str) -> DataFrame:
-    return with_times(records(spark.read.format("binaryFile").load(path).select("path", "content")))
+    """Records of tables at a path. In a store that only Spark reads, a table is one binary file and so at most 2 GB."""
+    if re.match(r"(?!file:)[a-z][a-z0-9+.-]*:", path):
+        return with_times(records(spark.read.format("binaryFile").load(path).select("path", "content")))
+    spark.dataSource.register(MftSource)
+    return with_times(spark.read.format("mft").load(unquote(re.sub("^file:/*", "/", path))))

@@ -3,6 +3,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql.types import StructType
 
 from lacuna.operators import matrix
 from lacuna.sources import cases, discovery, mft, prefetch, registry, timelines
@@ -116,3 +117,33 @@ def test_timeline_file(spark, tmp_path):
     rows = timelines.read_timeline(spark, str(tmp_path / "t.csv")).orderBy("row_num").collect()
     assert [r["row_num"] for r in rows] == [1, 2, 3] and [r["bad_record"] is None for r in rows] == [True, False, True]
     assert timelines.missing_columns(["date"])[0] == "time"
+
+
+def test_mft_in_stretches_equals_whole(spark, tmp_path):
+    rng = random.Random(4)
+    odd = [record(k, f"n{k}") if rng.random() < 0.8 else bytes(rng.randrange(256) for _ in range(1024)) for k in range(60)]
+    (tmp_path / "a b.bin").write_bytes(b"".join(odd) + record(60)[:300])
+    (tmp_path / "big.bin").write_bytes(record(0, size=4096) + record(1, size=4096))
+    (tmp_path / "empty.bin").write_bytes(b"")
+    whole = mft.records(spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content"))
+    spark.dataSource.register(mft.MftSource)
+    parts = spark.read.format("mft").option("split", 7 * 1024).load(str(tmp_path))
+    assert parts.rdd.getNumPartitions() == 11
+    names = [c for c in mft.NAMES if c != "path"]
+    assert sorted(map(str, parts.select(names).collect())) == sorted(map(str, whole.select(names).collect()))
+    assert {r["path"] for r in parts.select("path").distinct().collect()} == {str(tmp_path / "a b.bin"), str(tmp_path / "big.bin")}
+    assert mft.read_mft(spark, f"file://{tmp_path}/a%20b.bin").count() == 61 and mft.read_mft(spark, str(tmp_path / "empty.bin")).count() == 0
+
+
+def test_mft_over_two_gigabytes_is_dealt_to_many_tasks(spark, tmp_path):
+    path = tmp_path / "huge.bin"
+    with open(path, "wb") as f:  # a sparse file
+        f.write(record(0))
+        f.truncate(3 << 30)
+        f.seek((3 << 30) - 1024)
+        f.write(record(7))
+    reader = mft.MftReader(str(path), mft.SPLIT, StructType.fromDDL(mft.SCHEMA))
+    parts = reader.partitions()
+    assert len(parts) == 96 and all(p.start % 1024 == 0 for p in parts)
+    (last,) = list(reader.read(mft.Stretch(str(path), 1024, (3 << 30) - 2048, 3 << 30, 3 << 30)))
+    assert last.column("is_valid").to_pylist() == [False, True] and last.column("expected_record_number").to_pylist()[1] == 3 * 1024 * 1024 - 1
