@@ -52,12 +52,17 @@ class Tokens:
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
-        ids, at = [], 0
+        parts, at = [], 0
         for run in RUN.finditer(text):
-            ids += self.fast.encode_ordinary(text[at : run.start()])
-            ids += self.piece.encode_ordinary(run[0])
+            parts += [_plain(self.fast, text[at : run.start()]), _plain(self.piece, run[0])]
             at = run.end()
-        return np.array(ids + self.fast.encode_ordinary(text[at:]), "<u4")
+        if not parts:
+            return _plain(self.fast, text)
+        return np.concatenate([*parts, _plain(self.fast, text[at:])])
+
+
+def _plain(encoding, text: str) -> np.ndarray:
+    return encoding.encode_to_numpy(text, disallowed_special=())
 
 
 @lru_cache(maxsize=2)
