@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ COUNTERS, FRAGMENTS = 1 << 20, 8
 BITS, MOST_BITS, LEAST_BITS, BLOCK = 1024, 1 << 17, 256, 1024
 #: Added to the role of a class in a block: it is no guest.
 HOME = 4
+#: N-grams that say in which block a pair is emitted; none of them.
+FIRST, NONE = 8, np.iinfo(np.int64).max
 U64 = np.uint64
 
 
@@ -233,13 +236,13 @@ def _links(pairs: DataFrame, docs: DataFrame, one: DataFrame, order, n: int, per
 
 
 def _brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Short sketches for blocks: folded to half as many bits as a set has members, or somewhat more."""
+    """Short sketches for blocks: folded to half as many bits as a set has members, or somewhat more; and the first of its n-grams."""
     for batch in batches:
         short = []
         for bits, n in zip(batch.column("bits"), batch.column("n").to_pylist(), strict=True):
             bits = np.frombuffer(bits.as_buffer(), U64)
             short.append(_fold(bits, min(len(bits), max(LEAST_BITS, 1 << (n // 2).bit_length()) // 64)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("half"), pa.array(short, pa.binary())], names=["half", "brief"])
+        yield pa.RecordBatch.from_arrays([batch.column("half"), pa.array(short, pa.binary()), batch.column("first")], names=["half", "brief", "first"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
@@ -258,13 +261,29 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[
         yield table, [0, len(table)]
 
 
+def _least_common(first: np.ndarray, p: np.ndarray, q: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """For pairs that meet in n-grams: whether each is the least that is among the first of both, or none is."""
+    x, y = first[p], first[q]
+    held = np.where((x[:, :, None] == y[:, None, :]).any(2) & (x != NONE), x, NONE).min(1)
+    return (held == NONE) | (held == gram)
+
+
 def _compare(percent: int):
-    """Candidate pairs of each block of one n-gram's classes: other component, fitting size and short sketch, not both guests."""
+    """Candidate pairs of each block of one n-gram's classes: other component, fitting size and short sketch, not both guests.
+
+    Classes that share many n-grams meet in as many blocks. Each row has the
+    first of its class's n-grams, and a pair that has some of these in common
+    comes from the block of the least of them only.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in _groups(batches):
             n, label, role = (table.column(c).to_numpy() for c in ("n", "label", "role"))
             side, home, brief = role & 3, role >= HOME, table.column("brief").to_pylist()
+            gram, lists = table.column("gram").to_numpy(), table.column("first").combine_chunks()
+            first = np.full((len(table), FIRST), NONE)
+            sizes = np.asarray(pa.compute.list_value_length(lists))
+            first[np.arange(FIRST) < sizes[:, None]] = lists.flatten().to_numpy()
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 left, right = np.flatnonzero(side[lo:hi] < 2), np.flatnonzero(side[lo:hi] > 0)
@@ -283,7 +302,9 @@ def _compare(percent: int):
                         p, q = u[at : at + (1 << 16)], v[at : at + (1 << 16)]
                         apart = np.bitwise_count(bits[p - lo] ^ bits[q - lo]).sum(1, dtype=np.int64)
                         near = apart * (100 + percent) <= (n[p] + n[q]) * (100 - percent)
-                        found.append((p[near], q[near]))
+                        p, q = p[near], q[near]
+                        once = _least_common(first, p, q, gram[p])
+                        found.append((p[once], q[once]))
             if found:
                 u, v = (pa.array(np.concatenate(x)) for x in zip(*found, strict=True))
                 half = table.column("half")
@@ -313,7 +334,7 @@ def _apart(rest: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     few = join_keys(rest, hot, "gram", "left_anti").join(counted.where(F.col("many") <= BLOCK).select("gram"), "gram")
     few = few.withColumns({"before": F.lag("n").over(by_size), "after": F.lead("n").over(by_size)})
     few = few.where((100 * F.col("before") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("after")))
-    few = few.select(F.xxhash64("gram").alias("key"), "half", "n", "label", F.lit(HOME + 1).alias("role"))
+    few = few.select(F.xxhash64("gram").alias("key"), "gram", "half", "n", "label", F.lit(HOME + 1).alias("role"))
     step = 1.0001 * math.log(100 / min(percent, 99))
     many = join_keys(rest, hot, "gram", "inner").withColumn("band", F.floor(F.log("n") / step)).withColumn("home", F.explode(F.array(F.lit(True), F.lit(False))))
     many = materialize(many.withColumn("band", F.when(F.col("home"), F.col("band")).otherwise(F.col("band") - 1)))
@@ -323,8 +344,9 @@ def _apart(rest: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2)
     block = F.xxhash64("gram", "band", F.least("own", "other"), F.greatest("own", "other"))
-    many = many.select(block.alias("key"), "half", "n", "label", (side + F.when(F.col("home"), HOME).otherwise(0)).alias("role"))
-    brief = materialize(one.select("half", "n", "bits").mapInArrow(lean(_brief), "half long, brief binary"))
+    many = many.select(block.alias("key"), "gram", "half", "n", "label", (side + F.when(F.col("home"), HOME).otherwise(0)).alias("role"))
+    first = F.slice(F.array_sort("grams"), 1, FIRST).alias("first")
+    brief = materialize(one.select("half", "n", "bits", first).mapInArrow(lean(_brief), "half long, brief binary, first array<long>"))
     tasks = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = few.unionAll(many).join(brief, "half").repartition(tasks, "key").sortWithinPartitions("key")
     return _ordered(dealt.mapInArrow(lean(_compare(percent)), "half long, other long"))

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from data import SCHEMA, corpus, edge, edge_rows, edited, empty, prose
 
-from lacuna.llm import textvec
+from lacuna.llm import ngram_join, textvec
 from lacuna.llm.components import components
 from lacuna.llm.ngram_join import grams, ngram_components
 
@@ -135,3 +135,18 @@ def test_many_sizes_in_one_block(spark, monkeypatch):
     base = [f"w{k}" for k in range(200)]
     rows = [(k, " ".join([*base[: rng.randrange(4, 200)], *(f"y{rng.randrange(10**9)}" for _ in range(rng.randrange(3)))])) for k in range(120)]
     assert run(corpus(spark, rows)) == brute(rows)
+
+
+def test_a_pair_comes_from_one_block():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(-50, 50, 30)) for _ in range(40)]
+    first = np.full((40, ngram_join.FIRST), ngram_join.NONE)
+    for k, s in enumerate(sets):
+        first[k, : min(len(s), ngram_join.FIRST)] = s[: ngram_join.FIRST]
+    for i in range(40):
+        for j in range(i):
+            common = np.intersect1d(sets[i], sets[j])
+            if len(common):
+                n = len(common)
+                out = ngram_join._least_common(first, np.full(n, i), np.full(n, j), common)
+                assert out.sum() == (1 if len(np.intersect1d(first[i], first[j])) else n)
