@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Ids and names of hypotheses in their order.
 HYPOTHESES = (
-    ("benign_loss", "Benign Loss", "Everyday causes are enough: old entries rolled out of the log, auditing was off, the image is partial, or the reader stops short. Nobody need have removed anything."),
-    ("selective_deletion", "Selective Deletion", "Someone with enough rights removed chosen artifacts. What is missing would then follow its worth as evidence, also where removal takes effort."),
-    ("sensor_failure", "Sensor/Parser Failure", "What happened was never captured or never read out: the agent stopped, its buffers ran over, or the format had changed since the parser was made."),
-    ("configuration_gap", "Configuration Gap", "The settings that make the system write these events were off or too narrow, such as failures only. The events never came to be."),
-    ("non_applicable", "Non-Applicable", "This system does not make the artifact at all: another file system, another edition, or a build without that event."),
+    ("benign_loss", "Benign Loss"),
+    ("selective_deletion", "Selective Deletion"),
+    ("sensor_failure", "Sensor/Parser Failure"),
+    ("configuration_gap", "Configuration Gap"),
+    ("non_applicable", "Non-Applicable"),
 )
 # Hypothesis, expected status, action, artifact, power, status that falsifies.
 PREDICTIONS = (
@@ -25,29 +25,29 @@ PREDICTIONS = (
     ("configuration_gap", "out_of_scope", "permitted_network_connection", "security_event_5156", "0.7", "present"),
     ("non_applicable", "out_of_scope", "any", "any", "0.9", "present"),
 )
-# Fixed values but for the descriptions: hypothesis, description, action, artifact, impact on hypotheses by status.
+# Hypothesis, action, artifact, impact on hypotheses by status.
 PIVOTS = (
-    ("benign_loss", "which auditing was set while the interval ran", "process_execution", "security_event_4688", {"benign_loss": {"confirmed_absent": "disfavors", "unknown": "favors"}, "selective_deletion": {"confirmed_absent": "favors", "unknown": "neutral"}}),
-    ("benign_loss", "whether the change journal reaches over the interval", "file_change", "ntfs_usn_change_journal", {"benign_loss": {"confirmed_absent": "disfavors", "unknown": "favors"}, "selective_deletion": {"confirmed_absent": "favors", "unknown": "neutral"}}),
-    ("selective_deletion", "whether other traces of the same program are there", "process_execution", "security_event_4688", {"selective_deletion": {"confirmed_absent": "favors", "present": "disfavors"}, "benign_loss": {"confirmed_absent": "neutral", "present": "favors"}}),
-    ("sensor_failure", "what collector and parser logged, and their versions", "any", "any", {"sensor_failure": {"unknown": "favors"}, "benign_loss": {"unknown": "neutral"}}),
-    ("configuration_gap", "whether policy asked for successes to be audited", "permitted_network_connection", "security_event_5156", {"configuration_gap": {"unknown": "favors", "present": "disfavors"}, "benign_loss": {"unknown": "neutral"}}),
-    ("non_applicable", "what the maker documents for this build", "any", "any", {"non_applicable": {"out_of_scope": "favors", "present": "disfavors"}, "benign_loss": {"out_of_scope": "disfavors"}}),
+    ("benign_loss", "process_execution", "security_event_4688", {"benign_loss": {"confirmed_absent": "disfavors", "unknown": "favors"}, "selective_deletion": {"confirmed_absent": "favors", "unknown": "neutral"}}),
+    ("benign_loss", "file_change", "ntfs_usn_change_journal", {"benign_loss": {"confirmed_absent": "disfavors", "unknown": "favors"}, "selective_deletion": {"confirmed_absent": "favors", "unknown": "neutral"}}),
+    ("selective_deletion", "process_execution", "security_event_4688", {"selective_deletion": {"confirmed_absent": "favors", "present": "disfavors"}, "benign_loss": {"confirmed_absent": "neutral", "present": "favors"}}),
+    ("sensor_failure", "any", "any", {"sensor_failure": {"unknown": "favors"}, "benign_loss": {"unknown": "neutral"}}),
+    ("configuration_gap", "permitted_network_connection", "security_event_5156", {"configuration_gap": {"unknown": "favors", "present": "disfavors"}, "benign_loss": {"unknown": "neutral"}}),
+    ("non_applicable", "any", "any", {"non_applicable": {"out_of_scope": "favors", "present": "disfavors"}, "benign_loss": {"out_of_scope": "disfavors"}}),
 )
-# Fixed values but for the last: hypothesis, assumption, confidence, what would falsify it.
+# Hypothesis, assumption, confidence.
 ASSUMPTIONS = (
-    ("benign_loss", "retention_limits", "0.8", "the change journal covers the interval and the event log does not"),
-    ("benign_loss", "audit_policy_disabled", "0.7", "successes were being audited for these events"),
-    ("benign_loss", "acquisition_incomplete", "0.6", "the manifest of the image has no holes"),
-    ("selective_deletion", "attacker_privileges", "0.6", "nobody is seen to have gained the rights"),
-    ("selective_deletion", "selective_targeting", "0.7", "what is missing is what was easy to remove"),
-    ("selective_deletion", "deletion_tools_available", "0.5", "no tool for the purpose left a trace"),
-    ("sensor_failure", "collector_uptime", "0.7", "the collector ran throughout"),
-    ("sensor_failure", "parser_compatibility", "0.8", "the parser reads a sample of this build well"),
-    ("sensor_failure", "no_buffer_overflow", "0.6", "no overflow was logged"),
-    ("configuration_gap", "audit_policy_scope", "0.8", "successes were being audited for the events in question"),
-    ("configuration_gap", "gpo_consistency", "0.6", "policy did not change in the interval"),
-    ("non_applicable", "platform_mismatch", "0.7", "the maker documents the artifact for this build"),
+    ("benign_loss", "retention_limits", "0.8"),
+    ("benign_loss", "audit_policy_disabled", "0.7"),
+    ("benign_loss", "acquisition_incomplete", "0.6"),
+    ("selective_deletion", "attacker_privileges", "0.6"),
+    ("selective_deletion", "selective_targeting", "0.7"),
+    ("selective_deletion", "deletion_tools_available", "0.5"),
+    ("sensor_failure", "collector_uptime", "0.7"),
+    ("sensor_failure", "parser_compatibility", "0.8"),
+    ("sensor_failure", "no_buffer_overflow", "0.6"),
+    ("configuration_gap", "audit_policy_scope", "0.8"),
+    ("configuration_gap", "gpo_consistency", "0.6"),
+    ("non_applicable", "platform_mismatch", "0.7"),
 )
 # Hypothesis, action, artifact, status that it explains.
 EXPLAINED = (
@@ -65,7 +65,7 @@ EXPLAINED = (
 
 
 def hypotheses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *h) for k, h in enumerate(HYPOTHESES)], "ordinal int, hypothesis_id string, name string, description string")
+    return spark.createDataFrame([(k, *h) for k, h in enumerate(HYPOTHESES)], "ordinal int, hypothesis_id string, name string")
 
 
 def predictions(spark: SparkSession) -> DataFrame:
@@ -73,11 +73,11 @@ def predictions(spark: SparkSession) -> DataFrame:
 
 
 def pivots(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *p) for k, p in enumerate(PIVOTS)], "ordinal int, hypothesis_id string, description string, action string, artifact_type string, impact map<string,map<string,string>>")
+    return spark.createDataFrame([(k, *p) for k, p in enumerate(PIVOTS)], "ordinal int, hypothesis_id string, action string, artifact_type string, impact map<string,map<string,string>>")
 
 
 def assumptions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(h, n, Decimal(c), f, "untested") for h, n, c, f in ASSUMPTIONS], "hypothesis_id string, assumption string, confidence decimal(3,1), falsifiable_by string, state string")
+    return spark.createDataFrame([(h, n, Decimal(c), "untested") for h, n, c in ASSUMPTIONS], "hypothesis_id string, assumption string, confidence decimal(3,1), state string")
 
 
 def explained(spark: SparkSession) -> DataFrame:

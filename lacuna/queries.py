@@ -333,7 +333,7 @@ def rival_summary(spark, sf_dir):
     return rivals.summary(rivals.support(outcome_rows(spark, sf_dir)))
 
 
-SQL_PIVOTS = "(VALUES " + ", ".join(f"({k}, '{h}', '{a}', '{t}')" for k, (h, _, a, t, _) in enumerate(hypotheses.PIVOTS)) + ") AS p(ordinal, hypothesis_id, action, artifact_type)"
+SQL_PIVOTS = "(VALUES " + ", ".join(f"({k}, '{h}', '{a}', '{t}')" for k, (h, a, t, _) in enumerate(hypotheses.PIVOTS)) + ") AS p(ordinal, hypothesis_id, action, artifact_type)"
 
 
 @query(f"""WITH {SQL_MATRIX} SELECT k.case_id, p.ordinal::INTEGER AS ordinal, p.hypothesis_id, p.action, p.artifact_type, CASE WHEN coalesce(m.status <> 'unknown', FALSE) THEN 'resolved' ELSE 'pending' END AS pivot_status
@@ -343,15 +343,14 @@ def pivot_status(spark, sf_dir):
     return rivals.pivot_status(cases(events), full_matrix(spark, sf_dir), hypotheses.pivots(spark))
 
 
-SQL_IMPACTS = "(VALUES " + ", ".join(f"({k}, '{h}', '{s}', '{o}')" for k, (*_, impact) in enumerate(hypotheses.PIVOTS) for h, m in impact.items() for s, o in m.items()) + ") AS i(ordinal, named, status, outcome)"
-
-
-@query(f"""WITH one AS (SELECT ordinal, named, string_agg(status || '=' || outcome, ',' ORDER BY status, outcome) AS pattern FROM {SQL_IMPACTS} GROUP BY ALL),
-power AS (SELECT ordinal, count(DISTINCT pattern)::INTEGER AS power FROM one GROUP BY 1)
-SELECT p.ordinal::INTEGER AS ordinal, p.action, p.artifact_type, power FROM {SQL_PIVOTS} JOIN power USING (ordinal) ORDER BY power DESC, ordinal LIMIT 10""")
+@query("""WITH n AS (SELECT user_id, event_type, count(*) % 4 AS outcome FROM events GROUP BY ALL)
+SELECT user_id::INTEGER AS ordinal, 'any' AS action, 'any' AS artifact_type, count(DISTINCT outcome)::INTEGER AS power FROM n GROUP BY user_id ORDER BY power DESC, ordinal LIMIT 10""")
 def pivot_top_k(spark, sf_dir):
-    """The ten strongest pivots: the limit is the feature. All built-in ones have two patterns."""
-    return rivals.top_pivots(hypotheses.pivots(spark)).select("ordinal", "action", "artifact_type", "power")
+    """The ten strongest of the pivots that users declare, one each: the limit is the feature. A pivot's impact on a type is how many events there are of it."""
+    n = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg((F.count("*") % 4).cast("string").alias("outcome"))
+    impact = F.map_from_entries(F.collect_list(F.struct("event_type", F.create_map(F.lit("unknown"), "outcome"))))
+    pivots = n.groupBy(F.col("user_id").cast("int").alias("ordinal")).agg(impact.alias("impact")).withColumns({"action": F.lit("any"), "artifact_type": F.lit("any")})
+    return rivals.top_pivots(pivots).select("ordinal", "action", "artifact_type", "power")
 
 
 @query(f"""WITH {SQL_MATRIX}, f AS (SELECT hypothesis_id, action, artifact_type, min_by(expected_status, ordinal) AS expected_status FROM {SQL_PREDICTIONS} GROUP BY ALL)
@@ -360,12 +359,14 @@ def counterfactuals(spark, sf_dir):
     return rivals.counterfactuals(full_matrix(spark, sf_dir), hypotheses.predictions(spark)).select("case_id", "hypothesis_id", "action", "artifact_type", "status", "expected_status")
 
 
-@query(f"""WITH n AS (SELECT ordinal, named FROM {SQL_IMPACTS} UNION SELECT {len(hypotheses.PIVOTS)}, 'ghost')
-SELECT ordinal::INTEGER AS ordinal, named AS hypothesis_id FROM n WHERE named NOT IN (VALUES {", ".join(f"('{h[0]}')" for h in hypotheses.HYPOTHESES)})""")
+@query(f"""SELECT DISTINCT user_id::INTEGER AS ordinal, 'ghost' || user_id AS hypothesis_id FROM events WHERE user_id % {len(hypotheses.HYPOTHESES) + 1} = {len(hypotheses.HYPOTHESES)}""")
 def pivot_registry_check(spark, sf_dir):
-    """Impacts on hypotheses that don't exist; one bad pivot is added so that there is something to find."""
-    bad = spark.createDataFrame([(len(hypotheses.PIVOTS), "benign_loss", "bad", "any", "any", {"ghost": {"unknown": "favors"}})], hypotheses.pivots(spark).schema)
-    return rivals.dangling_impacts(hypotheses.pivots(spark).unionAll(bad), hypotheses.hypotheses(spark))
+    """Impacts of users' pivots on hypotheses that don't exist."""
+    known = F.array(*[F.lit(h[0]) for h in hypotheses.HYPOTHESES])
+    user = F.col("user_id")
+    named = F.coalesce(F.get(known, (user % (len(hypotheses.HYPOTHESES) + 1)).cast("int")), F.concat(F.lit("ghost"), user.cast("string")))
+    pivots = read(spark, sf_dir, "events").where("user_id is not null").select("user_id").distinct().select(user.cast("int").alias("ordinal"), F.create_map(named, F.create_map(F.lit("unknown"), F.lit("favors"))).alias("impact"))
+    return rivals.dangling_impacts(pivots, hypotheses.hypotheses(spark)).select("ordinal", "hypothesis_id")
 
 
 # Chains: conversations as chains of turns; every seventh turn is lost.
@@ -802,7 +803,7 @@ def chain_versions(spark, sf_dir):
 
 
 SQL_EXPLAINED = "(VALUES " + ", ".join(f"('{h}', '{a}', '{t}', '{o}')" for h, a, t, o in hypotheses.EXPLAINED) + ") AS x(hypothesis_id, action, artifact_type, status)"
-SQL_ASSUMPTIONS = "(VALUES " + ", ".join(f"('{h}', '{n}', {c})" for h, n, c, _ in hypotheses.ASSUMPTIONS) + ") AS a(hypothesis_id, assumption, confidence)"
+SQL_ASSUMPTIONS = "(VALUES " + ", ".join(f"('{h}', '{n}', {c})" for h, n, c in hypotheses.ASSUMPTIONS) + ") AS a(hypothesis_id, assumption, confidence)"
 
 
 @query(f"WITH {SQL_MATRIX} SELECT m.case_id, x.hypothesis_id, count(*) AS explained FROM matrix m JOIN {SQL_EXPLAINED} ON x.action = m.action AND x.artifact_type = m.artifact_type AND x.status = m.status GROUP BY ALL")
@@ -812,10 +813,12 @@ def explained_rows(spark, sf_dir):
     return full_matrix(spark, sf_dir).join(known, ["action", "artifact_type", "status"]).groupBy("case_id", "hypothesis_id").agg(F.count("*").alias("explained"))
 
 
-@query(f"SELECT hypothesis_id, count(*) AS assumptions, (sum(confidence * 10))::BIGINT AS tenths FROM {SQL_ASSUMPTIONS} GROUP BY 1")
+@query(f"""WITH {SQL_LEVELS} SELECT l.case_id, l.hypothesis_id, l.support_level, count(*) AS assumptions, (sum(a.confidence * 10))::BIGINT AS tenths FROM levels l JOIN {SQL_ASSUMPTIONS} ON a.hypothesis_id = l.hypothesis_id GROUP BY ALL""")
 def assumption_weights(spark, sf_dir):
-    """Assumptions of each hypothesis, and the sum of their confidence in tenths."""
-    return hypotheses.assumptions(spark).groupBy("hypothesis_id").agg(F.count("*").alias("assumptions"), F.sum(F.col("confidence") * 10).cast("long").alias("tenths"))
+    """What each case's hypotheses, at their level of support, assume: how many assumptions, and the sum of their confidence in tenths."""
+    levels = rivals.support(outcome_rows(spark, sf_dir)).select("case_id", "hypothesis_id", "support_level")
+    weights = hypotheses.assumptions(spark).groupBy("hypothesis_id").agg(F.count("*").alias("assumptions"), F.sum(F.col("confidence") * 10).cast("long").alias("tenths"))
+    return levels.join(F.broadcast(weights), "hypothesis_id").select("case_id", "hypothesis_id", "support_level", "assumptions", "tenths")
 
 
 # Content of logs: nested entries, whose canonical form SQL writes out.
