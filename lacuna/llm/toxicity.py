@@ -132,6 +132,8 @@ class ToxicModel:
                 x[:, col[name]] += textvec.sums(mask, starts)
             same = np.zeros(len(raw), bool)
             same[2:] = (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & textvec.LETTER[raw[2:]]
+            for k in (0, 1):  # what comes before is another document's
+                same[np.minimum(starts[:-1] + k, len(raw) - 1)[starts[:-1] + k < len(raw)]] = False
             x[:, col["stretched"]] += textvec.sums(same, starts)
             if not len(begin):
                 continue
