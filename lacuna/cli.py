@@ -14,8 +14,8 @@ from lacuna import sinks
 from lacuna.adapters import ADAPTERS, distinct_values, incomplete
 from lacuna.functions.canonical import hmac_udf
 from lacuna.keys import resolve_key
-from lacuna.operators import logs, matrix, provenance, rivals, seal, timeline, verify
-from lacuna.plans import hypotheses, mappings
+from lacuna.operators import digests, logs, matrix, provenance, rivals, seal, timeline, verify
+from lacuna.plans import catalog, hypotheses, mappings
 from lacuna.session import session
 from lacuna.sources import cases, discovery, registry, timelines
 
@@ -39,8 +39,14 @@ def validate(spark, args) -> int:
 
 
 def analyze(spark, args) -> int:
+    """Counts of each case with its context and the digest of context and matrix, then the matrix."""
     found, rows = _matrix(spark, args.path)
-    _print(matrix.coverage(rows), ["case_id"])
+    known = found["cases"]
+    names = [c for c in known.columns if c not in ("case_id", "actions")]
+    context = known.select("case_id", F.struct(*names).alias("context"))
+    text = context.select("case_id", F.to_json("context", {"ignoreNullFields": "false"}).alias("context"))
+    heads = matrix.coverage(rows).join(digests.analysis_digests(text, rows), "case_id").join(context, "case_id")
+    _print(heads.withColumns({"schema_version": F.lit(digests.SCHEMA_VERSION), "catalog_version": F.lit(catalog.VERSION)}), ["case_id"])
     _print(rows.drop("required_conditions"), ["case_id", "action", "artifact_type"])
     return 2 if _print(found["errors"], ["case_id"]) else 0
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.operators.numbering import ranked
+
 
 def limited(items: DataFrame, order: list[str], limit: int) -> DataFrame:
     """items(source, invalid, ...) with processed: whether an item is among the first of its source."""
@@ -32,10 +34,11 @@ def summary(rows: DataFrame) -> DataFrame:
 
 
 def report(rows: DataFrame, limit: int | None = None) -> DataFrame:
-    """Positions, problems first, then in order of source; no limit gives all."""
-    top = rows.orderBy(F.col("status") == "ok", "source")
-    top = top if limit is None else top.limit(limit)
-    return top.select(F.row_number().over(Window.orderBy(F.col("status") == "ok", "source")).alias("position"), "source", "status")
+    """Positions, problems first, then in order of source; no limit gives all, numbered by ranges of that order."""
+    order = [F.col("status") == "ok", F.col("source")]
+    if limit is None:
+        return ranked(rows.select("source", "status"), order, "position").select("position", "source", "status")
+    return rows.orderBy(*order).limit(limit).select(F.row_number().over(Window.orderBy(*order)).alias("position"), "source", "status")
 
 
 def collisions(rows: DataFrame) -> DataFrame:

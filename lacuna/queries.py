@@ -910,3 +910,10 @@ def mft_records(spark, sf_dir):
     known = {"record_number": F.when(F.col("is_valid"), F.col("record_number")), "sequence_number": F.col("sequence_number"), "is_in_use": F.col("is_in_use"), "name": first["name_spec"], "parent_record": first["parent_record"], "accessed": F.col("si.accessed").cast("long")}
     none = {"record_number": 0, "sequence_number": -1, "is_in_use": False, "name": "", "parent_record": -1, "accessed": 0}
     return rows.select("path", "is_valid", *[F.coalesce(c, F.lit(none[n])).alias(n) for n, c in known.items()], F.size("attributes").alias("n_attributes"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderstatus = 'O', o_orderkey) AS position, o_orderkey AS source, CASE o_orderstatus WHEN 'O' THEN 'ok' WHEN 'F' THEN 'failed' ELSE 'partial' END AS status FROM orders")
+def batch_positions(spark, sf_dir):
+    """A report of a batch without a limit: all orders as its inputs, numbered without one task that has them all."""
+    status = F.when(F.col("o_orderstatus") == "O", "ok").when(F.col("o_orderstatus") == "F", "failed").otherwise("partial")
+    return batch.report(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source"), status.alias("status")))

@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.operators.numbering import ranked
+
 # Adapter, and the pattern of lower-case file names that it reads.
 ROUTES = (("mft", r"^\$?mft(\..*)?$"), ("prefetch", r"\.pf$"), ("amcache", r"^amcache\.hve$"), ("shimcache", r"^system$"), ("shellbags", r"^(ntuser\.dat|usrclass\.dat)$"))
 
@@ -16,7 +18,7 @@ ROUTES = (("mft", r"^\$?mft(\..*)?$"), ("prefetch", r"\.pf$"), ("amcache", r"^am
 def files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True, limit: int | None = None) -> DataFrame:
     """Files in order of path, each once, with ordinal; beyond a limit they are marked as skipped, not lost."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length", "modificationTime").distinct()
-    out = found.withColumn("ordinal", F.row_number().over(Window.orderBy("path")) - 1)
+    out = ranked(found, ["path"], "ordinal", 0)
     return out.withColumn("skipped", F.lit(False) if limit is None else F.col("ordinal") >= limit)
 
 

@@ -207,3 +207,23 @@ def test_numbers_follow_the_rows(spark):
     rows = numbered(spark.range(0, 1000, 1, 7), "k", 5).collect()
     assert [r["k"] for r in sorted(rows, key=lambda r: r["id"])] == list(range(5, 1005))
     assert numbered(spark.range(0, 0, 1, 3), "k").count() == 0
+
+
+def test_analyze_prints_context_and_digest(run, tmp_path, capsys):
+    import copy
+
+    def heads(**files):
+        folder = tmp_path / f"cases{len(list(tmp_path.iterdir()))}"
+        folder.mkdir()
+        for name, case in files.items():
+            (folder / f"{name}.json").write_text(json.dumps(case))
+        assert run("analyze", folder) == 0
+        rows = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+        return {r["case_id"].rsplit("/", 1)[-1]: r for r in rows if "analysis_sha256" in r}
+
+    other = copy.deepcopy(CASE)
+    other["context"]["scope"] = "another scope"
+    capsys.readouterr()
+    found = heads(one=CASE, same=CASE, other=other)
+    assert found["one.json"]["analysis_sha256"] == found["same.json"]["analysis_sha256"] != found["other.json"]["analysis_sha256"]
+    assert found["other.json"]["context"]["scope"] == "another scope" and found["one.json"]["expected"] > 0 and found["one.json"]["catalog_version"]

@@ -35,3 +35,18 @@ def test_fifty_thousand_mappings_are_a_small_plan(spark):
     assert counts == {"ambiguous": 20_000}
     few = timeline.classify(table, rows.where("ordinal >= 25000"), max_rows=None)
     assert few.where(F.col("activity") == F.concat(F.lit("a"), F.col("row_num") + 25_000)).count() == 20_000
+
+
+def test_ranks_over_ranges_equal_a_window(spark):
+    from pyspark.sql import Window
+
+    from lacuna.operators.numbering import ranked
+
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(k, rng.choice([None, *range(5)])) for k in range(2000)], "id long, g long").repartition(6)
+    order = [F.col("g").desc_nulls_first(), F.col("id")]
+    want = rows.withColumn("k", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    got = ranked(rows, order, "k")
+    assert sorted(map(tuple, got.select("id", "k").collect())) == sorted(map(tuple, want.select("id", "k").collect()))
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert ranked(rows.where("id < 0"), order, "k", 0).count() == 0
