@@ -42,6 +42,11 @@ def without_prefix(text: Column) -> Column:
     return F.upper(F.when(F.length(text) > 8, F.substring(text, 9, 1 << 30)).otherwise(text))
 
 
+def bytes_without_prefix(value: Column) -> Column:
+    """The same of an id that is held as bytes; null if there is nothing behind the prefix."""
+    return F.when(F.octet_length(value) > 4, F.hex(F.substring(value, 5, 1 << 30)))
+
+
 def stable_id(kind: Column, name: Column) -> Column:
     """An id from a kind and a name: three letters of the kind, then the name in lower case with underscores."""
     return F.concat_ws("_", F.left(F.substring_index(kind, "_", 1), F.lit(3)), F.translate(F.lower(name), " -", "__"))

@@ -117,10 +117,10 @@ def counters(classified: DataFrame) -> DataFrame:
     )
 
 
-def unmatched_sample(classified: DataFrame, columns: list[str], limit: int = SAMPLE) -> DataFrame:
-    """The first unmatched rows, long descriptions cut."""
+def unmatched_sample(classified: DataFrame, columns: list[str], limit: int = SAMPLE, description: int = DESCRIPTION) -> DataFrame:
+    """The first unmatched rows, descriptions cut to so many characters."""
     rows = classified.where(F.col("class") == "unmatched").orderBy("row_num").limit(limit)
-    return rows.select("row_num", *[F.left(F.col(x), F.lit(DESCRIPTION)).alias(x) if x == "desc" else F.col(x) for x in columns])
+    return rows.select("row_num", *[F.left(F.col(x), F.lit(description)).alias(x) if x == "desc" else F.col(x) for x in columns])
 
 
 def new_observations(first: DataFrame, existing: DataFrame, prefix: Column) -> DataFrame:

@@ -50,3 +50,13 @@ def test_ranks_over_ranges_equal_a_window(spark):
     assert sorted(map(tuple, got.select("id", "k").collect())) == sorted(map(tuple, want.select("id", "k").collect()))
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
     assert ranked(rows.where("id < 0"), order, "k", 0).count() == 0
+
+
+def test_ids_as_bytes_and_cut_descriptions(spark):
+    from lacuna.functions.names import bytes_without_prefix, without_prefix
+
+    rows = spark.createDataFrame([(bytearray(b"\0\0\0\0\xab\xcd"), "00000000abcd"), (bytearray(b"\1\2\3\4"), "ab"), (None, None)], "b binary, t string")
+    got = [tuple(r) for r in rows.select(bytes_without_prefix(F.col("b")), without_prefix(F.col("t"))).collect()]
+    assert got == [("ABCD", "ABCD"), (None, "AB"), (None, None)]
+    lines_ = spark.createDataFrame([(1, "abcdef", "unmatched")], "row_num long, desc string, class string")
+    assert timeline.unmatched_sample(lines_, ["desc"], description=3).first()["desc"] == "abc"
