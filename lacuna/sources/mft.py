@@ -10,7 +10,6 @@ from dataclasses import dataclass
 from struct import Struct, unpack_from
 from urllib.parse import unquote
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,17 +141,29 @@ def _rows(path: str, content: bytes, size: int, first: int, left: int) -> list[t
     return out
 
 
-def records(files: DataFrame) -> DataFrame:
-    """files(path, content) to records; an incomplete last record is a row that says so. A file's size is that of its first record."""
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in rows], schema)
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
+def records(files: DataFrame) -> DataFrame:
+    """files(path, content) to records; an incomplete last record is a row that says so. A file's size is that of its first record. Records of small files go on together."""
+    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                path, content = path.as_py(), content.as_py()
                 size = record_size(content[:4096])
                 for lo in range(0, len(content), size * BLOCK):
-                    yield pd.DataFrame(_rows(path, content[lo : lo + size * BLOCK], size, lo // size, len(content) - lo), columns=NAMES)
+                    rows += _rows(path, content[lo : lo + size * BLOCK], size, lo // size, len(content) - lo)
+                    if len(rows) >= BLOCK:
+                        yield _batch(rows, schema)
+                        rows = []
+        if rows:
+            yield _batch(rows, schema)
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
 @dataclass
@@ -190,7 +201,7 @@ class MftReader(DataSourceReader):
             for at in range(part.start, part.end, part.size * BLOCK):
                 content = f.read(min(part.size * BLOCK, part.end - at))
                 rows = _rows(part.path, content, part.size, at // part.size, part.whole - at)
-                yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in rows], schema)
+                yield _batch(rows, schema)
 
 
 class MftSource(DataSource):

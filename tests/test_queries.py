@@ -44,3 +44,21 @@ def test_registry_and_flagship(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_records_of_a_master_file_table_have_a_small_plan(spark):
+    # Parts of a record that are used twice are columns, not copies of an expression.
+    plan = q.mft_parts(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000
+
+
+def test_records_of_small_files_go_on_together(spark):
+    from lacuna.sources import mft
+
+    files = q.mft_parts(spark, SF).coalesce(1)
+    sizes = mft.records(files).mapInArrow(lambda batches: batches, mft.SCHEMA)
+    rows = {r["path"]: r for r in sizes.collect()}
+    assert len(rows) == files.count()
+    for r in files.collect():
+        want = mft.decode(bytes(r["content"]), 0)
+        assert (rows[r["path"]]["record_number"], len(rows[r["path"]]["names"])) == (want["record_number"], len(want["names"]))
