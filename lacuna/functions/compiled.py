@@ -8,10 +8,12 @@ characters outside printable ASCII escaped, keys in order.
 from __future__ import annotations
 
 import json
+import re
 import sys
 import unicodedata
 from collections.abc import Callable, Iterable
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -123,6 +125,17 @@ def _unicode() -> tuple[str, str, dict[str, str], dict[str, str], dict[str, str]
     return _ranges(sorted(joined | changed | {ord(c) for c in marks})), _ranges(sorted(map(ord, marks))), full, marks, pairs
 
 
+@lru_cache
+def _plain(least: int = 200) -> str:
+    """The long stretches of characters that normal form C leaves as they are: a short class, as each character of a text is tried against it."""
+    risky = re.compile(f"[{re.sub(r'x.([0-9a-f]+).', lambda m: f'U{int(m[1], 16):08x}', _unicode()[0])}]")
+    out, start = [], 0
+    for p in [m.start() for m in risky.finditer("".join(chr(p) if not 0xD800 <= p < 0xE000 else " " for p in range(sys.maxunicode + 1)))] + [sys.maxunicode + 1]:
+        out += [range(start, p)] if p - start >= least else []
+        start = p + 1
+    return _ranges(p for r in out for p in r)
+
+
 def _table(pairs: dict[str, str]) -> Column:
     """A map that the optimizer folds to one literal."""
     return F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in pairs.items())), F.lit("\u0001"), F.lit("\u0002"))
@@ -160,7 +173,9 @@ def nfc(text: Column) -> Column:
 
     pieces = F.regexp_extract_all(text, F.lit(f"(?s)([^{risky}]?[{risky}]+|[^{risky}]+(?![{risky}]))"))
     whole = F.array_join(F.transform(pieces, lambda p: F.when(F.rlike(p, F.lit(f"[{risky}]")), small(p)).otherwise(p)), "")
-    return F.when(F.rlike(text, F.lit(f"[{risky}]")), whole).otherwise(text)
+    # Most texts need the first look only, or the second: a class of hundreds of ranges takes as many steps for a character.
+    looks = ["[^\\x{0}-\\x{2ff}]", f"[^{_plain()}]", f"[{risky}]"]
+    return F.when(reduce(and_, (F.rlike(text, F.lit(look)) for look in looks)), whole).otherwise(text)
 
 
 def quoted(text: Column, prefix: str = "") -> Column:

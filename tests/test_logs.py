@@ -179,3 +179,21 @@ def test_nested_values_equal_pythons(spark):
     assert got == [json.dumps(canonical.canonical(r.asDict(True)), sort_keys=True) for r in rows.collect()]
     with pytest.raises(TypeError):
         compiled.canonical_json(F.col("x"), T.BinaryType())
+
+
+def test_texts_that_need_no_normal_form_are_cheap(spark):
+    import time
+    import unicodedata
+
+    from lacuna.functions import compiled
+
+    # No character below U+0300 is one that normal form C changes or joins; nor is one of the plain stretches.
+    risky = "".join(map(chr, range(0x300))) + "語한Жяא"
+    assert unicodedata.is_normalized("NFC", risky)
+    texts = ["Grüße, ça va " * 500_000, "Привет, мир " * 500_000, "é" * 50 + "ȩ́" + "Ж"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string").cache()
+    df.count()
+    began = time.perf_counter()
+    got = [r[0] for r in df.select(compiled.nfc(F.col("v"))).collect()]
+    assert time.perf_counter() - began < 15
+    assert got == [unicodedata.normalize("NFC", t) for t in texts]
