@@ -197,3 +197,18 @@ def test_texts_that_need_no_normal_form_are_cheap(spark):
     got = [r[0] for r in df.select(compiled.nfc(F.col("v"))).collect()]
     assert time.perf_counter() - began < 15
     assert got == [unicodedata.normalize("NFC", t) for t in texts]
+
+
+def test_long_texts_in_entries_are_cheap(spark):
+    import time
+
+    texts = ["Grüße, ça va " * 400_000, "naïve façade " * 400_000]
+    lines = [json.dumps({"seq": k, "prev_hash": "0" * 64, "text": t, "entry_hash": canonical.entry_digest(k, "0" * 64, {"text": t})}) for k, t in enumerate(texts, 1)]
+    df = spark.createDataFrame([("c", k, line) for k, line in enumerate(lines)], "chain_id string, at long, line string").cache()
+    df.count()
+    place = F.struct(F.col("at").alias("given"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("row"))
+    log = df.select("chain_id", place.alias("pos"), F.lit(0).cast("long").alias("segment"), F.try_parse_json("line").alias("line"), logs.parsed(F.col("line")).alias("entry"), F.lit(1).alias("depth"))
+    began = time.perf_counter()
+    got = [r["tampered"] for r in logs.check_entries(log, depth=1).collect()]
+    assert time.perf_counter() - began < 40
+    assert got == [False, False]
