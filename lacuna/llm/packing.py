@@ -123,31 +123,40 @@ def _place(sizes: np.ndarray, place: np.ndarray, stay: np.ndarray, rng: np.rando
 def _swap(sizes: np.ndarray, out: np.ndarray, items: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
     """In each of some bins one or two items are swapped for one or two displaced ones, if that fills it better; returns what is displaced then."""
     items = items[np.argsort(sizes[items], kind="stable")]
+    size = sizes[items]
+    # A bin's items are looked up once for all bins, as none but its own turn changes it.
+    order = np.argsort(out, kind="stable")
+    ends = np.searchsorted(out[order], np.arange(-1, len(sizes)), "right").tolist()
+    rooms = (capacity - np.bincount(out[out >= 0], sizes[out >= 0]).astype(int)).tolist()
     for b in bins.tolist():
-        own = np.flatnonzero(out == b)
-        room = capacity - int(sizes[own].sum())
+        own, room = order[ends[b] : ends[b + 1]].tolist(), rooms[b]
         if room <= 0 or len(own) > 8:
             continue
-        size, best = sizes[items], (0, None, None)
+        best, at = (0, None, None), np.arange(len(size))
+        own_size = dict(zip(own, sizes[own].tolist(), strict=True))
         for away in [(), *((i,) for i in own), *((i, j) for k, i in enumerate(own) for j in own[:k])]:
-            lost = int(sizes[list(away)].sum())
-            one = int(np.searchsorted(size, lost + room, "right")) - 1
-            if one >= 0 and size[one] - lost > best[0]:
-                best = int(size[one]) - lost, away, [one]
-            other = np.searchsorted(size, lost + room - size, "right") - 1
-            ok = np.flatnonzero(other > np.arange(len(size)))
-            if len(ok):
-                k = int(ok[np.argmax(size[ok] + size[other[ok]])])
-                if size[k] + size[other[k]] - lost > best[0]:
-                    best = int(size[k] + size[other[k]]) - lost, away, [k, int(other[k])]
+            lost = sum(own_size[i] for i in away)
+            one = int(size.searchsorted(lost + room, "right")) - 1
+            if one >= 0 and (gain := int(size[one]) - lost) > best[0]:
+                best = gain, away, [one]
+            other = size.searchsorted(lost + room - size, "right") - 1
+            # Partners get no larger as an item does, so those beyond it come first.
+            if n := int(np.count_nonzero(other > at)):
+                both = size[:n] + size[other[:n]]
+                k = int(both.argmax())
+                if (gain := int(both[k]) - lost) > best[0]:
+                    best = gain, away, [k, int(other[k])]
             if best[0] == room:
                 break
         if best[0]:
             _, away, into = best
             out[items[into]] = b
             out[list(away)] = -1
-            items = np.concatenate([np.delete(items, into), np.array(away, items.dtype)])
+            keep = np.ones(len(items), bool)
+            keep[into] = False
+            items = np.concatenate([items[keep], np.array(away, items.dtype)])
             items = items[np.argsort(sizes[items], kind="stable")]
+            size = sizes[items]
             if len(items) < 2:
                 break
     return items

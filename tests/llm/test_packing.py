@@ -116,3 +116,62 @@ def test_runs_of_white_space_are_the_librarys(slow):
 def test_a_document_of_newlines_is_packed(spark, slow):
     rows = [(1, "\n" * 1_000_000), (2, "a b")]
     check(packing.pack(corpus(spark, rows)).collect(), rows, slow, packing.CAPACITY)
+
+
+def test_single_white_space_needs_no_look_ahead(slow):
+    """A text without white space side by side takes the faster pattern; with the library's ids, wherever its white space is."""
+    known = tokens(default_vocabulary())
+    rng = random.Random(11)
+    space = " \t\n\x0b\x0c\r\x1c\x1f\x85\xa0   　"
+    words = ["we'll", "it's", "a1b2", "!?.", "\xc0\xe9", "\xb2\xbd", "日本", "مر", "x", "́", "​", "﻿", "'", "\U0001f600"]
+    single = ["".join(rng.choice(words) + rng.choice(space) for _ in range(rng.randrange(1, 40))) for _ in range(150)]
+    texts = [*single, *(c + t for c, t in zip(space, single, strict=False)), *(t.rstrip(space) for t in single[:20]), *space]
+    double = [t + rng.choice(space) + " x" for t in single]
+    for t in [*texts, *double]:
+        assert known.encode(t).tolist() == slow.encode(t, add_special_tokens=False).ids
+    fast, known.fast = known.fast, None
+    try:
+        for t in texts:
+            known.encode(t)
+    finally:
+        known.fast = fast
+
+
+def test_swaps_are_those_of_a_plain_search():
+    """Each bin takes the swap that a look at all bins anew, and at all pairs, finds; bins are looked up once for all."""
+
+    def plain(sizes, out, items, bins, capacity):
+        items = items[np.argsort(sizes[items], kind="stable")]
+        for b in bins.tolist():
+            own = np.flatnonzero(out == b).tolist()
+            room, size, best = capacity - int(sizes[own].sum()), sizes[items].tolist(), (0, None, None)
+            if room <= 0 or len(own) > 8 or len(items) < 2:
+                continue
+            for away in [(), *((i,) for i in own), *((i, j) for k, i in enumerate(own) for j in own[:k])]:
+                most = int(sizes[list(away)].sum()) + room
+                ones = [k for k in range(len(size)) if size[k] <= most]
+                if ones and size[ones[-1]] - most + room > best[0]:
+                    best = size[ones[-1]] - most + room, away, [ones[-1]]
+                found = [(size[k] + size[j], -k, j) for k in range(len(size)) for j in [max((j for j in range(len(size)) if size[j] <= most - size[k]), default=-1)] if j > k]
+                if found and max(found)[0] - most + room > best[0]:
+                    both, k, j = max(found)
+                    best = both - most + room, away, [-k, j]
+                if best[0] == room:
+                    break
+            if best[0]:
+                out[items[best[2]]], out[list(best[1])] = b, -1
+                items = np.concatenate([np.delete(items, best[2]), np.array(best[1], items.dtype)])
+                items = items[np.argsort(sizes[items], kind="stable")]
+        return items
+
+    rng, looked = np.random.default_rng(5), []
+    for _ in range(30):
+        sizes, capacity = rng.integers(1, 60, 80), 100
+        out = packing._place(sizes, np.zeros(80, int), np.zeros(80, bool), rng, capacity).astype(np.int64)
+        out[np.isin(out, rng.choice(out.max() + 1, 8, replace=False))] = -1
+        items, bins = np.flatnonzero(out < 0), rng.permutation(out.max() + 1)
+        mine, theirs = out.copy(), out.copy()
+        assert packing._swap(sizes, mine, items, bins, capacity).tolist() == plain(sizes, theirs, items, bins, capacity).tolist()
+        assert mine.tolist() == theirs.tolist()
+        looked.append((mine != out).any())
+    assert any(looked)
