@@ -46,3 +46,20 @@ def test_near_dedup_keeps_one_row_of_a_group(spark):
     docs = corpus(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
     got = sorted(((r["doc_id"], r["text"]) for r in p.near_dedup(spark, docs, SF).collect()), key=str)
     assert got == sorted([(3, a), (3, b), (7, c), (None, d), (1, e + " more"), (4, ""), (4, ""), (None, None), (None, None)], key=str)
+
+
+def test_tables_are_written_with_little_garbage_in_the_heap(spark, monkeypatch):
+    """Garbage beyond a part of the driver's heap is collected before the next table is written; a heap with little in it is left alone."""
+    from lacuna.llm import session
+
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    used = lambda: heap.totalMemory() - heap.freeMemory()
+    spark._jvm.System.gc()
+    count = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = count()
+    monkeypatch.setattr(session, "HEAP", 1.0)
+    session.materialize(spark.range(3))
+    assert count() == before
+    monkeypatch.setattr(session, "HEAP", used() / heap.maxMemory() / 2)
+    assert session.materialize(spark.range(3)).count() == 3
+    assert count() > before
