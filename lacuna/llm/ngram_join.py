@@ -117,10 +117,12 @@ def _count_grams(docs: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"part": list(sums), "n": [x.tobytes() for x in sums.values()]})
 
     schema = "part long, n binary"
-    some = docs.select("text").mapInArrow(lean(count), schema).repartition(16, "part").mapInArrow(lean(add), schema)
+    # Written and not collected at once, so that the tasks' arrays go from the executors' disks.
+    some = materialize(docs.select("text").mapInArrow(lean(count), schema).repartition(16, "part").mapInArrow(lean(add), schema))
     out = np.zeros((16, COUNTERS // 16), np.int64)
     for row in some.collect():
         out[row["part"]] = np.frombuffer(row["n"], np.int64)
+    release(some)
     return out.reshape(-1)
 
 

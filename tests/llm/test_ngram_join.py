@@ -1,5 +1,7 @@
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +10,8 @@ from data import SCHEMA, corpus, edge, edge_rows, edited, empty, prose
 from lacuna.llm import ngram_join, textvec
 from lacuna.llm.components import components
 from lacuna.llm.ngram_join import grams, ngram_components
+from lacuna.llm.session import materialize
+from lacuna.session import CLEANUP
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -150,3 +154,17 @@ def test_a_pair_comes_from_one_block():
                 n = len(common)
                 out = ngram_join._least_common(first, np.full(n, i), np.full(n, j), common)
                 assert out.sum() == (1 if len(np.intersect1d(first[i], first[j])) else n)
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    def files():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p for d in folders for p in Path(d.getPath()).rglob("shuffle_*")}
+
+    old, rows = files(), spark.range(20_000).repartition(3).selectExpr("id % 5000 as gram").groupBy("gram").count()
+    table = materialize(rows)
+    end = time.monotonic() + 5
+    while files() - old and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not files() - old
+    assert table.count() == 5000 and rows.where("count = 4").count() == 5000 and spark.conf.get(CLEANUP) == "false"
