@@ -197,8 +197,9 @@ def _string(text: Column, version: str) -> Column:
     if version == "1":
         return quoted(text)
     # ASCII needs no look at its line ends or form.
-    lines = F.regexp_replace(text, "\r\n?", "\n")
-    return quoted(F.when(F.rlike(text, F.lit("[^\\x20-\\x7e]")), nfc(lines)).otherwise(text), "s:")
+    formed = F.when(F.rlike(text, F.lit("[^\\x20-\\x7e]")), let(F.regexp_replace(text, "\r\n?", "\n"), nfc)).otherwise(text)
+    # What is looked at several times is made once.
+    return let(formed, lambda t: quoted(t, "s:"))
 
 
 # Nested values.

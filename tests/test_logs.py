@@ -212,3 +212,13 @@ def test_long_texts_in_entries_are_cheap(spark):
     got = [r["tampered"] for r in logs.check_entries(log, depth=1).collect()]
     assert time.perf_counter() - began < 40
     assert got == [False, False]
+
+
+def test_a_texts_line_ends_are_changed_once_and_its_depth_is_given(spark):
+    from lacuna import queries
+
+    df = spark.createDataFrame([("a\r\né\ré\n\"",)], "v string")
+    made = df.select(compiled._string(F.col("v"), "2"))
+    assert made._jdf.queryExecution().analyzed().toString().count("regexp_replace(v#") == 1
+    assert made.first()[0] == json.dumps("s:" + unicodedata.normalize("NFC", "a\né\né\n\""))
+    assert queries.content_log(spark, "/root/testdata/sf0.001").agg(F.max("depth")).first()[0] == queries.CONTENT_DEPTH
